@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, sharding, token_counts, tokenizer
+from . import fingerprints, neardup, passages, sharding, token_counts, tokenizer
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -33,8 +33,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op5_sharding, op6_token_counts)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op5_sharding, op6_token_counts, op7_near_duplicates, op8_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
