@@ -89,12 +89,17 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without white space; a word never crosses texts), and n + 1 word offsets."""
+#: Bytes of plain words: ASCII letters and digits, and all bytes of other characters.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ~_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes of ``kind``, by default without white space; a word never crosses texts), and n + 1 word offsets."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_BLANK[data]
+    inside = kind[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     begin = inside.copy()
