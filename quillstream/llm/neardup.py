@@ -228,6 +228,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     )
 
 
+def kept_documents(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, less the documents of each group but the one of least id.
+
+    Only ids that go are joined; where several rows share an id they stay or go together.
+    """
+    gone = cut(near_duplicates(docs, words=words, percent=percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    may = may_be_in(bitmap(gone, "gone_id"), F.col("doc_id"))
+    flagged = docs.withColumn("_may", may)
+    stay = flagged.where("_may").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return flagged.where("NOT _may").unionByName(stay).drop("_may")
+
+
 def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of rows that share a doc_id."""
     twice = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("x"), F.max(F.struct("set_a", "set_b")).alias("y")).where("x <> y").select("doc_id")

@@ -8,9 +8,10 @@ is trained with numpy from confirmed toxic documents and unlabelled text: the ri
 where the second part, the risk on negatives, may not fall below zero, so the model cannot fit the positives that are
 hidden among the unlabelled (Kiryo et al., 2017). The class prior is the toxic share of the labelled training rows.
 
-Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. Of these, remainder 0 trains and remainder 2
-sets the scale of the score, so that 0.7 is the cut of best F1 there. Training reads bounded samples, taken in the order
-of a hash of the ids: ``POSITIVES``, ``UNLABELLED`` and ``CALIBRATION`` rows at most. Every document is scored, whole,
+Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. A model of remainder 0 scores remainder 2
+and the other way round; these scores set the scale, so that 0.7 is the cut of best F1 among them. The model in use is
+trained on both. Training reads bounded samples of each remainder, taken in the order of a hash of the ids:
+``POSITIVES``, ``UNLABELLED`` and ``CALIBRATION`` rows at most. Every document is scored, whole,
 in one narrow pass; the weights (``SLOTS`` floats) are all that is broadcast.
 
 A null or empty text has no features and gets the lowest score there is, as has any text without a feature of toxic
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .text import ALNUM, lowered, mixed, prefix_sums, slice_hash, steps, words
 
-POSITIVES, UNLABELLED, CALIBRATION = 3_000, 9_000, 9_000
+POSITIVES, UNLABELLED, CALIBRATION = 2_000, 5_000, 5_000
 SLOTS = 1 << 20
 PREFIXES = (4, 5, 6)
-#: A feature is used if this many training positives have it, and this many times as often as the rest.
-LEAST_POSITIVES, LEAST_RATIO = 3, 4.0
+#: A feature is used if this many training positives have it, and this share of them, and this many times as often as the rest.
+LEAST_POSITIVES, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 12.0
 EPOCHS, RATE, DECAY = 200, 0.05, 1e-4
 CUT = 0.7
 
@@ -91,7 +92,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def nonnegative_pu(positive: Rows, unlabelled: Rows, prior: float, size: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk under the sigmoid loss, by Adam over all rows."""
+    """Weights and bias that minimise the non-negative PU risk under the sigmoid loss, by Adam over all rows.
+
+    All features were chosen as signs of toxic text, so no weight may fall below zero.
+    """
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = -1.0
     for step in range(1, EPOCHS + 1):
@@ -105,6 +109,7 @@ def nonnegative_pu(positive: Rows, unlabelled: Rows, prior: float, size: int) ->
         g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        np.maximum(w[:-1], 0, out=w[:-1])
     return w[:-1], float(w[-1])
 
 
@@ -162,6 +167,23 @@ def _sample(docs: DataFrame, ids: DataFrame, n: int) -> list:
     return [Rows(slots.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])), rows.column("toxic").to_numpy()[order]]
 
 
+def _fitted(positive: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(used, weight, bias) over all slots."""
+    p = np.bincount(positive.column, minlength=SLOTS)
+    rate = p / positive.n
+    rest = np.maximum(np.bincount(unlabelled.column, minlength=SLOTS) / unlabelled.n - prior * rate, 0) / (1 - prior)
+    used = (p >= min(LEAST_POSITIVES, positive.n)) & (rate >= LEAST_SHARE) & (rate >= LEAST_RATIO * (rest + 1 / unlabelled.n))
+    place = np.where(used, np.cumsum(used) - 1, -1)
+    w, bias = nonnegative_pu(positive.only(place), unlabelled.only(place), prior, int(used.sum()))
+    weight = np.zeros(SLOTS)
+    weight[used] = w
+    return used, weight, bias
+
+
+def _joined(parts: list[Rows]) -> Rows:
+    return Rows(np.concatenate([p.column for p in parts]), np.concatenate([[0], *(p.start[1:] + sum(len(q.column) for q in parts[:k]) for k, p in enumerate(parts))]))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """None without a confirmed positive to train from."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -170,22 +192,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not toxic:
         return None
     prior = min(max(toxic / n, 1e-3), 0.9)
-    positive, _ = _sample(docs, known.where("fold = 0 AND toxic = 1").select("doc_id", "toxic"), POSITIVES)
-    unlabelled, _ = _sample(docs, docs.select("doc_id").where(remainder() == 0).distinct().withColumn("toxic", F.lit(0)), UNLABELLED)
-    held, truth = _sample(docs, known.where("fold = 2").select("doc_id", "toxic"), CALIBRATION)
-    if not positive.n or not unlabelled.n:
+    positive, unlabelled, z, truth = [], [], [], []
+    for fold in (0, 2):
+        positive.append(_sample(docs, known.where(f"fold = {fold} AND toxic = 1").select("doc_id", "toxic"), POSITIVES)[0])
+        unlabelled.append(_sample(docs, docs.select("doc_id").where(remainder() == fold).distinct().withColumn("toxic", F.lit(0)), UNLABELLED)[0])
+    if not sum(p.n for p in positive):
         return None
-    p = np.bincount(positive.column, minlength=SLOTS)
-    rate = p / positive.n
-    rest = np.maximum(np.bincount(unlabelled.column, minlength=SLOTS) / unlabelled.n - prior * rate, 0) / (1 - prior)
-    used = (p >= min(LEAST_POSITIVES, positive.n)) & (rate >= LEAST_RATIO * (rest + 1 / unlabelled.n))
-    place = np.where(used, np.cumsum(used) - 1, -1)
-    size = int(used.sum())
-    w, bias = nonnegative_pu(positive.only(place), unlabelled.only(place), prior, size)
-    weight = np.zeros(SLOTS, np.float32)
-    weight[used] = w
-    slope, cut = scale(held.dot(weight.astype(np.float64)) + bias, truth > 0) if held.n else (1.0, 0.0)
-    return Model(used, weight, bias, slope, cut)
+    for k, fold in enumerate((0, 2)):
+        held, y = _sample(docs, known.where(f"fold = {fold}").select("doc_id", "toxic"), CALIBRATION)
+        if positive[1 - k].n and held.n:
+            _, weight, bias = _fitted(positive[1 - k], unlabelled[1 - k], prior)
+            z.append(held.dot(weight) + bias)
+            truth.append(y)
+    used, weight, bias = _fitted(_joined(positive), _joined(unlabelled), prior)
+    slope, cut = scale(np.concatenate(z), np.concatenate(truth) > 0) if z else (1.0, 0.0)
+    return Model(used, weight.astype(np.float32), bias, slope, cut)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
