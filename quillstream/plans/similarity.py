@@ -1 +1,155 @@
-"""To come."""
+"""Nearest neighbours among class embeddings, risk ranking, twins, reports."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..registry import query, table
+from ..shipping import ship
+
+#: Vectors that one task compares at a time, on either side.
+BLOCK = 2048
+
+
+def nearest(queries: DataFrame, base: DataFrame, excluded: str | None = None) -> DataFrame:
+    """vec_id, near_id, likeness: for each query its nearest other vector by cosine, exactly; the least id on ties.
+
+    Both sides are dealt into blocks by a hash of the id; every pair of blocks is one matrix product, so nothing is
+    broadcast and no pair of rows is ever a row. Each task gives one candidate per query and the best of them is kept.
+    excluded: a column of both sides whose equal values are not compared.
+    """
+    ship(queries.sparkSession)
+    group = [excluded] if excluded else []
+    unit = F.expr("transform(embedding, x -> cast(x as double))")
+    blocks = max(1, -(-base.count() // BLOCK))
+    left_blocks = max(1, -(-queries.count() // BLOCK))
+    held = lambda df, side, n: df.select(F.lit(side).alias("side"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("b"), "vec_id", *group, unit.alias("v"))
+    q = held(queries, 0, left_blocks).withColumn("i", F.col("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = held(base, 1, blocks).withColumn("j", F.col("b")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))))
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        a, c = (frame[frame.side == s].sort_values("vec_id") for s in (0, 1))
+        if not len(a) or not len(c):
+            return pd.DataFrame({"vec_id": [], "near_id": [], "likeness": []}).astype({"vec_id": "int64", "near_id": "int64"})
+        x, y = (np.stack(f.v.to_numpy()) for f in (a, c))
+        x, y = (m / (np.sqrt((m * m).sum(1, keepdims=True)) + 1e-6) for m in (x, y))
+        s = np.round(x @ y.T, 6)
+        bar = a.vec_id.to_numpy()[:, None] == c.vec_id.to_numpy()[None, :]
+        if excluded:
+            bar |= a[excluded].to_numpy()[:, None] == c[excluded].to_numpy()[None, :]
+        s[bar] = -2
+        k = s.argmax(1)
+        ok = s[np.arange(len(k)), k] > -2
+        return pd.DataFrame({"vec_id": a.vec_id.to_numpy()[ok], "near_id": c.vec_id.to_numpy()[k[ok]], "likeness": s[np.arange(len(k)), k][ok]})
+
+    found = q.unionByName(b).groupBy("i", "j").applyInPandas(best, "vec_id bigint, near_id bigint, likeness double")
+    order = F.struct("likeness", (-F.col("near_id")).alias("o"))
+    return found.groupBy("vec_id").agg(F.max(order).alias("x")).select("vec_id", (-F.col("x.o")).alias("near_id"), F.col("x.likeness").alias("likeness"))
+
+
+_UNIT = "v_unit AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / (sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) + 1e-6)) AS u FROM embeddings)"
+_NEAR = "SELECT vec_id, near_id, likeness FROM (SELECT a.vec_id, b.vec_id AS near_id, round(list_dot_product(a.u, b.u), 6) AS likeness, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.u, b.u), 6) DESC, b.vec_id) AS r FROM v_unit a JOIN v_unit b ON {on}) WHERE r = 1"
+
+
+@query(f"WITH {_UNIT} {_NEAR.format(on='a.vec_id <> b.vec_id')}")
+def nn_cosine(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return nearest(e, e)
+
+
+@query(f"WITH {_UNIT} {_NEAR.format(on='a.vec_id % 20 = 0 AND a.label <> b.label')}")
+def nn_remaining(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates against all vectors but those of the class they would replace."""
+    e = table(spark, d, "embeddings")
+    return nearest(e.where("vec_id % 20 = 0"), e, "label")
+
+
+# --- risk of each class, from metrics that stand for its captures
+
+_METRIC = """v_metric AS (SELECT vec_id AS cls, (900 + (vec_id * 37) % 101) / 1000.0 AS accepted_ok, CASE WHEN vec_id % 9 = 0 THEN (vec_id % 7) / 1000.0 ELSE 0.0 END AS dangerous,
+    CAST(((vec_id * 13) % 120) / 10.0 AS DOUBLE) AS texture, (600 + (vec_id * 53) % 390) / 1000.0 AS like_model, (700 + (vec_id * 29) % 290) / 1000.0 AS like_thumb, (vec_id * 7 + 1) % 500 AS near_model, (vec_id * 3 + 2) % 500 AS near_thumb FROM embeddings)"""
+_RISK = """v_risk AS (SELECT *, round((1 - accepted_ok) + 5 * dangerous + greatest(0, (6 - texture) / 20) + greatest(0, like_model - 0.75) + greatest(0, like_thumb - 0.9), 6) AS risk,
+    accepted_ok < 0.92 OR dangerous > 0 AS bad_read, like_model > 0.85 OR like_thumb > 0.9 AS duplicate FROM v_metric),
+v_level AS (SELECT *, CASE WHEN bad_read OR duplicate THEN 'replace' WHEN accepted_ok < 0.95 THEN 'optional' ELSE 'fine' END AS level,
+    list_filter([CASE WHEN accepted_ok < 0.92 THEN 'seldom read' END, CASE WHEN dangerous > 0 THEN 'taken for another' END, CASE WHEN texture < 4 THEN 'little texture' END,
+        CASE WHEN like_model > 0.85 THEN 'very like ' || near_model WHEN like_thumb > 0.9 THEN 'nearly equal to ' || near_thumb END], lambda x: x IS NOT NULL) AS reasons FROM v_risk)"""
+
+
+def metrics(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("vec_id")
+    return table(spark, d, "embeddings").select(
+        c.alias("cls"),
+        ((900 + (c * 37) % 101) / 1000.0).alias("accepted_ok"),
+        F.when(c % 9 == 0, (c % 7) / 1000.0).otherwise(0.0).alias("dangerous"),
+        (((c * 13) % 120) / 10.0).alias("texture"),
+        ((600 + (c * 53) % 390) / 1000.0).alias("like_model"),
+        ((700 + (c * 29) % 290) / 1000.0).alias("like_thumb"),
+        ((c * 7 + 1) % 500).alias("near_model"),
+        ((c * 3 + 2) % 500).alias("near_thumb"),
+    )
+
+
+def levels(rows: DataFrame) -> DataFrame:
+    """Risk, level and reasons of each class."""
+    c = F.col
+    over = lambda x: F.greatest(F.lit(0.0), x)
+    risk = (1 - c("accepted_ok")) + 5 * c("dangerous") + over((6 - c("texture")) / 20) + over(c("like_model") - 0.75) + over(c("like_thumb") - 0.9)
+    bad_read = (c("accepted_ok") < 0.92) | (c("dangerous") > 0)
+    duplicate = (c("like_model") > 0.85) | (c("like_thumb") > 0.9)
+    level = F.when(bad_read | duplicate, "replace").when(c("accepted_ok") < 0.95, "optional").otherwise("fine")
+    like: Column = F.when(c("like_model") > 0.85, F.concat(F.lit("very like "), c("near_model").cast("string"))).when(c("like_thumb") > 0.9, F.concat(F.lit("nearly equal to "), c("near_thumb").cast("string")))
+    reasons = F.array_compact(F.array(F.when(c("accepted_ok") < 0.92, "seldom read"), F.when(c("dangerous") > 0, "taken for another"), F.when(c("texture") < 4, "little texture"), like))
+    return rows.withColumn("risk", F.round(risk, 6)).withColumn("bad_read", bad_read).withColumn("duplicate", duplicate).withColumn("level", level).withColumn("reasons", reasons)
+
+
+@query(f"WITH {_METRIC}, {_RISK} SELECT cls, risk, level, reasons FROM v_level")
+def risk_levels(spark: SparkSession, d: str) -> DataFrame:
+    return levels(metrics(spark, d)).select("cls", "risk", "level", "reasons")
+
+
+@query(f"WITH {_METRIC}, {_RISK} SELECT cls, risk, level FROM v_level ORDER BY risk DESC, cls LIMIT 25")
+def risk_rank(spark: SparkSession, d: str) -> DataFrame:
+    return levels(metrics(spark, d)).select("cls", "risk", "level").orderBy(F.col("risk").desc(), "cls").limit(25)
+
+
+_TWIN = """v_only AS (SELECT *, level = 'replace' AND duplicate AND NOT bad_read AND texture >= 4 AS only_duplicate, CASE WHEN like_thumb > 0.9 THEN near_thumb ELSE near_model END AS twin FROM v_level)
+SELECT a.cls, CASE WHEN a.only_duplicate AND b.level = 'replace' AND (b.risk > a.risk OR (b.risk = a.risk AND b.cls < a.cls)) THEN 'optional' ELSE a.level END AS level, b.cls AS twin FROM v_only a LEFT JOIN v_only b ON b.cls = a.twin"""
+
+
+@query(f"WITH {_METRIC}, {_RISK}, {_TWIN}")
+def duplicate_twin(spark: SparkSession, d: str) -> DataFrame:
+    """Of two that are only each other's duplicates, the one of less risk may stay."""
+    c = F.col
+    rows = levels(metrics(spark, d))
+    only = (c("level") == "replace") & c("duplicate") & ~c("bad_read") & (c("texture") >= 4)
+    a = rows.withColumn("only_duplicate", only).withColumn("twin", F.when(c("like_thumb") > 0.9, c("near_thumb")).otherwise(c("near_model")))
+    b = rows.select(c("cls").alias("twin_cls"), c("level").alias("twin_level"), c("risk").alias("twin_risk"))
+    stays = c("only_duplicate") & (c("twin_level") == "replace") & ((c("twin_risk") > c("risk")) | ((c("twin_risk") == c("risk")) & (c("twin_cls") < c("cls"))))
+    return a.join(b, c("twin") == c("twin_cls"), "left").select("cls", F.when(F.coalesce(stays, F.lit(False)), "optional").otherwise(c("level")).alias("level"), c("twin_cls").alias("twin"))
+
+
+@query(f"WITH {_METRIC}, {_RISK} SELECT level, count(*) AS classes, count(*) FILTER (accepted_ok >= 0.95 AND dangerous = 0) AS sound, round(avg(accepted_ok), 6) AS mean_ok FROM v_level GROUP BY level")
+def risk_summary(spark: SparkSession, d: str) -> DataFrame:
+    return levels(metrics(spark, d)).groupBy("level").agg(F.count("*").alias("classes"), F.count_if((F.col("accepted_ok") >= 0.95) & (F.col("dangerous") == 0)).alias("sound"), F.round(F.avg("accepted_ok"), 6).alias("mean_ok"))
+
+
+@query(f"WITH {_METRIC}, {_RISK} SELECT level, '| ' || cls || ' | ' || CAST(CAST(round(accepted_ok * 1000) AS BIGINT) AS VARCHAR) || ' | ' || array_to_string(reasons, '; ') || ' |' AS line FROM v_level WHERE level <> 'fine'")
+def risk_report(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a Markdown table, by level; accuracy in tenths of a percent."""
+    cells = [F.lit(""), F.col("cls").cast("string"), F.round(F.col("accepted_ok") * 1000).cast("bigint").cast("string"), F.array_join("reasons", "; ")]
+    line = F.concat(F.ltrim(F.concat_ws(" | ", *cells)), F.lit(" |"))
+    return levels(metrics(spark, d)).where("level <> 'fine'").select("level", line.alias("line"))
+
+
+_LOG = "SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS r FROM embeddings"
+
+
+@query(f"SELECT label, count(*) AS n, avg((vec_id % 10 = label)::INT) AS hit, list(vec_id ORDER BY vec_id) FILTER (r <= 3) AS first3 FROM ({_LOG}) GROUP BY label")
+def class_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Per class: rows, share of hits, and its first three rows."""
+    r = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    rows = table(spark, d, "embeddings").select("label", "vec_id", r.alias("r"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("vec_id") % 10 == F.col("label")).cast("int")).alias("hit"), F.sort_array(F.collect_list(F.when(F.col("r") <= 3, F.col("vec_id")))).alias("first3"))
