@@ -1 +1,198 @@
-"""To come."""
+"""Exact segmentation and decoding, in batch and as streams."""
+
+from __future__ import annotations
+
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
+
+from ..constants import END, START
+from ..functions import protocol as P
+from ..operators.machines import Receiver, Segmenter, Slot, align, shifted, weakest_first
+from ..registry import query
+from ..shipping import ship
+from ..sources.views import as_observations, epoch_ms, observations, payloads, sql
+from ..streaming.files import shared_folder, stream_table
+from .protocol import KEYS, word_column
+
+#: The driver's events are hours apart; divided by this they are as far apart as frames.
+TIME_SCALE = 400_000.0
+
+_SLOT = "stream_id bigint, slot_index bigint, cls int, share double, reliability double, accepted int, frames int, t_start double, t_end double, synthetic boolean, is_break boolean"
+
+
+def _optional(x) -> int | None:
+    return None if x is None or x != x else int(x)
+
+
+def in_order(rows: DataFrame, key: list[str], order: list[str], start: Callable, schema: str) -> DataFrame:
+    """A machine over each key's rows in order. start() gives (push(row) -> outputs, flush() -> outputs); outputs are tuples after the key.
+
+    Rows are dealt by key and sorted, then read as they come: a task holds one machine, not a group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, machine = None, None
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame.itertuples(index=False):
+                k = tuple(row[: len(key)])
+                if k != now:
+                    if machine:
+                        out += [(*now, *x) for x in machine[1]()]
+                    now, machine = k, start()
+                out += [(*k, *x) for x in machine[0](row)]
+            yield pd.DataFrame(out, columns=names)
+        if machine:
+            yield pd.DataFrame([(*now, *x) for x in machine[1]()], columns=names)
+
+    return rows.repartition(parts, *key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
+def _row(s: Slot) -> tuple:
+    return (s.index, s.cls, s.share, s.reliability, s.accepted, s.frames, s.t_start, s.t_end, s.synthetic, s.is_break)
+
+
+def _segmenting() -> tuple[Callable, Callable]:
+    m = Segmenter()
+    return (lambda r: [_row(s) for s in m.push(r.t, bool(r.gap), _optional(r.cls), r.p)]), (lambda: [_row(s) for s in m.flush()])
+
+
+def _frames(obs: DataFrame) -> DataFrame:
+    return obs.select("stream_id", (F.col("t_ms") / TIME_SCALE).alias("t"), "seq", "gap", "cls", (F.col("w") / 100.0).alias("p"))
+
+
+@query()
+def segment_exact(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return in_order(_frames(observations(spark, d)), ["stream_id"], ["t", "seq"], _segmenting, _SLOT)
+
+
+def _corrupted_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Each message shown twice; every ninth symbol is not read in either showing, at different places, and every thirteenth is read wrongly in the first."""
+    sent = P.transmissions(payloads(spark, d), KEYS).select(*KEYS, "n", F.posexplode("symbols").alias("i", "sym"))
+    shown = sent.select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("pass_no"))
+    i, no, symbol = F.col("i"), F.col("pass_no"), ~F.col("sym").isin(START, END)
+    cls = F.when(symbol & ((i + 4 * no) % 9 == 5), None).when(symbol & (no == 0) & (i % 13 == 7), F.col("sym").bitwiseXOR(F.lit(33))).otherwise(F.col("sym"))
+    return shown.select(*KEYS, (no * 1000 + i).alias("at"), cls.cast("int").alias("cls"), F.when(no == 0, 0.5).otherwise(0.9).alias("reliability"))
+
+
+def _receiving() -> tuple[Callable, Callable]:
+    m = Receiver(eager=False)
+    told = lambda x: [(x.payload.decode("utf-8", "replace"), x.n)] if x else []
+    return (lambda r: told(m.push(Slot(_optional(r.cls), 1.0, r.reliability, 2, 2, r.at, r.at)))), (lambda: told(m.flush()))
+
+
+@query(sql("SELECT src, id, turn, text, CAST(strlen(text) + 3 + greatest(4, ceil((strlen(text) + 3) / 3.0)) AS INT) AS n FROM v_payload", "v_payload"))
+def receive_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Messages read from two corrupted showings: the oracle is what was sent."""
+    ship(spark)
+    return in_order(_corrupted_slots(spark, d), KEYS, ["at"], _receiving, "src string, id bigint, turn bigint, text string, n int")
+
+
+def _decoded(words: DataFrame, decode: Callable) -> DataFrame:
+    """KEYS, text of rows (KEYS, word, ...), by a function of the row; null where it fails."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [decode(r) for r in frame.itertuples(index=False)]
+            yield frame[KEYS].assign(text=[f[0].decode("utf-8", "replace") if f else None for f in found])
+
+    ship(words.sparkSession)
+    return words.mapInPandas(run, "src string, id bigint, turn bigint, text string")
+
+
+_TEXTS = sql("SELECT src, id, turn, text FROM v_payload", "v_payload")
+
+
+@query(_TEXTS)
+def gmd_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Words with more errors than parity alone can mend, of which the margins tell."""
+    words = P.codewords(payloads(spark, d), KEYS)
+    wrong = F.floor(F.col("nsym") * 3 / 5)
+    bad = F.pmod(F.col("pos") + F.col("id"), F.col("k") + F.col("nsym")) < wrong
+    rows = words.select(*KEYS, "pos", F.when(bad, F.col("sym").bitwiseXOR(F.lit(77))).otherwise(F.col("sym")).cast("int").alias("sym"), F.when(bad, 0.1).otherwise(0.9).alias("margin"))
+    margin = F.transform(F.array_sort(F.collect_list(F.struct("pos", "margin"))), lambda x: x["margin"]).alias("margin")
+    return _decoded(rows.groupBy(*KEYS).agg(word_column(), margin), lambda r: weakest_first([_optional(s) for s in r.word], list(r.margin)))
+
+
+@query(_TEXTS)
+def shift_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Passes that lost a symbol, or got one twice."""
+    lost = F.col("pos") == F.pmod("id", F.lit(5)) + 1
+    words = P.codewords(payloads(spark, d), KEYS)
+    less = words.where(~(lost & (F.col("turn") % 2 == 0))).withColumn("half", F.lit(0))
+    more = words.where(lost & (F.col("turn") % 2 == 1)).withColumn("half", F.lit(1))
+    rows = less.unionByName(more).select(*KEYS, "k", "nsym", (F.col("pos") * 2 + F.col("half")).alias("pos"), "sym")
+    whole = rows.groupBy(*KEYS).agg(word_column(), F.first(F.col("k") + F.col("nsym")).alias("n"))
+    return _decoded(whole, lambda r: shifted([_optional(s) for s in r.word], int(r.n)))
+
+
+@query(sql("SELECT src, id, turn, CAST(strlen(text) + 2 + greatest(4, ceil((strlen(text) + 3) / 3.0)) AS INT) AS aligned FROM v_payload", "v_payload"))
+def align_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Passes that lost a symbol, aligned with the whole word: every symbol left finds a place."""
+    ship(spark)
+    words = P.codewords(payloads(spark, d), KEYS).groupBy(*KEYS).agg(word_column())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for word, k in zip(frame["word"], frame["id"], strict=True):
+                word = [int(s) for s in word]
+                found.append(len(align(word[: k % 5 + 1] + word[k % 5 + 2 :], word)))
+            yield frame[KEYS].assign(aligned=found)
+
+    return words.mapInPandas(run, "src string, id bigint, turn bigint, aligned int")
+
+
+# --- the same as streams
+
+
+@query()
+def stream_segment(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of an unbounded read of the events. What is open when the input ends stays in the state."""
+    ship(spark)
+    columns = [f.split()[0] for f in _SLOT.split(", ")]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        machine = pickle.loads(state.get[0]) if state.exists else Segmenter()
+        rows = pd.concat(list(frames)).sort_values(["t", "seq"])
+        out = [(key[0], *_row(s)) for r in rows.itertuples(index=False) for s in machine.push(r.t, bool(r.gap), _optional(r.cls), r.p)]
+        state.update((pickle.dumps(machine),))
+        yield pd.DataFrame(out, columns=columns)
+
+    events = stream_table(spark, d, "events")
+    slots = _frames(as_observations(events)).groupBy("stream_id").applyInPandasWithState(step, _SLOT, "machine binary", "append", "NoTimeout")
+    return landed(slots, "append")
+
+
+def landed(rows: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what there is and reads what it wrote; the last whole result in complete mode."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{folder}/out")
+
+    run = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+@query("SELECT epoch_us(ts) // 3600000000 AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by hour of event time over an unbounded read, with a watermark that lets old windows' state go."""
+    events = stream_table(spark, d, "events")
+    hour = F.floor(epoch_ms(F.col("ts")) / 3_600_000)
+    timed = events.withColumn("hour", hour).withColumn("at", F.timestamp_seconds(F.col("hour") * 3600)).withWatermark("at", "2 hours")
+    counted = timed.groupBy("at", "hour", "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("total"))
+    return landed(counted, "complete").select("hour", "event_type", "n", "total")
+
+

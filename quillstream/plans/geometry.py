@@ -39,7 +39,9 @@ def magenta(r: Column, g: Column, b: Column) -> Column:
 
 
 def mask(spark: SparkSession) -> DataFrame:
-    return grid(spark).where(magenta(F.col("r"), F.col("g"), F.col("b"))).select("img", "y", "x")
+    # A lambda's variable is bound once; written out, the colour would be repeated in every branch of the hue.
+    pixel = F.array(F.struct("r", "g", "b"))
+    return grid(spark).where(F.exists(pixel, lambda p: magenta(p["r"], p["g"], p["b"]))).select("img", "y", "x")
 
 
 @query(f"WITH {_GRID}, {_HUE} SELECT * FROM v_mask")

@@ -15,10 +15,14 @@ def epoch_ms(ts: Column) -> Column:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_observations(table(spark, sf_dir, "events"))
+
+
+def as_observations(events: DataFrame) -> DataFrame:
     """stream_id, seq, t_ms, gap, cls, w: events read as classifier observations."""
     k = F.get_json_object("props", "$.k").cast("int")
     cls = F.when(F.col("event_type") == "signup", None).when(k >= 95, 258).when(k >= 84, 257).when(k >= 70, 256).otherwise(k)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("stream_id"),
         F.col("event_id").alias("seq"),
         epoch_ms(F.col("ts")).cast("bigint").alias("t_ms"),
