@@ -16,6 +16,8 @@ SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    # Batches of texts go to Python a thousand documents at a time: with long documents, ten thousand would be too much at once.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy step works on; a single longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3  # odd, so it has an inverse modulo 2**64
@@ -52,7 +52,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, doubled in length when a longer text comes."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(23, int(n - 1).bit_length())
+        size = 1 << max(21, int(n - 1).bit_length())
         tables = []
         for b in (_BASE, _INVERSE):
             t = np.ones(size, np.uint64)
