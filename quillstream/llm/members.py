@@ -41,4 +41,4 @@ def may_be_in(bits, key: Column) -> Column:
         at = np.mod(keys.to_numpy(np.int64, na_value=0), BITS)
         return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
-    return test(key)
+    return test(F.coalesce(key, F.lit(0)))

@@ -281,7 +281,7 @@ def encoded(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), listed(ids), listed(ends), pa.array(np.diff(cuts), pa.int64())], names=[*kept, "ids", "token_ends", "n_tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept, text_col).mapInArrow(run, f"{schema}, ids array<int>, token_ends array<int>, n_tokens bigint")
+    return docs.select(*dict.fromkeys((*kept, text_col))).mapInArrow(run, f"{schema}, ids array<int>, token_ends array<int>, n_tokens bigint")
 
 
 def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
