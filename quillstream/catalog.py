@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import dimensions, exact, geometry, protocol, quality, signal, similarity, simulate  # noqa: F401
+from .plans import dimensions, exact, extras, geometry, protocol, quality, signal, similarity, simulate  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

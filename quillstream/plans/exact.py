@@ -196,3 +196,22 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return landed(counted, "complete").select("hour", "event_type", "n", "total")
 
 
+
+
+@query(_TEXTS)
+def stream_receive(spark: SparkSession, d: str) -> DataFrame:
+    """Messages read from a feed of slots, each as soon as it can be: the state is the receiver, and its first result is the only one."""
+    ship(spark)
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    slots = _corrupted_slots(spark, d)
+    slots.write.parquet(folder)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        machine = pickle.loads(state.get[0]) if state.exists else Receiver(eager=False)
+        rows = pd.concat(list(frames)).sort_values("at")
+        out = [m for r in rows.itertuples(index=False) if (m := machine.push(Slot(_optional(r.cls), 1.0, r.reliability, 2, 2, r.at, r.at)))]
+        state.update((pickle.dumps(machine),))
+        yield pd.DataFrame([(*key, m.payload.decode("utf-8", "replace")) for m in out], columns=[*KEYS, "text"])
+
+    feed = spark.readStream.schema(slots.schema).parquet(folder)
+    return landed(feed.groupBy(*KEYS).applyInPandasWithState(step, "src string, id bigint, turn bigint, text string", "machine binary", "append", "NoTimeout"), "append")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.frames import observe, packed
 from ..registry import query
+from ..shipping import ship
 
 #: The grid: images of 64 x 48 pixels.
 IMAGES, WIDTH, HEIGHT = 20, 64, 48
@@ -164,3 +169,15 @@ def homography_apply(spark: SparkSession, d: str) -> DataFrame:
 def frame_geometry(spark: SparkSession, d: str) -> DataFrame:
     w = 100 + F.col("id") * 3
     return spark.range(200).select("id", F.round(w * 0.06).cast("bigint").alias("border"), F.round(w * 0.92).cast("bigint").alias("outer_side"))
+
+
+@query()
+def frame_observations(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain on images: locate the frame, crop, test for a gap, score, decide. The scorer is a stand-in that rates classes by the crop's mean colour."""
+    ship(spark)
+
+    def load() -> Callable[[np.ndarray], np.ndarray]:
+        anchors = np.linspace(0, 255, 16)
+        return lambda crops: -np.abs(crops.mean(axis=(1, 2, 3))[:, None] - anchors[None, :])
+
+    return observe(packed(grid(spark)), load, 16)
