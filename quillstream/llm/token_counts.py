@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import cut
 from .tokenizer import length_histogram
 
 #: Lengths to a block of the suffix sums.
@@ -53,7 +54,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
-    return suffix_sums(length_histogram(docs, path, text_col=text_col))
+    return suffix_sums(cut(length_histogram(docs, path, text_col=text_col)))
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
