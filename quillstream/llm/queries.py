@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import decontaminate, fingerprints, neardup, passages, pii, sentences, sharding, token_counts, tokenizer, toxicity
+from . import decontaminate, fingerprints, neardup, oracles, passages, pii, sentences, sharding, token_counts, tokenizer, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
