@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import Lookup
 from .text import ALNUM, grams, lowered, prefix_sums, slice_hash, steps, text_bytes, words
 
 WORDS = 3
@@ -35,9 +36,6 @@ LIKENESS = 0.5
 ITEM_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
-_FILTER = 1 << 22
-
-
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and n + 1 offsets by text."""
     low = lowered(data)
@@ -45,28 +43,6 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (slice_hash(prefix_sums(low), starts, ends) if len(starts) else np.zeros(0, np.uint64)), by_text
 
 
-class Lookup:
-    """Position in a sorted set of hashes, by way of a small filter that nearly all absent ones fail."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = np.unique(values)
-        self.filter = np.zeros(_FILTER, bool)
-        self.filter[self._slot(self.values)] = True
-
-    @staticmethod
-    def _slot(x: np.ndarray) -> np.ndarray:
-        return (x & np.uint64(_FILTER - 1)).astype(np.int64)
-
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where in x, where in values) of the members."""
-        at = np.flatnonzero(self.filter[self._slot(x)])
-        if not len(at) or not len(self.values):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pos = np.minimum(np.searchsorted(self.values, x[at]), len(self.values) - 1)
-        hit = self.values[pos] == x[at]
-        return at[hit], pos[hit]
-
-
 @dataclass
 class Items:
     ids: list

@@ -29,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import Lookup
 from .runtime import cut
+from .text import mixed, prefix_sums, slice_hash, steps, words
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 5
@@ -44,8 +46,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9._%+@/-]+")
-_WORD = re.compile(r"\S+")
-_GLUE = re.compile(r"[:=(\[<\"\']")
+_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
+#: Characters at which the front of a word may end as a pattern, and the greatest length of such a front.
+GLUE = b":=([<\"'"
+LONGEST_GLUE = 40
+
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+_GLUE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_GLUE[list(GLUE)] = True
+_MARK[list(b"0123456789@")] = True
 
 
 def luhn(digits: str) -> bool:
@@ -92,24 +101,19 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, k, b in sorted(found)]
 
 
-def _plain(word: str) -> str:
-    return re.sub(r"[0-9]+", "0", word.lower())
+def _plain(data: bytes) -> bytes:
+    """ASCII letters in lower case, every digit as 0."""
+    return data.translate(_PLAIN)
 
 
-def contexts(text: str, start: int) -> list[str]:
+def contexts(text: str, start: int) -> list[bytes]:
     """The lexical patterns before a place: what is glued to it, the word before, the two words before."""
-    lo = max(0, start - 120)
-    before = text[lo:start]
-    glued = re.search(r"\S*$", before)[0]
-    rest = before[: len(before) - len(glued)].split()
-    out = []
-    if glued and len(glued) < 40:
-        out.append("0 " + _plain(glued))
-    elif not glued and rest:
-        out.append("1 " + _plain(rest[-1]))
-        if len(rest) > 1:
-            out.append("2 " + _plain(rest[-2]) + " " + _plain(rest[-1]))
-    return out
+    before = _plain(text[max(0, start - 120) : start].encode())
+    *rest, glued = _SPACE.split(before)
+    rest = [w for w in rest if w]
+    if glued:
+        return [b"0 " + glued] if len(glued) < LONGEST_GLUE and glued[-1:] in GLUE else []
+    return [b"1 " + w for w in rest[-1:]] + [b"2 " + b" ".join(rest[-2:]) for _ in rest[1:2]]
 
 
 def _identifier(text: str, start: int) -> str | None:
@@ -119,21 +123,61 @@ def _identifier(text: str, start: int) -> str | None:
     return s if len(s) >= 6 and re.search(r"[0-9@]", s) else None
 
 
-def occurrences(text: str, patterns: dict[str, str]) -> Iterator[tuple[str, int]]:
-    """(pattern, place after it) wherever a pattern of the set stands before a word or glued to the front of one."""
-    one = two = None
-    for m in _WORD.finditer(text):
-        w, a = m[0], m.start()
-        if one is not None:
-            if (p := "1 " + one) in patterns:
-                yield p, a
-            if two is not None and (p := "2 " + two + " " + one) in patterns:
-                yield p, a
-        if len(w) > 1:
-            for g in _GLUE.finditer(w[:40]):
-                if (p := "0 " + _plain(w[: g.end()])) in patterns:
-                    yield p, a + g.end()
-        two, one = one, _plain(w)
+def _hashed(data: bytes) -> np.uint64:
+    a = np.frombuffer(data, np.uint8)
+    return slice_hash(prefix_sums(a), np.array([0]), np.array([len(a)]))[0]
+
+
+def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return mixed(one * np.uint64(3) + mixed(two))
+
+
+class Matcher:
+    """A set of patterns, found in many texts at once by the hashes of words and of the fronts of words."""
+
+    def __init__(self, kinds: dict[bytes, str]):
+        self.kinds = kinds
+        by_hash: dict[str, dict[int, bytes]] = {"0": {}, "1": {}, "2": {}}
+        for p in kinds:
+            own = p[2:]
+            if p[:1] == b"2":
+                one, two = own.split(b" ")
+                h = _pair(np.array([_hashed(one)]), np.array([_hashed(two)]))[0]
+            else:
+                h = _hashed(own)
+            by_hash[p[:1].decode()][int(h)] = p
+        self.looks = {k: Lookup(np.array(list(v), np.uint64)) for k, v in by_hash.items()}
+        self.names = {k: [by_hash[k][int(h)] for h in look.values] for k, look in self.looks.items()}
+
+    def places(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each sort of pattern: its patterns, and of each occurrence the pattern's number, the text, the place after it (a position in ``data``) and the end of the word there."""
+        low = np.frombuffer(_plain(data.tobytes()), np.uint8)
+        starts, ends, by_text = words(low, offsets)
+        if len(starts) < 1:
+            return
+        sums = prefix_sums(low)
+        text = np.repeat(np.arange(len(by_text) - 1), np.diff(by_text))
+        hashed = slice_hash(sums, starts, ends)
+        follows = np.flatnonzero(text[1:] == text[:-1])  # words with a next one in their text
+        at, which = self.looks["1"].find(hashed[follows])
+        nxt = follows[at] + 1
+        yield self.names["1"], which, text[nxt], starts[nxt], ends[nxt]
+        two = follows[1:][(np.diff(follows) == 1) & (text[follows[1:]] == text[follows[:-1]])]
+        at, which = self.looks["2"].find(_pair(hashed[two - 1], hashed[two]))
+        nxt = two[at] + 1
+        yield self.names["2"], which, text[nxt], starts[nxt], ends[nxt]
+        glue = np.flatnonzero(_GLUE[low])
+        word = np.searchsorted(starts, glue, "right") - 1
+        short = glue - starts[word] + 1 < LONGEST_GLUE
+        glue, word = glue[short], word[short]
+        at, which = self.looks["0"].find(slice_hash(sums, starts[word], glue + 1))
+        yield self.names["0"], which, text[word[at]], glue[at] + 1, ends[word[at]]
+
+
+def _like_identifier(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a word's rest may be an identifier: a digit or ``@`` in it, and six bytes or more."""
+    marks = np.concatenate([[0], np.cumsum(_MARK[data])])
+    return (end - start >= 6) & (marks[end] > marks[start])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
@@ -150,7 +194,7 @@ def seed_patterns(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
         for text in _texts(batches):
             for start, _, kind in base_spans(text):
-                seen["", kind] += 1
+                seen[b"", kind] += 1
                 for p in contexts(text, start):
                     seen[p, kind] += 1
             if len(seen) > 100_000:
@@ -158,40 +202,51 @@ def seed_patterns(docs: DataFrame) -> DataFrame:
                 seen.clear()
         yield _counted(seen)
 
-    counted = docs.select("text").mapInArrow(run, "pattern string, kind string, seeds bigint").groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
+    counted = docs.select("text").mapInArrow(run, "pattern binary, kind string, seeds bigint").groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
     counted = cut(counted)
-    total = counted.where("pattern = ''").agg(F.coalesce(F.sum("seeds"), F.lit(0))).first()[0]
-    by_pattern = counted.where("pattern <> ''").groupBy("pattern").agg(F.sum("seeds").alias("seeds"), F.max_by("kind", "seeds").alias("kind"))
+    total = counted.where("length(pattern) = 0").agg(F.coalesce(F.sum("seeds"), F.lit(0))).first()[0]
+    by_pattern = counted.where("length(pattern) > 0").groupBy("pattern").agg(F.sum("seeds").alias("seeds"), F.max_by("kind", "seeds").alias("kind"))
     return by_pattern.where(F.col("seeds") >= max(LEAST_SEEDS, LEAST_SHARE * total))
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
     keys = list(seen)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "kind", "seeds"])
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "kind", "seeds"])
 
 
-def graph(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
+def graph(docs: DataFrame, patterns: dict[bytes, str]) -> DataFrame:
     """pattern, instance (null: not like an identifier), seed, n."""
     held = docs.sparkSession.sparkContext.broadcast(patterns)
 
     def given(seen: Counter) -> pa.RecordBatch:
         keys = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "instance", "seed", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "instance", "seed", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = held.value, Counter()
-        for text in _texts(batches):
-            starts = {a for a, _, _ in base_spans(text)}
-            for p, at in occurrences(text, known):
-                s = _identifier(text, at)
-                seed = at in starts
-                seen[p, text[at : at + 24] if seed and not s else s, seed] += 1
+        matcher, seen = Matcher(held.value), Counter()
+        for _, data, offsets in steps(batches):
+            base: dict[int, tuple[str, int, set[int]]] = {}
+            for names, which, text, start, end in matcher.places(data, offsets):
+                for k, n in enumerate(np.bincount(which, minlength=len(names)).tolist()):
+                    if n:
+                        seen[names[k], None, False] += n
+                for k in np.flatnonzero(_like_identifier(data, start, end)).tolist():
+                    t = int(text[k])
+                    if t not in base:
+                        own = data[offsets[t] : offsets[t + 1]].tobytes().decode()
+                        base[t] = (own, int(offsets[t]), {a for a, _, _ in base_spans(own)})
+                    own, first, seeds = base[t]
+                    at = len(data[first : start[k]].tobytes().decode())
+                    s = _identifier(own, at)
+                    if s or at in seeds:
+                        seen[names[which[k]], None, False] -= 1
+                        seen[names[which[k]], s or own[at : at + 24], at in seeds] += 1
             if len(seen) > 100_000:
                 yield given(seen)
                 seen.clear()
         yield given(seen)
 
-    schema = "pattern string, instance string, seed boolean, n bigint"
+    schema = "pattern binary, instance string, seed boolean, n bigint"
     return docs.select("text").mapInArrow(run, schema).groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n"))
 
 
@@ -207,26 +262,31 @@ def confidence(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return scored.groupBy("pattern").agg(share.alias("confidence"), new.alias("new"))
 
 
-def learnt(docs: DataFrame) -> dict[str, str]:
+def learnt(docs: DataFrame) -> dict[bytes, str]:
     """pattern -> kind, of the patterns to apply. Their number is bounded (see ``seed_patterns``)."""
-    patterns = {r[0]: r[1] for r in seed_patterns(docs).select("pattern", "kind").collect()}
+    patterns = {bytes(r[0]): r[1] for r in seed_patterns(docs).select("pattern", "kind").collect()}
     if not patterns:
         return {}
     good = confidence(cut(graph(docs, patterns))).where((F.col("confidence") >= CONFIDENT) & F.col("new"))
-    return {r[0]: patterns[r[0]] for r in good.select("pattern").collect()}
+    return {bytes(r[0]): patterns[bytes(r[0])] for r in good.select("pattern").collect()}
 
 
-def found_spans(text: str | None, patterns: dict[str, str]) -> list[tuple[int, int, str]]:
+def found_spans(text: str | None, matcher: Matcher | None) -> list[tuple[int, int, str]]:
     """Base spans and those that the patterns add, in order."""
     spans = base_spans(text)
-    if not text or not patterns:
+    if not text or matcher is None or not matcher.kinds:
         return spans
-    taken = sorted((a, b) for a, b, _ in spans)
+    data = np.frombuffer(text.encode(), np.uint8)
+    places = []
+    for names, which, _, start, end in matcher.places(data, np.array([0, len(data)])):
+        for k in np.flatnonzero(_like_identifier(data, start, end)).tolist():
+            places.append((len(data[: start[k]].tobytes().decode()), names[which[k]]))
+    taken = [(a, b) for a, b, _ in spans]
     more = []
-    for p, at in occurrences(text, patterns):
+    for at, p in sorted(places):
         s = _identifier(text, at)
         if s and not any(a < at + len(s) and at < b for a, b in taken):
-            more.append((at, at + len(s), patterns[p]))
+            more.append((at, at + len(s), matcher.kinds[p]))
             taken.append((at, at + len(s)))
     return sorted([*spans, *more], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -240,7 +300,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     patterns = docs.sparkSession.sparkContext.broadcast(learnt(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = patterns.value
+        known = Matcher(patterns.value) if patterns.value else None
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found")}
             for t in batch.column("text"):
@@ -259,9 +319,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_found bigint")
 
 
-def mask(text: str | None, patterns: dict[str, str]) -> str | None:
+def mask(text: str | None, matcher: Matcher | None) -> str | None:
     """Each span replaced by its kind in capitals; overlapping spans become one."""
-    spans = found_spans(text, patterns)
+    spans = found_spans(text, matcher)
     if not spans:
         return text
     out, done = [], 0
@@ -277,9 +337,10 @@ def masked(docs: DataFrame) -> DataFrame:
     patterns = docs.sparkSession.sparkContext.broadcast(learnt(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Matcher(patterns.value) if patterns.value else None
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [mask(t.as_py(), patterns.value) for t in batch.column(at)]
+            texts = [mask(t.as_py(), known) for t in batch.column(at)]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             k = batch.schema.get_field_index("n_chars")
             if k >= 0:

@@ -46,10 +46,17 @@ def test_long_texts_take_linear_time(text):
     assert time.perf_counter() - began < 2
 
 
+def test_contexts():
+    assert pii.contexts("a@b.cc", 0) == [] and pii.contexts(" \n a@b.cc", 3) == []
+    assert pii.contexts("Mail7 a@b.cc", 6) == [b"1 mail0"]
+    assert pii.contexts("x, or\nTo a@b.cc", 9) == [b"1 to", b"2 or to"]
+    assert pii.contexts("see mail:a@b.cc", 9) == [b"0 mail:"] and pii.contexts("see maila@b.cc", 8) == []
+
+
 def bootstrap_rows():
     rows = [(k, f"some words here Passport-Mail: user{k}@mail{k}.example.com and more of it {k}") for k in range(40)]
     rows += [(100 + k, f"Passport-Mail: agent{k}#x or Passport-Mail: zz-{k}77ab then") for k in range(3)]
-    return rows + [(200, "the number 12345678 stands alone"), (201, None), (202, "")]
+    return rows + [(300, "user9@mail9.example.com first"), (301, "+1 (234) 555-0199"), (200, "the number 12345678 stands alone"), (201, None), (202, "")]
 
 
 def test_contexts_find_unseen_identifiers(spark):

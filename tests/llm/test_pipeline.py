@@ -30,7 +30,7 @@ def test_against_brute_force(spark):
     gone = {r.doc_id for r in decontaminate.contaminated(kept, items).collect()}
     assert exact <= gone
     patterns = pii.learnt(kept.where(~kept.doc_id.isin(list(gone) or [-1])))
-    want = {i: pii.mask(t, patterns) for i, t in left.items() if i not in gone}
+    want = {i: pii.mask(t, pii.Matcher(patterns)) for i, t in left.items() if i not in gone}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == set(want)
     with open(public_tokenizers.path(queries.VOCABULARY), "rb") as f:
