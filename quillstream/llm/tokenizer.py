@@ -35,7 +35,7 @@ NEW_LETTERS = [
 ]
 NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 #: Cached pieces of a worker; beyond this many the cache starts anew.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 400_000
 #: Pieces longer than this are merged with a heap.
 LONG_PIECE = 64
 

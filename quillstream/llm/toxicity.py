@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .text import ALNUM, lowered, mixed, prefix_sums, slice_hash, steps, words
 
-POSITIVES, UNLABELLED, CALIBRATION = 2_000, 5_000, 5_000
+POSITIVES, UNLABELLED, CALIBRATION = 2_000, 4_000, 3_000
 SLOTS = 1 << 20
 PREFIXES = (4, 5, 6)
 #: A feature is used if this many training positives have it, and this share of them, and this many times as often as the rest.
@@ -164,7 +164,7 @@ def _sample(docs: DataFrame, ids: DataFrame, n: int) -> list:
     slots = rows.column("slots").take(pa.array(order)).combine_chunks()
     slots = slots.combine_chunks() if isinstance(slots, pa.ChunkedArray) else slots
     lengths = np.array([len(x) for x in slots], np.int64)
-    return [Rows(slots.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])), rows.column("toxic").to_numpy()[order]]
+    return [Rows(slots.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)])), rows.column("toxic").to_numpy()[order]]
 
 
 def _fitted(positive: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         held, y = _sample(docs, known.where(f"fold = {fold}").select("doc_id", "toxic"), CALIBRATION)
         if positive[1 - k].n and held.n:
             _, weight, bias = _fitted(positive[1 - k], unlabelled[1 - k], prior)
-            z.append(held.dot(weight) + bias)
+            z.append(held.only(np.where(weight != 0, np.arange(SLOTS), -1)).dot(weight) + bias)
             truth.append(y)
     used, weight, bias = _fitted(_joined(positive), _joined(unlabelled), prior)
     slope, cut = scale(np.concatenate(z), np.concatenate(truth) > 0) if z else (1.0, 0.0)
