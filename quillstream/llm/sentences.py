@@ -4,8 +4,10 @@ Every run of ``SENTENCES`` consecutive sentences is hashed (lower-cased words, w
 joined over the whole corpus. The first occurrence of a run is the one in the least document (by id, then text) and
 there the earliest; sentences that any other occurrence covers are removed.
 
-A sentence ends after a word that ends in ``.``, ``!`` or ``?``, and at a line's end. A document with fewer sentences
-has its whole sequence as one run. Runs of fewer than ``LEAST_WORDS`` words are too common to tell a copy and are not
+A sentence ends after a word that ends in ``.``, ``!`` or ``?``, and at a line's end. Text without such marks would be
+one sentence, whatever part of it is copied; so a sentence of more than ``LONG`` words is also cut after every word whose
+hash says so (one in eight), and copies are cut at the same words. A document with fewer sentences has its whole sequence
+as one run. Runs of fewer than ``LEAST_WORDS`` words are too common to tell a copy and are not
 compared. Null and empty texts have no sentences. Rows equal in doc_id and text count as one document. An empty table
 gives no rows. Extra columns are ignored.
 """
@@ -26,33 +28,37 @@ from .text import grams, lowered, prefix_sums, slice_hash, steps, words
 
 SENTENCES = 3
 LEAST_WORDS = 10
+LONG = 24
+CUT_MASK = np.uint64(7)
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, word ends, number of the first word of each sentence, and n + 1 sentence offsets by text."""
-    starts, ends, by_text = words(data, offsets)
+def sentences(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, word hashes, number of the first word of each sentence, and n + 1 sentence offsets by text, of lower-cased bytes."""
+    starts, ends, by_text = words(low, offsets)
     n = len(starts)
     if not n:
-        return starts, ends, np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
+        return starts, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    hashed = slice_hash(prefix_sums(low), starts, ends)
+    lines = np.concatenate([[0], np.cumsum(low == 10)])
     begins = np.ones(n, bool)
-    begins[1:] = _ENDS[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
+    begins[1:] = _ENDS[low[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
     begins[by_text[:-1][np.diff(by_text) > 0]] = True
     first = np.flatnonzero(begins)
-    return starts, ends, first, np.searchsorted(first, by_text)
+    size = np.diff(np.append(first, n))
+    begins[1:] |= np.repeat(size > LONG, size)[1:] & (hashed[:-1] & CUT_MASK == 0)
+    first = np.flatnonzero(begins)
+    return starts, hashed, first, np.searchsorted(first, by_text)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, first sentence, hash) of each run of ``size`` sentences."""
-    low = lowered(data)
-    starts, ends, first, by_text = sentences(low, offsets)
+    starts, word, first, by_text = sentences(lowered(data), offsets)
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
-    word = slice_hash(prefix_sums(low), starts, ends)
     # A sentence's hash is that of its word hashes in their order.
     order = prefix_sums(word)
     stop = np.concatenate([first[1:], [len(starts)]])
@@ -79,7 +85,7 @@ def _found(rows: DataFrame, size: int) -> DataFrame:
 def _cleaned(rows: DataFrame, size: int, changed: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches):
-            starts, _, first, by_text = sentences(data, offsets)
+            starts, _, first, by_text = sentences(lowered(data), offsets)
             gone = batch.column("gone").to_pylist() if changed else [None] * batch.num_rows
             removed, texts = [], []
             for k, at in enumerate(gone):

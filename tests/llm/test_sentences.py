@@ -1,19 +1,32 @@
 import random
 import re
 
+import numpy as np
 from helpers import corpus, empty, words
 
 from quillstream.llm import sentences as S
+from quillstream.llm.text import lowered, prefix_sums, slice_hash
 
 
 def split(text):
-    """Sentences as lists of lower-cased words, with the white space after each."""
+    """Sentences as lists of matches of a word and the white space after it."""
     out, now = [], []
     for m in re.finditer(r"([^ \t\n\r\x0b\x0c]+)([ \t\n\r\x0b\x0c]*)", text or ""):
         now.append(m)
         if m[1][-1] in ".!?" or "\n" in m[2]:
             out.append(now)
             now = []
+    return [part for s in (out + [now] if now else out) for part in (cut(s) if len(s) > S.LONG else [s])]
+
+
+def cut(sentence):
+    out, now = [], []
+    for m in sentence:
+        now.append(m)
+        data = np.frombuffer(lowered(np.frombuffer(m[1].encode(), np.uint8)).tobytes(), np.uint8)
+        if slice_hash(prefix_sums(data), np.array([0]), np.array([len(data)]))[0] & S.CUT_MASK == 0:
+            out.append(now)
+            now = []
     return out + [now] if now else out
 
 
@@ -64,3 +77,11 @@ def test_equal_rows_are_one_document_and_empty_table(spark):
     got = sorted(((x.doc_id, x.n_removed) for x in S.without_repeated_runs(docs).collect()), key=str)
     assert got == [(1, 3), (1, 3), (None, 0)]
     assert S.without_repeated_runs(empty(spark)).count() == 0
+
+
+def test_a_passage_without_marks_is_found(spark):
+    r = random.Random(8)
+    passage = " ".join(words(r, 60, 5000))
+    rows = [(k, " ".join([*words(r, 30 + k, 5000), passage, *words(r, 25, 5000)])) for k in range(4)]
+    got = {x.doc_id: x.n_removed for x in S.without_repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == 0 and min(got[k] for k in (1, 2, 3)) >= 3
