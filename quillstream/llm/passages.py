@@ -10,9 +10,10 @@ strings (``CONTEXT`` of them) are the phrase's key. Strings can be equal only if
 * else the dictionary entries of the key are compared string by string, one copy of each entry, however many
   documents hold it.
 
-The suffix arrays of dictionary and parse are not built: to find repeats of a fixed length only equality classes are
-needed, not corpus order, and sorting every suffix of a mostly unrepeated dictionary costs more than the budget. The
-README says so.
+Two suffix arrays serve that comparison: one of the dictionary, of what precedes the trigger in each entry (read
+backwards), and one of the parse, of what follows it. A string is a suffix of its phrase up to the trigger, then a
+prefix of what follows; so its place in corpus order is given by its classes in the two arrays at the depths of its two
+parts, which adjacent common prefixes tell. Strings are equal, byte by byte, if both classes are.
 
 Null and empty texts, and texts under LENGTH bytes, keep everything. Equal rows count as separate documents. Rows may
 share a doc_id; a null doc_id is carried. An empty table gives no rows. Extra columns are ignored.
@@ -38,6 +39,8 @@ CONTEXT = LENGTH - TRIGGERS + 1
 GRAM = 8
 #: Dictionary entries of one key that a task compares in memory; keys with more are compared by a shuffle on the strings' own hashes.
 ENTRIES_IN_TASK = 20_000
+#: Entries that are sorted at a time, whatever their keys.
+TOGETHER = 20_000
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,9 +123,56 @@ def _strings(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slice_hash(prefix_sums(data), start, start + LENGTH), owner, inside
 
 
-def _runs(owner: np.ndarray, inside: np.ndarray, repeated: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _common(sorted_parts: list[bytes]) -> np.ndarray:
+    """Length of the common prefix of each part with the one before it; -1 for the first."""
+    size = np.array([len(x) for x in sorted_parts], np.int64)
+    width = max(1, int(size.max()))
+    grid = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in sorted_parts), np.uint8).reshape(-1, width)
+    differ = grid[1:] != grid[:-1]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return np.concatenate([[-1], np.minimum(first, np.minimum(size[1:], size[:-1]))])
+
+
+def _suffix_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefixes with the part before) of the sorted parts."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    return np.array(order, np.int64), _common([parts[k] for k in order])
+
+
+def repeated_strings(found: list[bytes], back: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, position) of every string that another entry has too, or that is in an entry of several copies, by entry and position.
+
+    found: the entries' bytes; back: how many of them precede the trigger.
+    """
+    back = back.astype(np.int64)
+    last = np.array([len(x) for x in found], np.int64) - LENGTH  # position of an entry's last string
+    before, common_before = _suffix_order([x[:b][::-1] for x, b in zip(found, back.tolist(), strict=True)])
+    after, common_after = _suffix_order([x[b:] for x, b in zip(found, back.tolist(), strict=True)])
+    n = len(found)
+    left, right = np.empty(n, np.int64), np.empty(n, np.int64)
+    owner, place = [], []
+    for depth in range(int(back.max()) + 1):
+        at = np.flatnonzero((back >= depth) & (back - depth <= last))
+        if not len(at):
+            continue
+        left[before] = np.cumsum(common_before < depth)
+        right[after] = np.cumsum(common_after < LENGTH - depth)
+        both = left[at] * (n + 1) + right[at]
+        order = np.argsort(both, kind="stable")
+        s = both[order]
+        same = np.concatenate([[False], s[1:] == s[:-1]])
+        again = np.zeros(len(at), bool)
+        again[order] = same | np.concatenate([same[1:], [False]])
+        again |= copies[at] > 1
+        owner.append(at[again])
+        place.append(back[at[again]] - depth)
+    owner, place = np.concatenate(owner), np.concatenate(place)
+    order = np.lexsort((place, owner))
+    return owner[order], place[order]
+
+
+def _runs(owner: np.ndarray, inside: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte runs covered by repeated strings: offsets by entry, starts, ends; neighbours a LENGTH apart or less are merged."""
-    owner, inside = owner[repeated], inside[repeated]
     if not len(owner):
         return np.zeros(n + 1, np.int64), inside, inside
     new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (inside[1:] - inside[:-1] > LENGTH)])
@@ -144,19 +194,13 @@ def _compared(entries: DataFrame) -> DataFrame:
             rows, held = held[: len(held) - keep], held[len(held) - keep :]
             if not rows:
                 return
-            hashes, owner, inside = _strings([r[4] for r in rows])
-            key = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-            tagged = hashes ^ mixed(key)[owner]
-            order = np.argsort(tagged, kind="stable")
-            s = tagged[order]
-            same = np.concatenate([[False], s[1:] == s[:-1]])
-            repeated = np.zeros(len(s), bool)
-            repeated[order] = same | np.concatenate([same[1:], [False]])
-            repeated |= (np.array([r[2] for r in rows]) > 1)[owner]
-            yield _batch(rows, *_runs(owner, inside, repeated, len(rows)))
+            owner, inside = repeated_strings([r[4] for r in rows], np.array([r[3] for r in rows]), np.array([r[2] for r in rows]))
+            yield _batch(rows, *_runs(owner, inside, len(rows)))
 
         for batch in batches:
             held += zip(*(batch.column(c).to_pylist() for c in ("key", "entry", "copies", "back", "bytes")), strict=True)
+            if len(held) < TOGETHER:
+                continue
             last = 0
             while last < len(held) and held[-1 - last][0] == held[-1][0]:
                 last += 1

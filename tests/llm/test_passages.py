@@ -19,8 +19,10 @@ def test_against_brute_force(spark, seed):
     assert got == brute_repeats([(r.doc_id, r.text) for r in docs.collect()], passages.LENGTH)
 
 
+@pytest.mark.parametrize("together", [1, 20_000])
 @pytest.mark.parametrize("crowd", [20_000, 1])
-def test_periods_cuts_and_overlaps(spark, monkeypatch, crowd):
+def test_periods_cuts_and_overlaps(spark, monkeypatch, crowd, together):
+    monkeypatch.setattr(passages, "TOGETHER", together)
     monkeypatch.setattr(passages, "ENTRIES_IN_TASK", crowd)
     r = random.Random(4)
     noise = lambda n: "".join(r.choice("abcdefgé ") for _ in range(n))
