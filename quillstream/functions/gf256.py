@@ -19,11 +19,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 EXP, LOG = _tables()
 
 
-def mul(a, b) -> np.ndarray:
-    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+def _products() -> np.ndarray:
+    a, b = np.indices((256, 256))
     return np.where((a == 0) | (b == 0), 0, EXP[LOG[a] + LOG[b]])
 
 
+PRODUCT = _products()
+
+
+def mul(a, b) -> np.ndarray:
+    return PRODUCT[a, b]
+
+
 def inverse(a) -> np.ndarray:
     return EXP[255 - LOG[np.asarray(a, np.int64)]]
 
@@ -38,12 +45,9 @@ def poly_mul(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def poly_at(p: np.ndarray, x) -> np.ndarray:
-    """Values at the points x, lowest degree first."""
-    x = np.asarray(x, np.int64)
-    out = np.zeros(x.shape, np.int64)
-    for c in p[::-1]:
-        out = mul(out, x) ^ c
-    return out
+    """Values at the points x (none of them zero), lowest degree first: all powers at once, then one XOR."""
+    powers = EXP[LOG[np.asarray(x, np.int64)][:, None] * np.arange(len(p))[None, :] % 255]
+    return np.bitwise_xor.reduce(PRODUCT[powers, p[None, :]], axis=1)
 
 
 def generator(nsym: int) -> np.ndarray:

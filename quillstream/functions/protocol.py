@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +14,19 @@ from ..constants import CRC_INIT, CRC_POLY, END, MAX_PAYLOAD, MIN_PARITY, START
 from . import gf256
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def utf8_bytes(text: Column) -> Column:
     """array<int> of the text's UTF-8 bytes."""
-    code = F.hex(F.encode(text, "UTF-8"))
-    at = F.sequence(F.lit(1), F.length(code), F.lit(2))
-    return F.when(F.length(code) == 0, F.array().cast("array<int>")).otherwise(F.transform(at, lambda i: F.conv(code.substr(i, F.lit(2)), 16, 10).cast("int")))
+
+    def listed(code: Column) -> Column:
+        at = F.sequence(F.lit(1), F.length(code), F.lit(2))
+        return F.when(F.length(code) == 0, F.array().cast("array<int>")).otherwise(F.transform(at, lambda i: F.conv(code.substr(i, F.lit(2)), 16, 10).cast("int")))
+
+    return bound(F.hex(F.encode(text, "UTF-8")), listed)
 
 
 def crc16(data: Column) -> Column:
@@ -43,25 +52,24 @@ def codeword_lengths(spark: SparkSession) -> DataFrame:
 
 def data_symbols(text: Column) -> Column:
     """LEN, payload, CRC high, CRC low."""
-    data = utf8_bytes(text)
-    crc = crc16(data)
-    return F.concat(F.array(F.size(data)), data, F.array(F.shiftright(crc, 8), crc.bitwiseAND(255)))
+    framed = lambda d, c: F.concat(F.array(F.size(d)), d, F.array(F.shiftright(c, 8), c.bitwiseAND(255)))
+    return bound(utf8_bytes(text), lambda d: bound(crc16(d), lambda c: framed(d, c)))
 
 
 @cache
-def _parity_rows() -> pd.DataFrame:
+def _parity_rows() -> pa.Table:
     parts = []
     for nsym in range(MIN_PARITY, -(-(MAX_PAYLOAD + 3) // 3) + 1):
         # k data symbols have nsym parity symbols for k in (3 (nsym - 1), 3 nsym]; degrees run from 0 to k - 1.
         r = gf256.remainders(nsym, min(3 * nsym, MAX_PAYLOAD + 3))
         d, j = np.indices(r.shape)
-        parts.append(pd.DataFrame({"nsym": nsym, "deg": d.ravel(), "j": j.ravel(), "coef": r.ravel()}))
-    return pd.concat(parts, ignore_index=True).astype("int32")
+        parts.append(np.stack([np.full(d.size, nsym), d.ravel(), j.ravel(), r.ravel()]))
+    return pa.table(list(np.concatenate(parts, axis=1).astype(np.int32)), names=["nsym", "deg", "j", "coef"])
 
 
 def parity_table(spark: SparkSession) -> DataFrame:
     """nsym, deg, j, coef: parity symbol j of a one at degree deg. About 268,000 narrow rows, fixed by the protocol."""
-    return spark.createDataFrame(_parity_rows(), "nsym int, deg int, j int, coef int")
+    return spark.createDataFrame(_parity_rows())
 
 
 def product(a: Column, b: Column) -> Column:
