@@ -84,15 +84,19 @@ def power(e: Column) -> Column:
 
 def exploded(messages: DataFrame, keys: list[str]) -> DataFrame:
     """keys, k, nsym, pos, sym: data symbols of ``text`` one to a row."""
-    framed = messages.select(*keys, data_symbols(F.col("text")).alias("data"))
-    framed = framed.withColumn("k", F.size("data")).withColumn("nsym", parity_count(F.col("k")))
-    return framed.select(*keys, "k", "nsym", F.posexplode("data").alias("pos", "sym"))
+    # k is taken from the text and not from the symbols: the optimiser would compute these anew for every row made of them.
+    k = (F.octet_length("text") + 3).cast("int")
+    return messages.select(*keys, k.alias("k"), parity_count(k).alias("nsym"), F.posexplode(data_symbols(F.col("text"))).alias("pos", "sym"))
 
 
 def parity(symbols: DataFrame, keys: list[str]) -> DataFrame:
     """keys, k, nsym, pos, sym of the parity symbols: the encoder is linear, so each is an XOR of products."""
-    table = parity_table(symbols.sparkSession)
-    held = symbols.withColumn("deg", F.col("k") - 1 - F.col("pos")).join(F.broadcast(table), ["nsym", "deg"])
+    spark = symbols.sparkSession
+    table = parity_table(spark)
+    # Dealt by word before each symbol meets its row of coefficients: the sums then need no further exchange, and what
+    # is shuffled is a twentieth of what is summed.
+    dealt = symbols.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    held = dealt.withColumn("deg", F.col("k") - 1 - F.col("pos")).join(F.broadcast(table), ["nsym", "deg"])
     out = held.groupBy(*keys, "k", "nsym", "j").agg(F.bit_xor(product(F.col("sym"), F.col("coef"))).alias("sym"))
     return out.select(*keys, "k", "nsym", (F.col("k") + F.col("j")).alias("pos"), "sym")
 
