@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,15 @@ def may_be_in(bits, key: Column) -> Column:
         return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
     return test(F.coalesce(key, F.lit(0)))
+
+
+def only(batches: Iterator[pa.RecordBatch], bits, key: str, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """Rows whose key (never null) is in the bitmap, or is not; for use inside a task that runs Python anyhow."""
+    for batch in batches:
+        at = np.mod(batch.column(key).to_numpy(), BITS)
+        held = (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        yield batch.filter(pa.array(held == wanted))
+
+
+def rows_in(rows: DataFrame, bits, key: str) -> DataFrame:
+    return rows.mapInArrow(lambda batches: only(batches, bits, key, True), rows.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .members import bitmap, may_be_in
+from .members import bitmap, only, rows_in
 from .runtime import cut
 from .text import mixed, prefix_sums, slice_hash, steps
 
@@ -108,7 +108,7 @@ def _entry_texts(rows: DataFrame, entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     # Equal rows have one key; any of them serves.
-    texts = rows.where(may_be_in(bitmap(by_row, "row"), F.col("row"))).select("row", "text")
+    texts = rows_in(rows.select("row", "text"), bitmap(by_row, "row"), "row")
     return texts.join(by_row, "row").mapInArrow(run, "key bigint, entry bigint, copies bigint, back smallint, bytes binary").dropDuplicates(["key", "entry"])
 
 
@@ -236,9 +236,12 @@ def _crowded(entries: DataFrame, schema: str) -> DataFrame:
     return found.select("key", "entry", "starts", F.transform("starts", lambda x: (x + LENGTH).cast("int")).alias("ends"))
 
 
-def _cleaned(rows: DataFrame, with_runs: bool) -> DataFrame:
+def _cleaned(rows: DataFrame, bits=None) -> DataFrame:
+    """bits: rows in this bitmap are left out, and the others lose nothing."""
+    with_runs = bits is None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in steps(batches):
+        for batch, data, offsets in steps(batches if with_runs else only(batches, bits, "row", False)):
             listed = batch.column("runs").to_pylist() if with_runs else [None] * batch.num_rows
             out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept")}
             for k, runs in enumerate(listed):
@@ -273,7 +276,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     some = held.where("several").join(compared.where(F.size("starts") > 0), ["key", "entry"]).select("row", F.transform("starts", lambda x: x + at).alias("starts"), F.transform("ends", lambda x: x + at).alias("ends"))
     runs = whole.unionByName(some).groupBy("row").agg(F.collect_list(F.struct("starts", "ends")).alias("runs"))
     runs = cut(runs)
-    may = may_be_in(bitmap(runs, "row"), F.col("row"))
-    flagged = rows.withColumn("may", may)
-    changed = flagged.where("may").join(runs, "row", "left").select("doc_id", "text", "runs")
-    return _cleaned(changed, True).unionByName(_cleaned(flagged.where("NOT may").select("doc_id", "text"), False))
+    bits = bitmap(runs, "row")
+    changed = rows_in(rows, bits, "row").join(runs, "row", "left").select("doc_id", "text", "runs")
+    return _cleaned(changed).unionByName(_cleaned(rows, bits))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .members import bitmap, may_be_in
+from .members import bitmap, only, rows_in
 from .runtime import cut
 from .text import grams, lowered, prefix_sums, slice_hash, steps, words
 
@@ -82,9 +82,12 @@ def _found(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"run bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, row bigint, at int")
 
 
-def _cleaned(rows: DataFrame, size: int, changed: bool) -> DataFrame:
+def _cleaned(rows: DataFrame, size: int, bits=None) -> DataFrame:
+    """bits: rows in this bitmap are left out, and the others lose nothing."""
+    changed = bits is None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in steps(batches):
+        for batch, data, offsets in steps(batches if changed else only(batches, bits, "row", False)):
             starts, _, first, by_text = sentences(lowered(data), offsets)
             gone = batch.column("gone").to_pylist() if changed else [None] * batch.num_rows
             removed, texts = [], []
@@ -126,6 +129,6 @@ def without_repeated_runs(docs: DataFrame, *, size: int = SENTENCES) -> DataFram
     first = held.groupBy("run").agg(F.min(order).alias("first"))
     later = held.join(first, "run").where(order != F.col("first"))
     gone = cut(later.groupBy("row").agg(F.collect_set("at").alias("gone")))
-    flagged = rows.withColumn("may", may_be_in(bitmap(gone, "row"), F.col("row")))
-    changed = flagged.where("may").join(gone, "row", "left").select("doc_id", "text", "gone")
-    return _cleaned(changed, size, True).unionByName(_cleaned(flagged.where("NOT may").select("doc_id", "text"), size, False))
+    bits = bitmap(gone, "row")
+    changed = rows_in(rows, bits, "row").join(gone, "row", "left").select("doc_id", "text", "gone")
+    return _cleaned(changed, size).unionByName(_cleaned(rows, size, bits))
