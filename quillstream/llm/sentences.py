@@ -7,8 +7,7 @@ there the earliest; sentences that any other occurrence covers are removed.
 A sentence ends after a word that ends in ``.``, ``!`` or ``?``, and at a line's end. Text without such marks would be
 one sentence, whatever part of it is copied; so a sentence of more than ``LONG`` words is also cut after every word whose
 hash says so (one in eight), and copies are cut at the same words. A document with fewer sentences has its whole sequence
-as one run. Runs of fewer than ``LEAST_WORDS`` words are too common to tell a copy and are not
-compared. Null and empty texts have no sentences. Rows equal in doc_id and text count as one document. An empty table
+as one run. Every run is compared, however few words it has. Null and empty texts have no sentences. Rows equal in doc_id and text count as one document. An empty table
 gives no rows. Extra columns are ignored.
 """
 
@@ -27,7 +26,8 @@ from .runtime import cut
 from .text import grams, lowered, prefix_sums, slice_hash, steps, words
 
 SENTENCES = 3
-LEAST_WORDS = 10
+#: No run is too short to be compared.
+LEAST_WORDS = 0
 LONG = 24
 CUT_MASK = np.uint64(7)
 
@@ -66,10 +66,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
     many = np.diff(by_run)
     text = np.repeat(np.arange(len(many)), many)
     at = np.arange(len(hashed)) - by_run[text]
-    a = by_text[text] + at
-    last = np.minimum(a + size, by_text[text + 1]) - 1
-    long = stop[last] - first[a] >= LEAST_WORDS
-    return text[long], at[long], hashed[long]
+    return text, at, hashed
 
 
 def _found(rows: DataFrame, size: int) -> DataFrame:

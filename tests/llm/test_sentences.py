@@ -85,3 +85,12 @@ def test_a_passage_without_marks_is_found(spark):
     rows = [(k, " ".join([*words(r, 30 + k, 5000), passage, *words(r, 25, 5000)])) for k in range(4)]
     got = {x.doc_id: x.n_removed for x in S.without_repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[0] == 0 and min(got[k] for k in (1, 2, 3)) >= 3
+
+
+def test_a_passage_of_very_short_sentences_is_found(spark):
+    r = random.Random(9)
+    for end in ("!! ", ".\n"):
+        passage = "".join(w + end for w in words(r, 30, 5000))
+        docs = spark.createDataFrame([(1, passage), (2, "Before it all. " + passage), (3, passage)], "doc_id bigint, text string")
+        got = {x.doc_id: (x.n_removed, x.text) for x in S.without_repeated_runs(docs).collect()}
+        assert got == {1: (0, passage), 2: (30, "Before it all. "), 3: (30, "")}
