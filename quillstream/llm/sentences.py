@@ -1,4 +1,4 @@
-"""Removal of repeated runs of sentences (operator 9).
+"""Removal of repeated runs of sentences and of repeated passages (operator 9).
 
 Every run of ``SENTENCES`` consecutive sentences is hashed (lower-cased words, white space ignored) and the runs are
 joined over the whole corpus. The first occurrence of a run is the one in the least document (by id, then text) and
@@ -7,8 +7,15 @@ there the earliest; sentences that any other occurrence covers are removed.
 A sentence ends after a word that ends in ``.``, ``!`` or ``?``, and at a line's end. Text without such marks would be
 one sentence, whatever part of it is copied; so a sentence of more than ``LONG`` words is also cut after every word whose
 hash says so (one in eight), and copies are cut at the same words. A document with fewer sentences has its whole sequence
-as one run. Every run is compared, however few words it has. Null and empty texts have no sentences. Rows equal in doc_id and text count as one document. An empty table
-gives no rows. Extra columns are ignored.
+as one run. Every run is compared, however few words it has.
+
+A passage that starts or ends in mid-sentence may hold no whole run. So every run of ``PASSAGE`` words is compared too,
+and the words that a later occurrence covers are removed, wherever sentences begin; in one document, occurrences that
+overlap the first stay. A run of ``PASSAGE`` words is named by the least hash of the ``ANCHOR``-word runs in it (its anchor):
+equal runs have equal anchors, so only the runs whose anchor occurs again are shuffled.
+
+``n_removed`` counts the sentences of which no word is left. Null and empty texts have no sentences. Rows equal in
+doc_id and text count as one document. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,18 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .members import bitmap, only, rows_in
 from .runtime import cut
-from .text import grams, lowered, prefix_sums, slice_hash, steps, words
+from .text import grams, lowered, mixed, prefix_sums, slice_hash, steps, words
 
 SENTENCES = 3
 #: No run is too short to be compared.
 LEAST_WORDS = 0
 LONG = 24
 CUT_MASK = np.uint64(7)
+#: Words of a passage that is found wherever it starts, and of the runs that name it.
+PASSAGE, ANCHOR = 51, 25
+#: Added to the number of a passage's first word, to tell it from the number of a sentence.
+_WORD = 1 << 30
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -69,6 +80,68 @@ def runs(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
     return text, at, hashed
 
 
+def _least(x: np.ndarray, size: int) -> np.ndarray:
+    """Least of every ``size`` neighbours."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first word, hash, anchor) of each run of PASSAGE words."""
+    low = lowered(data)
+    starts, ends, by_text = words(low, offsets)
+    if len(starts) < PASSAGE:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    order = prefix_sums(slice_hash(prefix_sums(low), starts, ends))
+    at = np.arange(len(starts) - ANCHOR + 1)
+    anchor = _least(slice_hash(order, at, at + ANCHOR), PASSAGE - ANCHOR + 1)
+    many = np.maximum(np.diff(by_text) - PASSAGE + 1, 0)
+    text = np.repeat(np.arange(len(many)), many)
+    own = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    at = by_text[text] + own
+    return text, own, slice_hash(order, at, at + PASSAGE), anchor[at]
+
+
+def _anchors(rows: DataFrame) -> DataFrame:
+    """anchor, row: once for each place of an anchor at least, and twice where passages that share one do not overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in steps(batches):
+            text, own, _, anchor = passages(data, offsets)
+            use = np.ones(len(text), bool)
+            use[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+            at = np.arange(len(text))
+            use = (at - np.maximum.accumulate(np.where(use, at, 0))) % PASSAGE == 0
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[use].view(np.int64)), batch.column("row").take(pa.array(text[use]))], names=["anchor", "row"])
+
+    return rows.mapInArrow(run, "anchor bigint, row bigint")
+
+
+def _passages_found(rows: DataFrame) -> DataFrame:
+    """run, doc_id, row, at: the passages whose anchor is among those of their row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in steps(batches):
+            text, own, hashed, anchor = passages(data, offsets)
+            wanted = batch.column("anchors")
+            lengths = np.array([len(x) for x in wanted], np.int64)
+            known = np.unique(_pair(np.repeat(np.arange(len(lengths)), lengths), wanted.flatten().to_numpy().view(np.uint64)))
+            use = np.isin(_pair(text, anchor), known)
+            take = lambda c: batch.column(c).take(pa.array(text[use]))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(hashed[use].view(np.int64)), take("doc_id"), take("row"), pa.array((own[use] + _WORD).astype(np.int32))], names=["run", "doc_id", "row", "at"])
+
+    return rows.mapInArrow(run, f"run bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, row bigint, at int")
+
+
+def _pair(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return mixed(anchor ^ mixed(text.astype(np.uint64) + np.uint64(1)))
+
+
 def _found(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches):
@@ -86,24 +159,30 @@ def _cleaned(rows: DataFrame, size: int, bits=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches if changed else only(batches, bits, "row", False)):
             starts, _, first, by_text = sentences(lowered(data), offsets)
+            by_word = np.append(first, len(starts))[by_text]
             gone = batch.column("gone").to_pylist() if changed else [None] * batch.num_rows
             removed, texts = [], []
             for k, at in enumerate(gone):
                 text = data[offsets[k] : offsets[k + 1]]
-                n = int(by_text[k + 1] - by_text[k])
-                drop = np.zeros(n + size + 1, np.int64)
+                own = first[by_text[k] : by_text[k + 1]] - by_word[k]
+                n = int(by_word[k + 1] - by_word[k])
+                gone_words = np.zeros(n, bool)
                 if at:
-                    np.add.at(drop, np.array(at), 1)
-                    np.add.at(drop, np.array(at) + size, -1)
-                drop = np.cumsum(drop)[:n] > 0
-                if drop.any():
-                    # A sentence takes the bytes up to the next one; white space before the first sentence stays.
-                    begin = starts[first[by_text[k] : by_text[k + 1]]] - offsets[k]
+                    at = np.array(at)
+                    sentence, word = at[at < _WORD], at[at >= _WORD] - _WORD
+                    drop = np.zeros(n + 1, np.int64)
+                    np.add.at(drop, own[sentence], 1)
+                    np.add.at(drop, np.append(own, n)[np.minimum(sentence + size, len(own))], -1)
+                    np.add.at(drop, word, 1)
+                    np.add.at(drop, word + PASSAGE, -1)
+                    gone_words = np.cumsum(drop)[:n] > 0
+                if gone_words.any():
+                    # A word takes the bytes up to the next one; white space before the first word stays.
+                    begin = starts[by_word[k] : by_word[k + 1]] - offsets[k]
                     keep = np.ones(len(text), bool)
-                    for a, b in zip(begin[drop].tolist(), np.concatenate([begin[1:], [len(text)]])[drop].tolist(), strict=True):
-                        keep[a:b] = False
+                    keep[begin[0] :] = np.repeat(~gone_words, np.diff(np.append(begin, len(text))))
                     text = text[keep]
-                removed.append(int(drop.sum()))
+                removed.append(int(np.logical_and.reduceat(gone_words, own).sum()) if n else 0)
                 texts.append(text.tobytes())
             columns = [batch.column("doc_id"), pa.array(np.diff(by_text), pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_removed", "kept_sha256", "text"])
@@ -115,8 +194,8 @@ def without_repeated_runs(docs: DataFrame, *, size: int = SENTENCES) -> DataFram
     """doc_id, n_sentences, n_removed, kept_sha256, text (what is left).
 
     Runs are counted by hash, which each task pre-aggregates; only runs that occur again are joined back, so a passage
-    held by a third of all rows costs one narrow row for each of its sentences. Texts are shuffled for documents
-    that lose something, and not for others.
+    held by a third of all rows costs one narrow row for each of its sentences, and one for each word of a repeated
+    passage. Texts are shuffled for documents that hold an anchor again or lose something, and not for others.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     found = _found(rows, size)
@@ -124,7 +203,14 @@ def without_repeated_runs(docs: DataFrame, *, size: int = SENTENCES) -> DataFram
     held = cut(found.join(again, "run"))
     order = F.struct("doc_id", "row", "at")
     first = held.groupBy("run").agg(F.min(order).alias("first"))
-    later = held.join(first, "run").where(order != F.col("first"))
+    later = held.join(first, "run").where(order != F.col("first")).select("row", "at")
+    # Passages are many: one exchange each by window functions, and no files, instead of a count that is joined back.
+    places = _anchors(rows).withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
+    wanted = cut(places.groupBy("row").agg(F.collect_set("anchor").alias("anchors")))
+    among = _passages_found(rows_in(rows, bitmap(wanted, "row"), "row").join(wanted, "row").select("doc_id", "text", "row", "anchors"))
+    named = among.withColumn("first", F.min(order).over(Window.partitionBy("run")))
+    apart = (F.col("row") != F.col("first.row")) | (F.col("at") - F.col("first.at") >= PASSAGE)
+    later = later.unionByName(named.where((order != F.col("first")) & apart).select("row", "at"))
     gone = cut(later.groupBy("row").agg(F.collect_set("at").alias("gone")))
     bits = bitmap(gone, "row")
     changed = rows_in(rows, bits, "row").join(gone, "row", "left").select("doc_id", "text", "gone")

@@ -94,3 +94,25 @@ def test_a_passage_of_very_short_sentences_is_found(spark):
         docs = spark.createDataFrame([(1, passage), (2, "Before it all. " + passage), (3, passage)], "doc_id bigint, text string")
         got = {x.doc_id: (x.n_removed, x.text) for x in S.without_repeated_runs(docs).collect()}
         assert got == {1: (0, passage), 2: (30, "Before it all. "), 3: (30, "")}
+
+
+def test_a_passage_of_51_words_is_found_wherever_it_starts(spark):
+    r = random.Random(10)
+    rows, left = [], {}
+    for k in range(0, 400, 4):
+        w = words(r, 51, 5000)
+        for at in range(r.randrange(15, 25), 51, 20):
+            w[at] += "."
+        passage = " ".join(w)
+        for copy in range(2):
+            before, after = (" ".join(words(r, r.randrange(1, 40), 5000)) for _ in range(2))
+            rows.append((k + copy, f"{before} {passage.upper() if copy else passage} {after}"))
+            left[k + copy] = f"{before} {after}" if copy else rows[-1][1]
+    got = {x.doc_id: x.text for x in S.without_repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == left
+
+
+def test_an_overlapping_repeat_leaves_its_first_occurrence(spark):
+    docs = spark.createDataFrame([(1, "na " * 500), (2, "la " * 101), (3, "a b " * 20)], "doc_id bigint, text string")
+    got = {x.doc_id: x.text for x in S.without_repeated_runs(docs).collect()}
+    assert got == {1: "na " * 51, 2: "la " * 101, 3: "a b " * 20}
