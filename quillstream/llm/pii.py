@@ -180,6 +180,13 @@ def _like_identifier(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return (end - start >= 6) & (marks[end] > marks[start])
 
 
+def _may_begin_seed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a base match may begin at a place: all begin with a digit or ``+``, or have an ``@`` before white space."""
+    ats = np.concatenate([[0], np.cumsum(data == 64)])
+    head = data[np.minimum(start, len(data) - 1)]
+    return (start < end) & ((head == 43) | ((head >= 48) & (head <= 57)) | (ats[end] > ats[start]))
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
     for batch in batches:
         for t in batch.column("text"):
@@ -230,7 +237,7 @@ def graph(docs: DataFrame, patterns: dict[bytes, str]) -> DataFrame:
                 for k, n in enumerate(np.bincount(which, minlength=len(names)).tolist()):
                     if n:
                         seen[names[k], None, False] += n
-                for k in np.flatnonzero(_like_identifier(data, start, end)).tolist():
+                for k in np.flatnonzero(_like_identifier(data, start, end) | _may_begin_seed(data, start, end)).tolist():
                     t = int(text[k])
                     if t not in base:
                         own = data[offsets[t] : offsets[t + 1]].tobytes().decode()

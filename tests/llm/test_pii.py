@@ -92,3 +92,12 @@ def test_masked(spark):
     got = {r.doc_id: r for r in pii.masked(docs).collect()}
     assert got[1].text == "mail <EMAIL> or <IP> now" and got[1].n_chars == len(got[1].text) and got[1].spans == "x"
     assert got[2].text is None
+
+
+@pytest.mark.parametrize("seed", ["+1 (234) 555-0{:03}", "4111 1111 1111 1111"])
+def test_contexts_of_seeds_with_short_first_words(spark, seed):
+    rows = [(k, f"some words here Reach-Line: {seed.format(100 + k)} and more of it") for k in range(40)]
+    rows += [(100 + k, f"Reach-Line: zz-{k}77ab then") for k in range(3)]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[100 + k].n_found for k in range(3)] == [1, 1, 1]
+    assert all(got[k].n_found == 0 and got[k].n_phone + got[k].n_card == 1 for k in range(40))
