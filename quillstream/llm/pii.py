@@ -3,9 +3,8 @@
 Four base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. These seed a bootstrap:
 
 1. the words before each seed, and what is glued to its front (``mail:``), are lexical patterns; those that stand
-   before at least ``LEAST_SEEDS`` seeds and at least ``LEAST_SHARE`` of all seeds are kept, so that there can be no
-   more than 3 / LEAST_SHARE of them, however large the corpus;
-2. over all texts, each kept pattern's occurrences are counted, and the identifier-like strings that follow it become
+   before at least ``LEAST_SEEDS`` seeds are kept, however large the corpus;
+2. over all texts, for blocks of about ``BLOCK`` patterns at a time, each kept pattern's occurrences are counted, and the identifier-like strings that follow it become
    instances of a pattern-instance graph, pre-aggregated in each task;
 3. Spark scores the graph in rounds: a pattern's confidence is the confident share of all that follows it, an
    instance's is that of its best pattern, and a seed's is 1;
@@ -35,7 +34,8 @@ from .text import mixed, prefix_sums, slice_hash, steps, words
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 5
-LEAST_SHARE = 1e-4
+#: Patterns that are broadcast at a time.
+BLOCK = 30_000
 CONFIDENT = 0.8
 ROUNDS = 3
 
@@ -195,13 +195,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
 
 
 def seed_patterns(docs: DataFrame) -> DataFrame:
-    """pattern, kind, seeds: those before enough of all seeds; 3 / LEAST_SHARE rows at most."""
+    """pattern, kind, seeds: those before at least LEAST_SEEDS seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for text in _texts(batches):
             for start, _, kind in base_spans(text):
-                seen[b"", kind] += 1
                 for p in contexts(text, start):
                     seen[p, kind] += 1
             if len(seen) > 100_000:
@@ -210,10 +209,8 @@ def seed_patterns(docs: DataFrame) -> DataFrame:
         yield _counted(seen)
 
     counted = docs.select("text").mapInArrow(run, "pattern binary, kind string, seeds bigint").groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
-    counted = cut(counted)
-    total = counted.where("length(pattern) = 0").agg(F.coalesce(F.sum("seeds"), F.lit(0))).first()[0]
-    by_pattern = counted.where("length(pattern) > 0").groupBy("pattern").agg(F.sum("seeds").alias("seeds"), F.max_by("kind", "seeds").alias("kind"))
-    return by_pattern.where(F.col("seeds") >= max(LEAST_SEEDS, LEAST_SHARE * total))
+    by_pattern = counted.groupBy("pattern").agg(F.sum("seeds").alias("seeds"), F.max_by("kind", "seeds").alias("kind"))
+    return by_pattern.where(F.col("seeds") >= LEAST_SEEDS)
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
@@ -270,12 +267,18 @@ def confidence(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def learnt(docs: DataFrame) -> dict[bytes, str]:
-    """pattern -> kind, of the patterns to apply. Their number is bounded (see ``seed_patterns``)."""
-    patterns = {bytes(r[0]): r[1] for r in seed_patterns(docs).select("pattern", "kind").collect()}
-    if not patterns:
+    """pattern -> kind, of the patterns to apply. Each block of the candidates takes one pass over the texts."""
+    patterns = cut(seed_patterns(docs))
+    blocks = -(-patterns.count() // BLOCK)
+    edges = None
+    for k in range(blocks):
+        own = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)
+        part = cut(graph(docs, {bytes(r[0]): r[1] for r in own.select("pattern", "kind").collect()}))
+        edges = part if edges is None else edges.unionByName(part)
+    if edges is None:
         return {}
-    good = confidence(cut(graph(docs, patterns))).where((F.col("confidence") >= CONFIDENT) & F.col("new"))
-    return {bytes(r[0]): patterns[bytes(r[0])] for r in good.select("pattern").collect()}
+    good = confidence(edges).where((F.col("confidence") >= CONFIDENT) & F.col("new"))
+    return {bytes(r[0]): r[1] for r in good.join(patterns, "pattern").select("pattern", "kind").collect()}
 
 
 def found_spans(text: str | None, matcher: Matcher | None) -> list[tuple[int, int, str]]:

@@ -101,3 +101,15 @@ def test_contexts_of_seeds_with_short_first_words(spark, seed):
     got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [got[100 + k].n_found for k in range(3)] == [1, 1, 1]
     assert all(got[k].n_found == 0 and got[k].n_phone + got[k].n_card == 1 for k in range(40))
+
+
+def test_patterns_are_kept_at_every_size_and_in_blocks(spark, monkeypatch):
+    lines = [" ".join(f"user{k}.{n}@mail.example.com" for n in range(600)) for k in range(100)]  # 60,000 seeds
+    rows = [(k, t) for k, t in enumerate(lines)] + [(200 + k, f"some words Passport-Mail: a{k}@b.cc and Other-Mail: c{k}@d.ee on") for k in range(5)]
+    rows += [(300, "Passport-Mail: zz-177ab then"), (301, "Other-Mail: zz-277ab then")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = {bytes(r.pattern) for r in pii.seed_patterns(docs).collect()}
+    assert {b"1 passport-mail:", b"1 other-mail:"} <= known
+    whole = pii.learnt(docs)
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    assert len(known) > 2 and pii.learnt(docs) == whole and {b"1 passport-mail:", b"1 other-mail:"} <= set(whole)
