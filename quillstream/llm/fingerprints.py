@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import mixed, shingles, steps, text_bytes
@@ -118,15 +118,22 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     n, least = ids.agg(F.count("*"), F.min("at")).first()
     runs = int(min(MOST_RUNS, max(1, n // DOCS_IN_RUN)))
     bounds = sorted({least, *ids.agg(F.percentile_approx("at", [k / runs for k in range(1, runs)], 4 * MOST_RUNS)).first()[0]}) if n and runs > 1 else [least] if n else [0]
-    cuts = np.array(bounds, np.int64)
 
-    @F.pandas_udf("int")
-    def run_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, at.to_numpy(), "right") - 1).astype("int32")
+    def run_of(at: Column) -> Column:
+        cuts = np.array(bounds, np.int64)
 
+        @F.pandas_udf("int")
+        def number(at: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(cuts, at.to_numpy(), "right") - 1).astype("int32")
+
+        return number(at)
+
+    if len(bounds) > 1:
+        # Quantiles are computed in doubles, so they need not be ids: each bound becomes the least id of its run.
+        bounds = sorted(r[0] for r in ids.groupBy(run_of(F.col("at")).alias("run")).agg(F.min("at").alias("at")).select("at").collect())
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(_LEAST)).alias("at"))
-    own = rows.withColumn("run", run_of("at")).withColumn("guest", F.lit(False))
-    guests = rows.where(F.col("at").isin(bounds)).withColumn("run", F.pmod(run_of("at") - 1, F.lit(len(bounds)))).withColumn("guest", F.lit(True))
+    own = rows.withColumn("run", run_of(F.col("at"))).withColumn("guest", F.lit(False))
+    guests = rows.where(F.col("at").isin(bounds)).withColumn("run", F.pmod(run_of(F.col("at")) - 1, F.lit(len(bounds)))).withColumn("guest", F.lit(True))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = own.unionByName(guests).repartition(parts, "run").sortWithinPartitions("run", "guest", "at", "text")
 

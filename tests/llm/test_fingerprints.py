@@ -63,3 +63,10 @@ def test_repeated_rows_null_ids_and_one_row(spark):
 
 def test_empty_table(spark):
     assert P.document_fingerprints(empty(spark)).count() == 0
+
+
+def test_ids_beyond_doubles_lose_no_row(spark):
+    ids = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(6000)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string")
+    got = {r.doc_id: r.edited_sha256 for r in P.document_fingerprints(docs).collect()}
+    assert got == {i: hashlib.sha256(P.edited(own, following).encode()).hexdigest() for i, own, following in expected(docs.collect())}
