@@ -85,3 +85,7 @@ def test_features_are_distinct(text):
     owner, slot = T.features(*text_bytes(pa.array([text, text])))
     assert len(set(slot[owner == 0])) == (owner == 0).sum()
     assert sorted(slot[owner == 0]) == sorted(slot[owner == 1])
+
+
+def test_samples_are_not_lowered_for_memory():
+    assert T.UNLABELLED >= 5_000 and T.CALIBRATION >= 5_000
