@@ -2,77 +2,114 @@
 
 from __future__ import annotations
 
-import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import StructType
 
-from ..constants import END, START
+from ..constants import END, NONE, START
 from ..functions import protocol as P
-from ..operators.machines import Receiver, Segmenter, Slot, align, shifted, weakest_first
-from ..registry import query
+from ..functions.reed_solomon import first_messages
+from ..operators.ordered import array_of, in_event_time, in_order, mark_of_the_end, to_the_end
+from ..operators.reception import LOST, Reception, alignment, erasing_weakest, one_mended
+from ..operators.segmentation import SLOT_COLUMNS, Segmentation
+from ..registry import query, table
 from ..shipping import ship
-from ..sources.views import as_observations, epoch_ms, observations, payloads, sql
+from ..sources.views import epoch_ms, payloads, sql
 from ..streaming.files import shared_folder, stream_table
-from .protocol import KEYS, word_column
+from .protocol import KEYS, codeword_oracle, word_column
 
-#: The driver's events are hours apart; divided by this they are as far apart as frames.
-TIME_SCALE = 400_000.0
 
-_SLOT = "stream_id bigint, slot_index bigint, cls int, share double, reliability double, accepted int, frames int, t_start double, t_end double, synthetic boolean, is_break boolean"
+class Segmenting:
+    """Frames (t, gap, cls, p) to slots."""
 
+    def __init__(self):
+        self.own = Segmentation()
 
-def _optional(x) -> int | None:
-    return None if x is None or x != x else int(x)
+    def feed(self, c: dict[str, np.ndarray]) -> list[tuple]:
+        return self.own.feed(c["t"], c["gap"], np.where(c["cls"] < 0, NONE, c["cls"]), c["p"])
 
+    def close(self) -> list[tuple]:
+        return self.own.close()
 
-def in_order(rows: DataFrame, key: list[str], order: list[str], start: Callable, schema: str) -> DataFrame:
-    """A machine over each key's rows in order. start() gives (push(row) -> outputs, flush() -> outputs); outputs are tuples after the key.
 
-    Rows are dealt by key and sorted, then read as they come: a task holds one machine, not a group.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [f.split()[0] for f in schema.split(", ")]
+class Receiving:
+    """Slots (cls, reliability) to the text and length of a message."""
+
+    def __init__(self):
+        self.own = Reception()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, machine = None, None
-        for frame in frames:
-            out: list[tuple] = []
-            for row in frame.itertuples(index=False):
-                k = tuple(row[: len(key)])
-                if k != now:
-                    if machine:
-                        out += [(*now, *x) for x in machine[1]()]
-                    now, machine = k, start()
-                out += [(*k, *x) for x in machine[0](row)]
-            yield pd.DataFrame(out, columns=names)
-        if machine:
-            yield pd.DataFrame([(*now, *x) for x in machine[1]()], columns=names)
+    def feed(self, c: dict[str, np.ndarray]) -> list[tuple]:
+        return self._told(self.own.feed(np.where(c["cls"] < 0, LOST, c["cls"]), c["reliability"]))
 
-    return rows.repartition(parts, *key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+    def close(self) -> list[tuple]:
+        return self._told(self.own.close())
 
+    @staticmethod
+    def _told(m) -> list[tuple]:
+        return [(m.payload.decode("utf-8", "replace"), m.n)] if m else []
 
-def _row(s: Slot) -> tuple:
-    return (s.index, s.cls, s.share, s.reliability, s.accepted, s.frames, s.t_start, s.t_end, s.synthetic, s.is_break)
 
+# --- a camera's view of the events: each user's events are symbols that are shown one after the other
 
-def _segmenting() -> tuple[Callable, Callable]:
-    m = Segmenter()
-    return (lambda r: [_row(s) for s in m.push(r.t, bool(r.gap), _optional(r.cls), r.p)]), (lambda: [_row(s) for s in m.flush()])
 
+#: Frames of 50 ms: six show the symbol, two the gap after it; and a silence now and then.
+FRAME_MS, SHOWN, FRAMES, SILENCE_MS = 50, 6, 8, 5000
 
-def _frames(obs: DataFrame) -> DataFrame:
-    return obs.select("stream_id", (F.col("t_ms") / TIME_SCALE).alias("t"), "seq", "gap", "cls", (F.col("w") / 100.0).alias("p"))
 
+def shown_frames(spark: SparkSession, d: str) -> DataFrame:
+    """stream_id, t, gap, cls, p: frames with every fault that the segmenter mends, at places that the number of the symbol tells.
 
-@query()
+    From the eleventh symbol on, of every eleven: one has two frames without class, one two frames of a wrong class, one is
+    missed, one has a gap in its midst, and one runs into the next. Before one in 33 nothing is seen for SILENCE_MS.
+    """
+    stream = Window.partitionBy("stream_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    shown = table(spark, d, "events").select(F.col("user_id").alias("stream_id"), "event_id", F.floor(k / 12).cast("int").alias("sym"))
+    shown = shown.withColumn("i", F.row_number().over(stream.orderBy("event_id")) - 1).withColumn("left", F.count("*").over(stream) - 1 - F.col("i"))
+    i, f, sym = F.col("i"), F.col("f"), F.col("sym")
+    turn = F.when(i >= 11, i % 11).otherwise(-1)
+    gap = (f >= SHOWN) & ~((turn == 9) & (F.col("left") >= 2)) | (turn == 5) & (F.col("left") >= 1) | (turn == 7) & (f == 3)
+    cls = F.when((turn == 2) & f.isin(0, 5) | (f >= SHOWN), None).when((turn == 3) & f.isin(1, 4), (sym + 1) % 9).otherwise(sym)
+    start = i * FRAMES * FRAME_MS + F.floor((i + 10) / 33) * SILENCE_MS
+    frames = shown.select("stream_id", "i", "left", "sym", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("f"))
+    return frames.select("stream_id", (start + f * FRAME_MS).cast("double").alias("t"), gap.alias("gap"), cls.cast("int").alias("cls"), F.when((turn == 3) & f.isin(1, 4), 0.6).otherwise(1.0).alias("p"))
+
+
+_SHOWN_SLOTS = f"""
+WITH shown AS (
+    SELECT user_id AS stream_id, CAST(floor(k / 12) AS INT) AS sym, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, lag(CAST(floor(k / 12) AS INT)) OVER o AS before, lead(CAST(floor(k / 12) AS INT)) OVER o AS after
+    FROM (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k FROM events) WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
+timed AS (
+    SELECT *, CAST({FRAMES * FRAME_MS} * i + {SILENCE_MS} * ((i + 10) // 33) AS DOUBLE) AS t0, CASE WHEN i >= 11 THEN i % 11 ELSE -1 END AS turn, i + (i + 10) // 33 AS place FROM shown),
+judged AS (
+    SELECT *, turn = 5 AND i < n - 1 AS missed, turn = 10 AND i >= 20 AND i < n - 1 AND sym = before AS covered, turn = 9 AND i < n - 2 AS runs_on FROM timed)
+SELECT stream_id, place AS slot_index, CASE WHEN NOT missed THEN sym END AS cls,
+    CASE WHEN missed THEN 0.0 WHEN turn = 3 THEN round(4 / 5.2, 9) ELSE 1.0 END AS share,
+    round(CASE WHEN missed THEN 0.0 WHEN covered THEN 0.6 * (1 - pow(0.5, 12)) WHEN turn = 3 THEN 4 / 5.2 * (1 - pow(0.5, 4)) WHEN turn = 2 THEN 1 - pow(0.5, 4)
+        WHEN turn = 7 THEN 1 - pow(0.5, 5) WHEN runs_on AND sym = after THEN 1 - pow(0.5, 12) ELSE 1 - pow(0.5, 6) END, 9) AS reliability,
+    CAST(CASE WHEN missed OR covered THEN 0 WHEN turn = 2 THEN 4 WHEN turn = 7 THEN 5 WHEN runs_on AND sym = after THEN 12 ELSE 6 END AS INT) AS accepted,
+    CAST(CASE WHEN missed OR covered THEN 0 WHEN turn = 7 THEN 5 WHEN runs_on AND sym = after THEN 14 WHEN runs_on THEN 8 ELSE 6 END AS INT) AS frames,
+    t0 AS t_start, t0 + CASE WHEN missed OR covered THEN 0 WHEN runs_on AND sym = after THEN 700 WHEN runs_on THEN 400 ELSE 300 END AS t_end, missed OR covered AS synthetic, false AS is_break
+FROM judged
+UNION ALL
+SELECT stream_id, place - 1, NULL, 0.0, 0.0, 0, 0, t0 - {SILENCE_MS + FRAMES * FRAME_MS - 300}, t0, true, true FROM judged WHERE i % 33 = 23"""
+
+_STREAM_SLOT = f"stream_id bigint, {SLOT_COLUMNS}"
+
+
+def _rounded(slots: DataFrame) -> DataFrame:
+    return slots.withColumn("share", F.round("share", 9)).withColumn("reliability", F.round("reliability", 9))
+
+
+@query(_SHOWN_SLOTS)
 def segment_exact(spark: SparkSession, d: str) -> DataFrame:
-    ship(spark)
-    return in_order(_frames(observations(spark, d)), ["stream_id"], ["t", "seq"], _segmenting, _SLOT)
+    """Slots of frames with all faults that the clock and the votes can mend: the oracle is what was shown."""
+    return _rounded(in_order(shown_frames(spark, d), ["stream_id"], ["t"], Segmenting, _STREAM_SLOT))
 
 
 def _corrupted_slots(spark: SparkSession, d: str) -> DataFrame:
@@ -84,29 +121,29 @@ def _corrupted_slots(spark: SparkSession, d: str) -> DataFrame:
     return shown.select(*KEYS, (no * 1000 + i).alias("at"), cls.cast("int").alias("cls"), F.when(no == 0, 0.5).otherwise(0.9).alias("reliability"))
 
 
-def _receiving() -> tuple[Callable, Callable]:
-    m = Receiver(eager=False)
-    told = lambda x: [(x.payload.decode("utf-8", "replace"), x.n)] if x else []
-    return (lambda r: told(m.push(Slot(_optional(r.cls), 1.0, r.reliability, 2, 2, r.at, r.at)))), (lambda: told(m.flush()))
+_MESSAGE = "src string, id bigint, turn bigint, text string, n int"
+_SENT = sql("SELECT src, id, turn, text, CAST(strlen(text) + 3 + greatest(4, ceil((strlen(text) + 3) / 3.0)) AS INT) AS n FROM v_payload", "v_payload")
 
 
-@query(sql("SELECT src, id, turn, text, CAST(strlen(text) + 3 + greatest(4, ceil((strlen(text) + 3) / 3.0)) AS INT) AS n FROM v_payload", "v_payload"))
+@query(_SENT)
 def receive_exact(spark: SparkSession, d: str) -> DataFrame:
     """Messages read from two corrupted showings: the oracle is what was sent."""
-    ship(spark)
-    return in_order(_corrupted_slots(spark, d), KEYS, ["at"], _receiving, "src string, id bigint, turn bigint, text string, n int")
+    return in_order(_corrupted_slots(spark, d), KEYS, ["at"], Receiving, _MESSAGE)
 
 
-def _decoded(words: DataFrame, decode: Callable) -> DataFrame:
-    """KEYS, text of rows (KEYS, word, ...), by a function of the row; null where it fails."""
+def _searched(words: DataFrame, tries: Callable[..., np.ndarray], *more: str) -> DataFrame:
+    """KEYS, text of rows (KEYS, word, more): of the first word that decodes, of those that ``tries`` makes of a row; null if none does."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [decode(r) for r in frame.itertuples(index=False)]
-            yield frame[KEYS].assign(text=[f[0].decode("utf-8", "replace") if f else None for f in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = [array_of(w.values) for w in batch.column("word")]
+            others = [[array_of(v.values) if isinstance(v, pa.ListScalar) else v.as_py() for v in batch.column(c)] for c in more]
+            found = first_messages([tries(*x) for x in zip(word, *others, strict=True)])
+            texts = pa.array([f[1].decode("utf-8", "replace") if f else None for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), texts], names=[*KEYS, "text"])
 
     ship(words.sparkSession)
-    return words.mapInPandas(run, "src string, id bigint, turn bigint, text string")
+    return words.select(*KEYS, "word", *more).mapInArrow(run, "src string, id bigint, turn bigint, text string")
 
 
 _TEXTS = sql("SELECT src, id, turn, text FROM v_payload", "v_payload")
@@ -120,7 +157,7 @@ def gmd_decode(spark: SparkSession, d: str) -> DataFrame:
     bad = F.pmod(F.col("pos") + F.col("id"), F.col("k") + F.col("nsym")) < wrong
     rows = words.select(*KEYS, "pos", F.when(bad, F.col("sym").bitwiseXOR(F.lit(77))).otherwise(F.col("sym")).cast("int").alias("sym"), F.when(bad, 0.1).otherwise(0.9).alias("margin"))
     margin = F.transform(F.array_sort(F.collect_list(F.struct("pos", "margin"))), lambda x: x["margin"]).alias("margin")
-    return _decoded(rows.groupBy(*KEYS).agg(word_column(), margin), lambda r: weakest_first([_optional(s) for s in r.word], list(r.margin)))
+    return _searched(rows.groupBy(*KEYS).agg(word_column(), margin), erasing_weakest, "margin")
 
 
 @query(_TEXTS)
@@ -132,86 +169,97 @@ def shift_repair(spark: SparkSession, d: str) -> DataFrame:
     more = words.where(lost & (F.col("turn") % 2 == 1)).withColumn("half", F.lit(1))
     rows = less.unionByName(more).select(*KEYS, "k", "nsym", (F.col("pos") * 2 + F.col("half")).alias("pos"), "sym")
     whole = rows.groupBy(*KEYS).agg(word_column(), F.first(F.col("k") + F.col("nsym")).alias("n"))
-    return _decoded(whole, lambda r: shifted([_optional(s) for s in r.word], int(r.n)))
+    return _searched(whole, one_mended, "n")
 
 
-@query(sql("SELECT src, id, turn, CAST(strlen(text) + 2 + greatest(4, ceil((strlen(text) + 3) / 3.0)) AS INT) AS aligned FROM v_payload", "v_payload"))
+@query(
+    codeword_oracle(
+        "SELECT src, id, turn, CAST(max(n) - 1 AS INT) AS aligned, CAST(max(pos) FILTER (pos <= id % 5 + 1 AND (before IS NULL OR before <> sym)) AS INT) AS lost_at "
+        "FROM (SELECT *, count(*) OVER (PARTITION BY src, id, turn) AS n, lag(sym) OVER (PARTITION BY src, id, turn ORDER BY pos) AS before FROM v_word) GROUP BY ALL"
+    )
+)
 def align_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Passes that lost a symbol, aligned with the whole word: every symbol left finds a place."""
-    ship(spark)
+    """Passes that lost a symbol, aligned with the whole word: every symbol left finds a place, and the one left over is the lost one, or the first of its likes beside it."""
     words = P.codewords(payloads(spark, d), KEYS).groupBy(*KEYS).agg(word_column())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = []
-            for word, k in zip(frame["word"], frame["id"], strict=True):
-                word = [int(s) for s in word]
-                found.append(len(align(word[: k % 5 + 1] + word[k % 5 + 2 :], word)))
-            yield frame[KEYS].assign(aligned=found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            aligned, lost = [], []
+            for w, k in zip(batch.column("word"), batch.column("id").to_numpy(), strict=True):
+                word = array_of(w.values)
+                own, at = alignment(np.delete(word, k % 5 + 1), word)
+                aligned.append(len(own))
+                lost.append(int(np.setdiff1d(np.arange(len(word)), at)[0]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(aligned, pa.int32()), pa.array(lost, pa.int32())], names=[*KEYS, "aligned", "lost_at"])
 
-    return words.mapInPandas(run, "src string, id bigint, turn bigint, aligned int")
+    ship(spark)
+    return words.mapInArrow(run, "src string, id bigint, turn bigint, aligned int, lost_at int")
 
 
 # --- the same as streams
 
+#: Event time at which the shown streams begin: what is not after 1970 counts as late.
+BEGINNING = 1_700_000_000_000
 
-@query()
-def stream_segment(spark: SparkSession, d: str) -> DataFrame:
-    """Slots of an unbounded read of the events. What is open when the input ends stays in the state."""
-    ship(spark)
-    columns = [f.split()[0] for f in _SLOT.split(", ")]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = pickle.loads(state.get[0]) if state.exists else Segmenter()
-        rows = pd.concat(list(frames)).sort_values(["t", "seq"])
-        out = [(key[0], *_row(s)) for r in rows.itertuples(index=False) for s in machine.push(r.t, bool(r.gap), _optional(r.cls), r.p)]
-        state.update((pickle.dumps(machine),))
-        yield pd.DataFrame(out, columns=columns)
+def landed(rows: DataFrame, fed: DataFrame, clock: str, folder: str, parts: list[DataFrame] = ()) -> DataFrame:
+    """Runs a stream over what there is, then marks the end of the input and runs it on from its checkpoint, and reads what all runs wrote.
 
-    events = stream_table(spark, d, "events")
-    slots = _frames(as_observations(events)).groupBy("stream_id").applyInPandasWithState(step, _SLOT, "machine binary", "append", "NoTimeout")
-    return landed(slots, "append")
+    rows: the stream's result; fed: the input it is made of, of which the mark is a last row, in the folder ``ends`` that
+    ``to_the_end`` reads. parts: what comes into the folder ``feed``, a run after each.
+    """
+
+    def run() -> None:
+        writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
+        writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/feed")
+        run()
+    if not parts:
+        run()
+    mark_of_the_end(fed, clock).write.mode("append").parquet(f"{folder}/ends")
+    run()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
-def landed(rows: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is and reads what it wrote; the last whole result in complete mode."""
-    spark = rows.sparkSession
+def _own_folder(spark: SparkSession, schema: StructType) -> str:
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for place in ("feed", "ends"):
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{place}")
+    return folder
 
-    def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{folder}/out")
 
-    run = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+def _fed(rows: DataFrame, clock: str) -> tuple[DataFrame, str, list[DataFrame]]:
+    """A stream that reads what comes into a folder, and the rows in two parts, by time."""
+    folder = _own_folder(rows.sparkSession, rows.schema)
+    half = rows.agg(F.timestamp_millis(((F.unix_millis(F.min(clock)) + F.unix_millis(F.max(clock))) / 2).cast("bigint")).alias("t")).first()["t"]
+    early = F.col(clock) <= F.lit(half)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/feed"), folder, [rows.where(early), rows.where(~early)]
 
 
-@query("SELECT epoch_us(ts) // 3600000000 AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")
-def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by hour of event time over an unbounded read, with a watermark that lets old windows' state go."""
-    events = stream_table(spark, d, "events")
-    hour = F.floor(epoch_ms(F.col("ts")) / 3_600_000)
-    timed = events.withColumn("hour", hour).withColumn("at", F.timestamp_seconds(F.col("hour") * 3600)).withWatermark("at", "2 hours")
-    counted = timed.groupBy("at", "hour", "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("total"))
-    return landed(counted, "complete").select("hour", "event_type", "n", "total")
+@query(_SHOWN_SLOTS)
+def stream_segment(spark: SparkSession, d: str) -> DataFrame:
+    """The slots of an unbounded read of the same frames: in the order of event time, and whole, as the end closes what is open."""
+    feed, folder, parts = _fed(shown_frames(spark, d).withColumn("at", F.timestamp_millis(F.col("t").cast("bigint") + BEGINNING)), "at")
+    slots = in_event_time(to_the_end(feed, "at", f"{folder}/ends"), ["stream_id"], "at", ["t"], Segmenting, _STREAM_SLOT)
+    return _rounded(landed(slots, feed, "at", folder, parts))
 
 
+@query("SELECT epoch_us(ts) // 3600000000 AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by hour of event time over an unbounded read. An hour is written, and leaves the state, when the watermark has passed it."""
+    events = stream_table(spark, d, "events").select("event_type", "value", F.timestamp_millis(epoch_ms(F.col("ts")).cast("bigint")).alias("at"))
+    folder = _own_folder(spark, events.schema)
+    hours = to_the_end(events, "at", f"{folder}/ends").groupBy(F.window("at", "1 hour").alias("w"), "event_type")
+    counted = hours.agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("total"))
+    rows = counted.select(F.floor(F.unix_seconds("w.start") / 3600).alias("hour"), "event_type", "n", "total")
+    return landed(rows, events, "at", folder)
 
 
 @query(_TEXTS)
 def stream_receive(spark: SparkSession, d: str) -> DataFrame:
-    """Messages read from a feed of slots, each as soon as it can be: the state is the receiver, and its first result is the only one."""
-    ship(spark)
-    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
-    slots = _corrupted_slots(spark, d)
-    slots.write.parquet(folder)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = pickle.loads(state.get[0]) if state.exists else Receiver(eager=False)
-        rows = pd.concat(list(frames)).sort_values("at")
-        out = [m for r in rows.itertuples(index=False) if (m := machine.push(Slot(_optional(r.cls), 1.0, r.reliability, 2, 2, r.at, r.at)))]
-        state.update((pickle.dumps(machine),))
-        yield pd.DataFrame([(*key, m.payload.decode("utf-8", "replace")) for m in out], columns=[*KEYS, "text"])
-
-    feed = spark.readStream.schema(slots.schema).parquet(folder)
-    return landed(feed.groupBy(*KEYS).applyInPandasWithState(step, "src string, id bigint, turn bigint, text string", "machine binary", "append", "NoTimeout"), "append")
+    """Messages read from a feed of slots, each as soon as it can be. A receiver that hears nothing more is closed, and goes."""
+    feed, folder, parts = _fed(_corrupted_slots(spark, d).withColumn("time", F.timestamp_millis(F.col("at") * 1000 + BEGINNING)), "time")
+    found = in_event_time(to_the_end(feed, "time", f"{folder}/ends"), KEYS, "time", ["at"], Receiving, _MESSAGE, idle_ms=3_600_000)
+    return landed(found, feed, "time", folder, parts).select(*KEYS, "text")

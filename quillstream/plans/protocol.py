@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gf256
 from ..functions import protocol as P
-from ..functions.reed_solomon import DecodeError, decode_message
+from ..functions.reed_solomon import messages
+from ..operators.ordered import array_of
 from ..registry import query, table
 from ..shipping import ship
 from ..sources.views import payloads, sql
@@ -56,6 +57,11 @@ def _oracle(body: str, *more: str) -> str:
     return start + ", " + ", ".join(more) + " " + body
 
 
+def codeword_oracle(body: str) -> str:
+    """``body`` over v_word (src, id, turn, pos, sym): whole codewords."""
+    return _oracle(body, _BYTES, _CRC, _DATA, _DIM, _PARITY, "v_word AS (SELECT src, id, turn, pos, sym FROM v_data UNION ALL SELECT src, id, turn, pos, sym FROM v_parity)")
+
+
 @query(_oracle("SELECT * FROM v_bytes", _BYTES))
 def utf8_bytes(spark: SparkSession, d: str) -> DataFrame:
     return payloads(spark, d).select(*KEYS, F.posexplode(P.utf8_bytes(F.col("text"))).alias("pos", "byte"))
@@ -145,24 +151,23 @@ def word_column() -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda x: x["sym"]).alias("word")
 
 
-@query(sql("SELECT src, id, turn, text, CAST(2 * (CAST(greatest(4, ceil((strlen(text) + 3) / 3.0)) AS BIGINT) // 4) AS INT) AS corrected FROM v_payload", "v_payload"))
+@query(sql("SELECT src, id, turn, text, 'ok' AS status, CAST(2 * (CAST(greatest(4, ceil((strlen(text) + 3) / 3.0)) AS BIGINT) // 4) AS INT) AS corrected FROM v_payload", "v_payload"))
 def rs_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Corrupted codewords decoded: the oracle is the message that was sent."""
+    """Corrupted codewords decoded, those of one length together: the oracle is the message that was sent."""
     ship(spark)
     words = _received(spark, d).groupBy(*KEYS).agg(word_column())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for word in frame["word"]:
-                try:
-                    payload, fixed = decode_message([None if s is None or s != s else int(s) for s in word])
-                    out.append((payload.decode("utf-8", "replace"), len(fixed)))
-                except DecodeError as e:
-                    out.append((f"failed: {e}", -1))
-            yield frame[KEYS].assign(text=[t for t, _ in out], corrected=[c for _, c in out])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = messages([array_of(w.values) for w in batch.column("word")])
+            columns = [
+                pa.array([m[0].decode("utf-8", "replace") if m else None for m in found], pa.string()),
+                pa.array(["ok" if m else "failed" for m in found], pa.string()),
+                pa.array([m[1] if m else None for m in found], pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), *columns], names=[*KEYS, "text", "status", "corrected"])
 
-    return words.mapInPandas(run, "src string, id bigint, turn bigint, text string, corrected int")
+    return words.mapInArrow(run, "src string, id bigint, turn bigint, text string, status string, corrected int")
 
 
 @query(sql("SELECT src, id, turn, list_sort(list(p)) AS positions FROM (SELECT DISTINCT src, id, turn, unnest([0, 1, id % 7, id % 5]) AS p FROM v_payload) GROUP BY ALL", "v_payload"))
@@ -219,8 +224,7 @@ def linkify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_replace("url", f"({_URL})", "[$1]").alias("linked"))
 
 
-@query("SELECT doc_id, base64(encode(text[:40])) AS b64, text[:40] AS back FROM documents")
+@query("SELECT doc_id, base64(encode(text)) AS b64, text AS back FROM documents")
 def base64_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("text", 1, 40)
-    coded = F.base64(F.encode(head, "UTF-8"))
+    coded = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")  # without the line breaks of MIME
     return table(spark, d, "documents").select("doc_id", coded.alias("b64"), P.lenient_text(F.unbase64(coded)).alias("back"))
