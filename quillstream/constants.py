@@ -17,3 +17,11 @@ GAP_RESIDUAL_MAX, GAP_RESIDUAL_NONE_MAX, GAP_GRID = 2.0, 10.0, 16
 HISTORY_CAP = 50
 #: Speeds of display in ms: (symbol, gap).
 SPEEDS = {"slow": (700, 200), "normal": (500, 150), "fast": (320, 110)}
+#: The sender's frame, and how a receiver finds it (fixed values): colour, ground between symbols, border and outer side as
+#: shares; hue range (degrees), least saturation, least chroma; least area, ring fill, candidates, middle share.
+FRAME_RGB, GAP_GRAY, FRAME_BORDER, FRAME_OUTER = (255, 0, 170), 128, 0.06, 0.92
+HUE_RANGE, SATURATION_MIN, CHROMA_MIN = (280.0, 352.0), 0.35, 40
+AREA_MIN, RING_FILL, CANDIDATES, MIDDLE = 0.002, (0.1, 0.45), 3, 0.8
+SIDE_MIN, ASPECT_MAX, PIXELS_MIN = 12.0, 3.0, 8
+#: Width of the raster that frames are worked on; they are located on one of half that width.
+WORK_WIDTH = 640

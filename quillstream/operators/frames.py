@@ -32,7 +32,8 @@ def decided(logits: np.ndarray, residual: float) -> tuple[bool, int | None, floa
 def observe(images: DataFrame, load: Callable[[], Scorer], size: int = 64, keys: tuple[str, ...] = ("img",)) -> DataFrame:
     """keys, width, height, rgb (bytes) -> keys and an observation. ``load`` makes the scorer, once for each task.
 
-    Flat crops are gaps and are never scored; the others are scored a batch at a time.
+    An image is drawn on a raster of fixed width, the frame located on one of half that width, and the crop taken from the
+    whole one; x and y are on the raster. Flat crops are gaps and are never scored; the others are scored a batch at a time.
     """
     kinds = ", ".join(f"`{k}` {images.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -41,8 +42,9 @@ def observe(images: DataFrame, load: Callable[[], Scorer], size: int = 64, keys:
         for frame in frames:
             rows, crops, todo = [], [], []
             for k, (w, h, rgb) in enumerate(zip(frame.width, frame.height, frame.rgb, strict=True)):
-                image = np.frombuffer(rgb, np.uint8).reshape(h, w, 3)
-                status, quad = vision.locate(image)
+                image = vision.work_raster(np.frombuffer(rgb, np.uint8).reshape(h, w, 3))
+                status, quad = vision.locate(vision.halved(image))
+                quad = None if quad is None else 2 * quad
                 crop = vision.cropped(image, quad, size) if quad is not None else vision.centre(image, size)
                 residual = vision.texture(crop)
                 corner = quad[0] if quad is not None else (None, None)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..constants import FRAME_BORDER, FRAME_OUTER, FRAME_RGB, GAP_GRAY, WORK_WIDTH
+from ..functions import vision
 from ..operators.frames import observe, packed
-from ..registry import query
+from ..registry import query, table
 from ..shipping import ship
 
 #: The grid: images of 64 x 48 pixels.
@@ -66,16 +69,57 @@ def row_extremes(spark: SparkSession, d: str) -> DataFrame:
     return mask(spark).groupBy("img", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_GRID}, {_HUE} SELECT img, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) AS fill FROM v_mask GROUP BY img")
-def component_boxes(spark: SparkSession, d: str) -> DataFrame:
+#: Specks on the same grid, and the least pixel number that each reaches over its eight neighbours.
+_SPECKS = f"""v_speck AS (SELECT img, y, x, y * {WIDTH} + x AS spot FROM (SELECT CAST(i // {WIDTH * HEIGHT} AS BIGINT) AS img, CAST(i // {WIDTH} % {HEIGHT} AS BIGINT) AS y, CAST(i % {WIDTH} AS BIGINT) AS x FROM (SELECT unnest(range({IMAGES * WIDTH * HEIGHT})) AS i))
+    WHERE (x * x * 7 + y * y * 13 + x * y * 5 + img * 17) % 101 < 25),
+v_reach AS (SELECT img, spot AS start, spot, y, x FROM v_speck UNION SELECT r.img, r.start, s.spot, s.y, s.x FROM v_reach r JOIN v_speck s ON s.img = r.img AND abs(s.y - r.y) <= 1 AND abs(s.x - r.x) <= 1),
+v_label AS (SELECT img, spot // {WIDTH} AS y, spot % {WIDTH} AS x, min(start) AS label FROM v_reach GROUP BY img, spot)"""
+_BOX = "SELECT img, label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) AS fill FROM v_label GROUP BY img, label"
+
+
+def specks(spark: SparkSession) -> DataFrame:
+    x, y, m = F.col("x"), F.col("y"), F.col("img")
+    return grid(spark).select("img", "y", "x").where((x * x * 7 + y * y * 13 + x * y * 5 + m * 17) % 101 < 25)
+
+
+def labelled(pixels: DataFrame) -> DataFrame:
+    """img, y, x, label: the pixels of a mask with their 8-connected component, named by its least pixel number. An image's pixels are gathered, which its size bounds."""
+    ship(pixels.sparkSession)
+    masks = pixels.groupBy("img").agg(F.collect_list(F.col("y") * WIDTH + F.col("x")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for img, at in zip(batch.column("img"), batch.column("at"), strict=True):
+                where = np.sort(at.values.to_numpy())
+                mask = np.zeros(WIDTH * HEIGHT, bool)
+                mask[where] = True
+                label = vision.components(mask.reshape(HEIGHT, WIDTH)).ravel()[where]
+                yield pa.RecordBatch.from_arrays([pa.repeat(img, len(where)), pa.array(where // WIDTH), pa.array(where % WIDTH), pa.array(label.astype(np.int64))], names=["img", "y", "x", "label"])
+
+    return masks.mapInArrow(run, "img bigint, y bigint, x bigint, label bigint")
+
+
+@query(f"WITH RECURSIVE {_SPECKS} SELECT * FROM v_label")
+def component_labels(spark: SparkSession, d: str) -> DataFrame:
+    return labelled(specks(spark))
+
+
+def boxes(labels: DataFrame) -> DataFrame:
     w, h = F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1
-    return mask(spark).groupBy("img").agg(F.count("*").alias("area"), F.min("x").alias("x"), F.min("y").alias("y"), w.alias("w"), h.alias("h"), (F.count("*") / (w * h)).alias("fill"))
+    return labels.groupBy("img", "label").agg(F.count("*").alias("area"), F.min("x").alias("x"), F.min("y").alias("y"), w.alias("w"), h.alias("h"), (F.count("*") / (w * h)).alias("fill"))
+
+
+@query(f"WITH RECURSIVE {_SPECKS} {_BOX}")
+def component_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Area, bounding box and fill of every component."""
+    return boxes(labelled(specks(spark)))
 
 
-@query(f"WITH {_GRID}, {_HUE} SELECT img, area, rank FROM (SELECT img, area, row_number() OVER (ORDER BY area DESC, img) AS rank FROM (SELECT img, count(*) AS area FROM v_mask GROUP BY img)) WHERE rank <= 3")
+@query(f"WITH RECURSIVE {_SPECKS} SELECT img, label, area, rank FROM (SELECT img, label, area, row_number() OVER (PARTITION BY img ORDER BY area DESC, label) AS rank FROM ({_BOX})) WHERE rank <= 3")
 def largest_components(spark: SparkSession, d: str) -> DataFrame:
-    top = mask(spark).groupBy("img").agg(F.count("*").alias("area")).orderBy(F.col("area").desc(), "img").limit(3)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("area").desc(), "img")).cast("bigint"))
+    """The three largest components of each image."""
+    rank = F.row_number().over(Window.partitionBy("img").orderBy(F.col("area").desc(), "label")).cast("bigint")
+    return boxes(labelled(specks(spark))).select("img", "label", "area", rank.alias("rank")).where("rank <= 3")
 
 
 @query(f"WITH {_GRID} SELECT img, y // 2 AS y, x // 2 AS x, CAST((sum(r) + 2) >> 2 AS BIGINT) AS r, CAST((sum(g) + 2) >> 2 AS BIGINT) AS g, CAST((sum(b) + 2) >> 2 AS BIGINT) AS b FROM v_rgb GROUP BY img, y // 2, x // 2".replace("sum(r)", "CAST(sum(r) AS BIGINT)").replace("sum(g)", "CAST(sum(g) AS BIGINT)").replace("sum(b)", "CAST(sum(b) AS BIGINT)"))
@@ -165,19 +209,83 @@ def homography_apply(spark: SparkSession, d: str) -> DataFrame:
     return corners(spark).select("img", "k", F.round((_H[0] * x + _H[1] * y + _H[2]) / w, 6).alias("u"), F.round((_H[3] * x + _H[4] * y + _H[5]) / w, 6).alias("v"))
 
 
-@query("SELECT id, CAST(round(w * 0.06) AS BIGINT) AS border, CAST(round(w * 0.92) AS BIGINT) AS outer_side FROM (SELECT id, 100 + id * 3 AS w FROM (SELECT unnest(range(200)) AS id))")
+@query(f"WITH {_QUAD} SELECT img, k, px AS u, py AS v FROM v_corner")
+def homography_solve(spark: SparkSession, d: str) -> DataFrame:
+    """Maps of the unit square to four corners, solved and put to use: they reach the corners, and their inverses come back."""
+    ship(spark)
+    four = corners(spark).groupBy("img").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "px", "py"))), lambda c: F.array(c["px"], c["py"])).alias("quad"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
+        for batch in batches:
+            for img, quad in zip(batch.column("img"), batch.column("quad").to_pylist(), strict=True):
+                h = vision.homography(unit, np.array(quad))
+                there = vision.mapped(h, unit)
+                back = vision.mapped(vision.inverse(h), there)
+                at = np.round(np.where(np.abs(back - unit) < 1e-6, there, np.nan), 6)
+                yield pa.RecordBatch.from_arrays([pa.repeat(img, 4), pa.array(np.arange(4)), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["img", "k", "u", "v"])
+
+    return four.mapInArrow(run, "img bigint, k bigint, u double, v double")
+
+
+def frame_square(w: Column, h: Column) -> dict[str, Column]:
+    """Place and sizes, in whole pixels, of the square that a sender draws on a canvas; halves are rounded up."""
+    up = lambda c: F.floor(c + 0.5).cast("bigint")
+    side = up(F.least(w, h) * F.lit(FRAME_OUTER))
+    border = up(side * F.lit(FRAME_BORDER))
+    return {"side": side, "border": border, "x": up((w - side) / 2), "y": up((h - side) / 2), "inner": side - 2 * border}
+
+
+_SQUARE = f"""(SELECT *, CAST(floor((w - side) / 2 + 0.5) AS BIGINT) AS x, CAST(floor((h - side) / 2 + 0.5) AS BIGINT) AS y, side - 2 * border AS "inner" FROM
+    (SELECT *, CAST(floor(side * {FRAME_BORDER}::DOUBLE + 0.5) AS BIGINT) AS border FROM (SELECT *, CAST(floor(least(w, h) * {FRAME_OUTER}::DOUBLE + 0.5) AS BIGINT) AS side FROM {{canvas}})))"""
+
+
+@query('SELECT event_id, side, border, x, y, "inner" FROM ' + _SQUARE.format(canvas="(SELECT event_id, 100 + event_id * 37 % 1821 AS w, 100 + event_id * 53 % 981 AS h FROM events)"))
 def frame_geometry(spark: SparkSession, d: str) -> DataFrame:
-    w = 100 + F.col("id") * 3
-    return spark.range(200).select("id", F.round(w * 0.06).cast("bigint").alias("border"), F.round(w * 0.92).cast("bigint").alias("outer_side"))
+    """The sender's square on canvases of many sizes, one for each event."""
+    w, h = 100 + F.col("event_id") * 37 % 1821, 100 + F.col("event_id") * 53 % 981
+    return table(spark, d, "events").select("event_id", *[c.alias(k) for k, c in frame_square(w, h).items()])
+
+
+SCENES = 24
 
 
-@query()
+def scenes(spark: SparkSession) -> DataFrame:
+    """img, y, x, r, g, b: canvases as a sender draws them. One quarter of the symbol is bright; of six canvases one shows the gap and one nothing."""
+    w, h = 160 + F.col("img") % 3 * 16, 120 + F.col("img") % 2 * 20
+    canvas = spark.range(SCENES).withColumnRenamed("id", "img").select("img", w.alias("w"), h.alias("h"), *[c.alias(f"_{k}") for k, c in frame_square(w, h).items()])
+    rows = canvas.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    c = F.col
+    u, v = c("x") - c("_x"), c("y") - c("_y")
+    deep = F.least(u, v, c("_side") - 1 - u, c("_side") - 1 - v)
+    quarter = (2 * (v - c("_border")) >= c("_inner")).cast("int") * 2 + (2 * (u - c("_border")) >= c("_inner")).cast("int")
+    kind = F.when((deep < 0) | (c("img") % 6 == 5), "ground").when(deep < c("_border"), "frame").when(c("img") % 6 == 4, "gap").when(quarter == c("img") % 4, "bright").otherwise("dark")
+    colours = {"ground": (0, 0, 0), "frame": FRAME_RGB, "gap": (GAP_GRAY,) * 3, "bright": (250, 240, 60), "dark": (20, 30, 90)}
+    pick = lambda i: F.create_map(*[F.lit(x) for k, v in colours.items() for x in (k, v[i])])[kind]
+    return rows.select("img", "y", "x", pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"))
+
+
+@query(
+    f"SELECT img, CASE WHEN img % 6 = 5 THEN 'none' ELSE 'ok' END AS status, img % 6 >= 4 AS gap, CAST(CASE WHEN img % 6 < 4 THEN img % 4 END AS INT) AS cls, img % 6 <> 5 AS found FROM (SELECT CAST(unnest(range({SCENES})) AS BIGINT) AS img)"
+)
 def frame_observations(spark: SparkSession, d: str) -> DataFrame:
-    """The whole chain on images: locate the frame, crop, test for a gap, score, decide. The scorer is a stand-in that rates classes by the crop's mean colour."""
+    """The whole chain on images: raster, locate the frame, crop, test for a gap, score, decide. The oracle is what was drawn.
+
+    The scorer is a stand-in that rates the four classes by the brightness of the crop's quarters. found: whether the
+    corner that was located is within three pixels of the one that was drawn, on the raster.
+    """
     ship(spark)
 
     def load() -> Callable[[np.ndarray], np.ndarray]:
-        anchors = np.linspace(0, 255, 16)
-        return lambda crops: -np.abs(crops.mean(axis=(1, 2, 3))[:, None] - anchors[None, :])
-
-    return observe(packed(grid(spark)), load, 16)
+        def scorer(crops: np.ndarray) -> np.ndarray:
+            n = crops.shape[1] // 2
+            parts = [crops[:, a : a + n, b : b + n] for a in (0, n) for b in (0, n)]
+            return np.stack([p.mean(axis=(1, 2, 3)) / 8 for p in parts], axis=1)
+
+        return scorer
+
+    img = F.col("img")
+    w, h = 160 + img % 3 * 16, 120 + img % 2 * 20
+    drawn = frame_square(w, h)
+    off = F.greatest(F.abs(F.col("x") - drawn["x"] * WORK_WIDTH / w), F.abs(F.col("y") - drawn["y"] * WORK_WIDTH / w))
+    return observe(packed(scenes(spark)), load, 16).select("img", "status", "gap", "cls", F.coalesce(off <= 3, F.lit(False)).alias("found"))
