@@ -7,13 +7,28 @@ from pyspark.sql import functions as F
 
 from .runtime import cut
 
+#: A node with more than this share of all links (and HUB_LEAST of them) is a hub. There can be no more than 2 / HUB_SHARE.
+HUB_SHARE, HUB_LEAST = 1 / 512, 256
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """u, v and m: the least v of each u.
+
+    The links of a hub stay where they are: hubs are few, whatever the number of links, so their minima are broadcast. The
+    others are joined by shuffle.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > max(HUB_LEAST, int(total * HUB_SHARE))
+    hubs = F.broadcast(least.where(hub).select("u", "m"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) bigint links -> (node, label): the least node of its component, for every node that has a link.
 
     Alternating large-star and small-star steps: each node's neighbours are re-linked to its least neighbour. Only
     minima are gathered by node, never lists, so a node with very many links is pre-aggregated in each task. Loops and
-    repeated links are harmless; no links give no rows.
+    repeated links are harmless; no links give no rows. The rounds are about the logarithm of the longest path.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
@@ -23,8 +38,8 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        near = _with_least(both, 2 * state[0]).where("v > u")
+        large = near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large, state[0])
+        linked = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = cut(linked.where("u <> v").distinct())

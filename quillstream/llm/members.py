@@ -34,13 +34,18 @@ def bitmap(keys: DataFrame, column: str):
     return keys.sparkSession.sparkContext.broadcast(whole)
 
 
-def may_be_in(bits, key: Column) -> Column:
+def held_in(bits, keys: np.ndarray) -> np.ndarray:
     """True for every key of the bitmap, and for few others."""
+    at = np.mod(keys, BITS)
+    return (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def may_be_in(bits, key: Column) -> Column:
+    """As ``held_in``, for a column."""
 
     @F.pandas_udf("boolean")
     def test(keys: pd.Series) -> pd.Series:
-        at = np.mod(keys.to_numpy(np.int64, na_value=0), BITS)
-        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(held_in(bits, keys.to_numpy(np.int64, na_value=0)))
 
     return test(F.coalesce(key, F.lit(0)))
 
@@ -48,10 +53,27 @@ def may_be_in(bits, key: Column) -> Column:
 def only(batches: Iterator[pa.RecordBatch], bits, key: str, wanted: bool) -> Iterator[pa.RecordBatch]:
     """Rows whose key (never null) is in the bitmap, or is not; for use inside a task that runs Python anyhow."""
     for batch in batches:
-        at = np.mod(batch.column(key).to_numpy(), BITS)
-        held = (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-        yield batch.filter(pa.array(held == wanted))
+        yield batch.filter(pa.array(held_in(bits, batch.column(key).to_numpy()) == wanted))
 
 
 def rows_in(rows: DataFrame, bits, key: str) -> DataFrame:
     return rows.mapInArrow(lambda batches: only(batches, bits, key, True), rows.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs``, all columns, whose key is not among those of ``gone`` (its only column). Rows that cannot be are not shuffled.
+
+    gone has a whole number in its column, never null; a row without a key stays.
+    """
+    may, other = fresh("may", docs), fresh("gone", docs)
+    flagged = docs.withColumn(may, may_be_in(bitmap(gone, gone.columns[0]), F.col(key)))
+    stay = flagged.where(F.col(may)).join(gone.toDF(other), F.col(key) == F.col(other), "left_anti")
+    return flagged.where(~F.col(may)).unionByName(stay).drop(may)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    used = {c.lower() for f in frames for c in f.columns}
+    while name in used:
+        name += "_"
+    return name

@@ -12,7 +12,8 @@ pairs to be compared; within each, the full shingle sets are intersected by matr
 
 A null or empty text, or one without words, has no shingles and is linked with nothing. With fewer words than the
 shingle size, the whole word sequence is the only shingle. Rows that share a doc_id are linked with one another; a row
-without doc_id is not compared, has no component and is kept. An empty table gives no rows. Extra columns are ignored.
+without doc_id is not compared, has no component and is kept. Ids are whole numbers; with any other type a TypeError is raised.
+An empty table gives no rows. Extra columns are ignored, or carried by ``kept_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .graph import components
-from .members import bitmap, may_be_in
+from .members import bitmap, held_in, may_be_in, without
 from .runtime import cut
 from .text import mixed, shingles, steps
 
 SYMBOLS = 64
 ERRORS = 1
+#: Classes under one key that a task compares by signature.
+GROUP = 4096
 BLOCK = 400
 _COLUMNS = 4096
 
@@ -103,23 +107,72 @@ def chunk_keys(signature: np.ndarray, parts: list[np.ndarray], errors: int = ERR
     return np.stack(keys, axis=1)
 
 
+def near_forest(signature: np.ndarray, bound: int) -> list[tuple[int, int]]:
+    """Spanning links among signatures that differ in at most ``bound`` symbols: each is compared with those that no link has reached yet."""
+    out, todo = [], np.arange(len(signature))
+    while len(todo) > 1:
+        stack, todo = [int(todo[0])], todo[1:]
+        while stack and len(todo):
+            u = stack.pop()
+            near = (signature[todo] != signature[u]).sum(axis=1) <= bound
+            out += [(u, v) for v in todo[near].tolist()]
+            stack += todo[near].tolist()
+            todo = todo[~near]
+    return out
+
+
 def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): under each key, every member with the least one."""
-    parts = chunks(threshold)
+    """(a, b): links whose components hold every pair of signatures within the distance bound."""
+    parts, bound = chunks(threshold), distance_bound(threshold)
+    kind = classes.schema["rep"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch], bits=None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                keys = chunk_keys(signature, parts)
-                ids = np.repeat(batch.column("rep").to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "rep"])
+            if not batch.num_rows:
+                continue
+            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            keys = chunk_keys(signature, parts)
+            row = np.repeat(np.arange(len(keys)), keys.shape[1])
+            key = keys.reshape(-1).view(np.int64)
+            if bits is not None:
+                use = held_in(bits, key)
+                row, key = row[use], key[use]
+            columns = [pa.array(key), batch.column("rep").take(pa.array(row))]
+            if bits is not None:
+                columns.append(batch.column("signature").take(pa.array(row)))
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "rep", "signature"][: len(columns)])
+
+    signed = classes.select("rep", "signature")
+    met = signed.mapInArrow(keyed, f"key bigint, rep {kind}").groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n"))
+    met = cut(met.where("n > 1").select("key", "a", (F.col("n") > GROUP).alias("crowded")))
+    bits = bitmap(met, "key")
+    again = signed.mapInArrow(lambda batches: keyed(batches, bits), f"key bigint, rep {kind}, signature binary").join(met, "key")
+    crowded = again.where("crowded").select("a", F.col("rep").alias("b")).where("a <> b")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reps, signatures, found = None, [], [], ([], [])
+
+        def done() -> None:
+            for u, v in near_forest(np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, SYMBOLS), bound) if len(reps) > 1 else ():
+                found[0].append(reps[u])
+                found[1].append(reps[v])
 
-    keyed = classes.select("rep", "signature").mapInArrow(run, "key bigint, rep bigint")
-    met = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
-    met = cut(met.where("a <> b"))
-    more = keyed.join(met.where("n > 2").select("key", "a"), "key").select("a", F.col("rep").alias("b")).where("a <> b")
-    return met.where("n = 2").select("a", "b").unionByName(more).distinct()
+        for batch in batches:
+            for key, rep, signature in zip(*(batch.column(c).to_pylist() for c in ("key", "rep", "signature")), strict=True):
+                if key != now:
+                    done()
+                    now, reps, signatures = key, [], []
+                reps.append(rep)
+                signatures.append(signature)
+            given, found = found, ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field("rep").type) for x in given], names=["a", "b"])
+        done()
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field("rep").type) for x in found], names=["a", "b"])
+
+    workers = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = again.where("NOT crowded").select("key", "rep", "signature").repartition(workers, "key").sortWithinPartitions("key", "rep")
+    return grouped.mapInArrow(linked, f"a {kind}, b {kind}").unionByName(crowded).distinct()
 
 
 def forest(found: list[np.ndarray], left: int, percent: int) -> list[tuple[int, int]]:
@@ -164,32 +217,18 @@ def forest(found: list[np.ndarray], left: int, percent: int) -> list[tuple[int,
     return out
 
 
-def _confirmed(docs: DataFrame, near: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the true links. near: (node, label) of candidate components."""
-    many = near.groupBy("label").agg((F.count("*") + 1).alias("n"))
-    nodes = near.unionByName(near.select(F.col("label").alias("node"), "label").distinct()).join(many, "label")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    nodes = nodes.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    nodes = cut(nodes.select("node", "label", "blocks", "block"))
-    texts = docs.select("doc_id", "text").where(may_be_in(bitmap(nodes, "node"), F.col("doc_id")))
-    held = texts.join(nodes, F.col("doc_id") == F.col("node")).select("node", "label", "blocks", "block", "text")
+_TASK = "node bigint, label bigint, i int, j int, second boolean, shingles binary"
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in steps(batches):
-            found = sets(data, offsets, size)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("node", "label", "blocks", "block")), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "label", "blocks", "block", "shingles"])
 
-    hashed = held.mapInArrow(to_sets, "node bigint, label bigint, blocks int, block int, shingles binary").where(F.length("shingles") > 0)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = hashed.select("node", "label", "block", "shingles", other).select("node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "shingles")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_tasks = tasks.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "second", "node")
+def _true_links(tasks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): spanning links of the sets of each (label, i, j); where i and j differ, of the first side with the second only."""
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tasks.select(*(f.split()[0] for f in _TASK.split(", "))).repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "second", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, links = None, [], ([], [])
 
         def done() -> None:
-            # Within a block all pairs are compared; between two blocks, those of different blocks only.
             left = sum(not h[1] for h in held) if now[1] != now[2] else 0
             if len(held) > 1 and (now[1] == now[2] or 0 < left < len(held)):
                 for u, v in forest([h[2] for h in held], left, percent):
@@ -209,11 +248,53 @@ def _confirmed(docs: DataFrame, near: DataFrame, size: int, percent: int) -> Dat
             done()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
 
-    return sorted_tasks.mapInArrow(compare, "a bigint, b bigint")
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _blocks(rows: DataFrame, n: str, as_: str, block: str) -> DataFrame:
+    """With the number of blocks that ``n`` nodes of a label make, and the node's block, by a hash."""
+    return rows.withColumn(as_, F.ceil(F.col(n) / BLOCK).cast("int")).withColumn(block, F.pmod(F.xxhash64("node"), F.col(as_)).cast("int"))
+
+
+def _confirmed(docs: DataFrame, near: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links whose components are those of the true links. near: (node, label) of candidate components."""
+    every = near.unionByName(near.select(F.col("label").alias("node"), "label").distinct())
+    many = near.groupBy("label").agg((F.count("*") + 1).alias("n"))
+    nodes = cut(_blocks(every.join(many, "label"), "n", "blocks", "block").select("node", "label", "blocks", "block"))
+    texts = docs.select("doc_id", "text").where(may_be_in(bitmap(nodes, "node"), F.col("doc_id")))
+    held = texts.join(nodes, F.col("doc_id") == F.col("node")).select("node", "label", "blocks", "block", "text")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in steps(batches):
+            found = sets(data, offsets, size)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("node", "label", "blocks", "block")), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "label", "blocks", "block", "shingles"])
+
+    hashed = cut(held.mapInArrow(to_sets, "node bigint, label bigint, blocks int, block int, shingles binary").where(F.length("shingles") > 0))
+    # Every block within itself, and with the first: a block's task holds the first block, too.
+    own = hashed.withColumn("i", F.col("block")).withColumn("j", F.col("block")).withColumn("second", F.lit(False))
+    guests = hashed.where("block = 0 AND blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1))).withColumn("j", F.col("i")).withColumn("second", F.lit(True))
+    first = cut(_true_links(own.unionByName(guests), percent))
+    large = nodes.where("blocks > 1").select("label").distinct()
+    settled = components(first)
+    # In components of several blocks: the classes outside the largest group, with all that are not of their own group.
+    groups = nodes.join(large, "label").join(settled.withColumnRenamed("label", "part"), "node", "left").select("node", "label", F.coalesce("part", "node").alias("part"))
+    sizes = groups.groupBy("label", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("most"))
+    outside = groups.join(largest, "label").where("part <> most").select("node", "label")
+    outside = cut(_blocks(outside.join(outside.groupBy("label").agg(F.count("*").alias("m")), "label"), "m", "rows", "i").select("node", "label", "rows", "i"))
+    rest = outside.select("label", "rows").distinct()
+    some = hashed.join(outside.select("node", "i"), "node").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("second", F.lit(False))
+    others = hashed.join(rest, "label").withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("second", F.lit(True))
+    # The two sides are numbered apart, so that i and j always differ.
+    both = some.drop("rows").unionByName(others.drop("rows")).withColumn("j", -1 - F.col("j"))
+    return first.unionByName(_true_links(both, percent))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document, linked where 100 * intersection >= percent * union."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be a whole number: components are named by the least of them")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = _signed(docs, words)
     rows = cut(signed)
     classes = cut(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")))
@@ -233,11 +314,8 @@ def kept_documents(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Dat
 
     Only ids that go are joined; where several rows share an id they stay or go together.
     """
-    gone = cut(near_duplicates(docs, words=words, percent=percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    may = may_be_in(bitmap(gone, "gone_id"), F.col("doc_id"))
-    flagged = docs.withColumn("_may", may)
-    stay = flagged.where("_may").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return flagged.where("NOT _may").unionByName(stay).drop("_may")
+    gone = cut(near_duplicates(docs, words=words, percent=percent).where("NOT kept").select("doc_id").distinct())
+    return without(docs, gone, "doc_id")
 
 
 def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
