@@ -1,18 +1,21 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 10).
 
-Word counts over the whole corpus give each word of the test items its information in bits; an n-gram of ``WORDS``
-words is a seed if its words carry ``RARE_BITS`` or more. The three rarest n-grams of every item are seeds in any case.
-Rarity is judged by words and not by how often the n-gram itself occurs, so that an item copied into very many documents
-stays findable. Seeds join passages of training text to items; where the seeds of one item in one passage carry
-``JOIN_BITS``, the passage is aligned with the item word by word. A document is contaminated by an item if the alignment
-scores ``LIKENESS`` or more of what an exact copy would.
+Word counts over the whole corpus give each word of the test items its information in bits. The n-grams of ``WORDS`` words of
+an item (of two, if it has fewer than ``SHORT``) are its seeds if their words carry ``RARE_BITS`` or more, and the
+``LEAST_SEEDS`` rarest in any case; an item of up to three words is one n-gram, so it must stand there whole. Rarity is judged by words and not by how often the n-gram itself occurs, so
+that an item copied into very many documents stays findable. Seeds join passages of training text to items: where the seeds
+of one item in one passage carry ``JOIN_BITS``, or ``JOIN_SHARE`` of what all seeds of the item carry, the passage is aligned
+with the item word by word. An exact copy holds all seeds, so it is always aligned, however common its words are. A document
+is contaminated by an item if the alignment scores ``LIKENESS`` or more of what an exact copy would.
 
 The items are taken in blocks of at most ``ITEM_WORDS`` words, so what each task holds of them is bounded; every block
-is set against all documents. Nothing of the documents is shuffled.
+is set against all documents. The words of all blocks are counted in one pass. Texts are shuffled only where documents are
+to be left out by several blocks.
 
 Words are runs of letters and digits, ASCII lower-cased. Null, empty and wordless texts contaminate nothing, nor do such
-items; an item with fewer words than an n-gram is one n-gram. Repeated rows give repeated results; repeated items are
-told apart by item_id. Empty tables give no rows. Extra columns are ignored, or carried by ``uncontaminated``.
+items. Repeated rows give repeated results; every row of the items is an item of its own, so those that share an item_id give
+a row each. Ids may be of any type. Empty tables give no rows. Extra columns are ignored, or carried by ``uncontaminated``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,18 +27,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .lookup import Lookup
+from .members import bitmap, fresh, held_in, without
+from .runtime import cut
 from .text import ALNUM, grams, lowered, prefix_sums, slice_hash, steps, text_bytes, words
 
-WORDS = 3
-RARE_BITS = 24.0
-JOIN_BITS = 30.0
+WORDS, SHORT = 3, 16
+RARE_BITS, LEAST_SEEDS = 24.0, 8
+JOIN_BITS, JOIN_SHARE = 30.0, 0.25
 LIKENESS = 0.5
 #: Words of the test items that are held at a time: 8 MB of hashes.
 ITEM_WORDS = 1_000_000
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
+
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and n + 1 offsets by text."""
     low = lowered(data)
@@ -47,10 +56,11 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class Items:
     ids: list
     words: list[np.ndarray]
-    bits: list[np.ndarray]  # of each word
+    bar: np.ndarray  # bits of seeds that a passage needs, by item
+    sizes: list[int]  # of the seeds, in words
     seeds: Lookup
     seed_bits: np.ndarray
-    uses: dict[int, list[tuple[int, int]]]  # seed -> (item, word position)
+    uses: dict[int, list[int]]  # seed -> items
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -70,13 +80,14 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 def matches(hashed: np.ndarray, by_text: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, score, first word, last word + 1) of contaminated texts."""
-    gram, by_gram = grams(hashed, by_text, WORDS)
-    where, seed = items.seeds.find(gram)
-    text = np.searchsorted(by_gram, where, "right") - 1
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for t, p, s in zip(text.tolist(), (where - by_gram[text]).tolist(), seed.tolist(), strict=True):
-        for item, _ in items.uses[s]:
-            found.setdefault((t, item), []).append((p, s))
+    for size in items.sizes:
+        gram, by_gram = grams(hashed, by_text, size)
+        where, seed = items.seeds.find(gram)
+        text = np.searchsorted(by_gram, where, "right") - 1
+        for t, p, s in zip(text.tolist(), (where - by_gram[text]).tolist(), seed.tolist(), strict=True):
+            for item in items.uses[s]:
+                found.setdefault((t, item), []).append((p, s))
     out = []
     for (t, item), hits in found.items():
         own = items.words[item]
@@ -87,7 +98,8 @@ def matches(hashed: np.ndarray, by_text: np.ndarray, items: Items) -> list[tuple
         for b in range(1, len(hits) + 1):
             if b < len(hits) and hits[b][0] - hits[b - 1][0] <= 2 * len(own):
                 continue
-            if sum(items.seed_bits[s] for s in {s for _, s in hits[a:b]}) >= JOIN_BITS or len(own) <= WORDS:
+            if sum(items.seed_bits[s] for s in {s for _, s in hits[a:b]}) >= items.bar[item]:
+                # An alignment that scores enough spans twice the item's words at most.
                 lo, hi = max(0, hits[a][0] - 2 * len(own)), hits[b - 1][0] + WORDS + 2 * len(own)
                 score, end = align(own, doc[lo:hi])
                 if score >= LIKENESS * MATCH * len(own) and (best is None or score > best[0]):
@@ -99,68 +111,88 @@ def matches(hashed: np.ndarray, by_text: np.ndarray, items: Items) -> list[tuple
     return out
 
 
-def _counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """How often each word of the vocabulary occurs in all texts, and how many words these have. The result is as long as the vocabulary."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def word_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """word (null: all words together), n: how often the words of the items, and few others, occur in all texts."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in steps(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(plain_words(data, offsets)[0]).view(np.int64))], names=["word"])
+
+    bits = bitmap(items.select("text").mapInArrow(listed, "word bigint"), "word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(known.value)
-        seen, total = np.zeros(len(look.values), np.int64), 0
+        seen, times, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(times)], names=["word", "n"])
+
         for _, data, offsets in steps(batches):
-            hashed, _ = plain_words(data, offsets)
-            seen += np.bincount(look.find(hashed)[1], minlength=len(seen))
-            total += len(hashed)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(seen[at], total), pa.int64())], names=["word", "n"])
-
-    counts, total = np.zeros(len(vocabulary), np.int64), 0
-    for word, n in docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect():
-        if word < 0:
-            total = n
-        else:
-            counts[word] = n
-    return counts, total
-
-
-def prepared(docs: DataFrame, ids: list, texts: list[str]) -> Items:
+            word = plain_words(data, offsets)[0].view(np.int64)
+            total += len(word)
+            more, n = np.unique(word[held_in(bits, word)], return_counts=True)
+            both, at = np.unique(np.concatenate([seen, more]), return_inverse=True)
+            seen, times = both, np.bincount(at, np.concatenate([times, n]), len(both)).astype(np.int64)
+            if len(seen) > COUNTED:
+                yield given()
+                seen, times = seen[:0], times[:0]
+        yield given()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], names=["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def prepared(counts: DataFrame, ids: list, texts: list[str]) -> Items:
+    """counts: of at least these items' words, over the corpus."""
     hashed, by_item = plain_words(*text_bytes(pa.array(texts, pa.string())))
     vocabulary = np.unique(hashed)
-    counts, total = _counts(docs, vocabulary)
-    bits = np.log2((total + 2) / (counts + 1))
+    own = counts.sparkSession.createDataFrame(pa.table({"word": vocabulary.view(np.int64)}))
+    found = counts.join(own, "word", "left_semi").toArrow()  # as many rows as the block has words, at most
+    total = counts.where("word IS NULL").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    seen = np.zeros(len(vocabulary), np.int64)
+    seen[np.searchsorted(vocabulary, found.column("word").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
+    bits = np.log2((total + 2) / (seen + 1))
     item_words = [hashed[a:b] for a, b in zip(by_item, by_item[1:], strict=False)]
-    item_bits = [bits[np.searchsorted(vocabulary, w)] for w in item_words]
-    gram, by_gram = grams(hashed, by_item, WORDS)
-    chosen: dict[int, tuple[float, list]] = {}
-    for k, own in enumerate(item_bits):
-        g = gram[by_gram[k] : by_gram[k + 1]]
-        weight = np.array([own[p : p + WORDS].sum() for p in range(len(g))])
+    chosen: dict[int, tuple[float, set[int]]] = {}
+    bar, sizes = np.full(len(ids), np.inf), set()
+    for k, w in enumerate(item_words):
+        size = len(w) if len(w) <= 3 else 2 if len(w) < SHORT else WORDS
+        if not size:
+            continue
+        sizes.add(size)
+        gram = grams(w, np.array([0, len(w)]), size)[0]
+        weight = np.convolve(bits[np.searchsorted(vocabulary, w)], np.ones(size), "valid")
         keep = weight >= RARE_BITS
-        keep[np.argsort(-weight, kind="stable")[:3]] = True
-        for p in np.flatnonzero(keep).tolist():
-            chosen.setdefault(int(g[p]), (float(weight[p]), []))[1].append((k, p))
+        keep[np.argsort(-weight, kind="stable")[:LEAST_SEEDS]] = True
+        of_seed = dict(zip(gram[keep].tolist(), weight[keep].tolist(), strict=True))
+        bar[k] = min(JOIN_BITS, JOIN_SHARE * sum(of_seed.values()))
+        for g, x in of_seed.items():
+            chosen.setdefault(g, (x, set()))[1].add(k)
     seeds = Lookup(np.array(list(chosen), np.uint64))
     by_seed = [chosen[int(s)] for s in seeds.values]
-    return Items(ids, item_words, item_bits, seeds, np.array([b for b, _ in by_seed]), {k: u for k, (_, u) in enumerate(by_seed)})
+    return Items(ids, item_words, bar, sorted(sizes), seeds, np.array([b for b, _ in by_seed]), {k: sorted(u) for k, (_, u) in enumerate(by_seed)})
 
 
 def _blocks(docs: DataFrame, items: DataFrame) -> Iterator[Items]:
     """The items read once, in blocks; a block's prepared form goes to every task."""
+    known = items.where("text IS NOT NULL").select("item_id", "text")
+    counts = cut(word_counts(docs, known))
     ids, texts, size = [], [], 0
-    for r in items.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
+    for r in known.toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
         size += r[1].count(" ") + 1
         if size >= ITEM_WORDS:
-            yield prepared(docs, ids, texts)
+            yield prepared(counts, ids, texts)
             ids, texts, size = [], [], 0
     if ids:
-        yield prepared(docs, ids, texts)
+        yield prepared(counts, ids, texts)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, likeness, first_word, end_word: the best passage of each contaminated document for each item."""
     spark = docs.sparkSession
     kinds = [docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score bigint, likeness double, first_word bigint, end_word bigint"
     out = None
     for block in _blocks(docs, items):
@@ -172,7 +204,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 found = matches(*plain_words(data, offsets), own)
                 t, item, score, first, end = zip(*found, strict=True) if found else ((),) * 5
                 whole = np.array([MATCH * len(own.words[i]) for i in item], np.float64)
-                columns = [rows.column("doc_id").take(pa.array(t, pa.int64())), pa.array([own.ids[i] for i in item], pa.int64()), pa.array(score, pa.int64()), pa.array(np.array(score) / whole if score else [], pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())]
+                columns = [rows.column("doc_id").take(pa.array(t, pa.int64())), pa.array([own.ids[i] for i in item], item_type), pa.array(score, pa.int64()), pa.array(np.array(score) / whole if score else [], pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "likeness", "first_word", "end_word"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -181,16 +213,29 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that no item contaminates; decided where they are read."""
-    spark = docs.sparkSession
-    for block in _blocks(docs, items):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for rows, data, offsets in steps(batches):
-                keep = np.ones(rows.num_rows, bool)
-                keep[[m[0] for m in matches(*plain_words(data, offsets), held.value)]] = False
-                yield rows.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of ``docs``, all columns, that no item contaminates.
+
+    With one block of items this is decided where the rows are read. With several, each block names the contaminated texts by
+    a 64-bit hash, and rows are left out by these: no task holds more than one block.
+    """
+    spark, gone = docs.sparkSession, []
+    blocks = list(map(spark.sparkContext.broadcast, _blocks(docs, items)))
+    if not blocks:
+        return docs
+
+    def filtered(batches: Iterator[pa.RecordBatch], held, clean: bool) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in steps(batches):
+            hit = np.zeros(rows.num_rows, bool)
+            hit[[m[0] for m in matches(*plain_words(data, offsets), held.value)]] = True
+            yield rows.filter(pa.array(~hit if clean else hit))
+
+    if len(blocks) == 1:
+        return docs.mapInArrow(lambda batches: filtered(batches, blocks[0], True), docs.schema)
+    row = fresh("row", docs)
+    hashed = docs.select(F.xxhash64("text").alias(row), "text")
+    for held in blocks:
+        gone.append(hashed.mapInArrow(lambda batches, held=held: filtered(batches, held, False), hashed.schema).select(row).distinct())
+    out = gone[0]
+    for part in gone[1:]:
+        out = out.unionByName(part)
+    return without(docs.withColumn(row, F.xxhash64("text")), cut(out.distinct()), row).drop(row)
