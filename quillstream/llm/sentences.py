@@ -2,20 +2,23 @@
 
 Every run of ``SENTENCES`` consecutive sentences is hashed (lower-cased words, white space ignored) and the runs are
 joined over the whole corpus. The first occurrence of a run is the one in the least document (by id, then text) and
-there the earliest; sentences that any other occurrence covers are removed.
-
-A sentence ends after a word that ends in ``.``, ``!`` or ``?``, and at a line's end. Text without such marks would be
-one sentence, whatever part of it is copied; so a sentence of more than ``LONG`` words is also cut after every word whose
-hash says so (one in eight), and copies are cut at the same words. A document with fewer sentences has its whole sequence
-as one run. Every run is compared, however few words it has.
-
-A passage that starts or ends in mid-sentence may hold no whole run. So every run of ``PASSAGE`` words is compared too,
-and the words that a later occurrence covers are removed, wherever sentences begin; in one document, occurrences that
-overlap the first stay. A run of ``PASSAGE`` words is named by the least hash of the ``ANCHOR``-word runs in it (its anchor):
-equal runs have equal anchors, so only the runs whose anchor occurs again are shuffled.
-
-``n_removed`` counts the sentences of which no word is left. Null and empty texts have no sentences. Rows equal in
-doc_id and text count as one document. An empty table gives no rows. Extra columns are ignored.
+there the earliest; sentences that any other occurrence covers are removed. A sentence ends after a word that ends in ``.``,
+``!`` or ``?``, and at a line's end, however long or short it is. A document with fewer sentences has its whole sequence as
+one run.
+
+A passage that starts or ends in mid-sentence, or has no such marks, may hold no whole run. So every run of ``PASSAGE`` words
+is compared too, and the words that a later occurrence covers are removed, wherever sentences begin; in one document,
+occurrences that overlap the first stay. The runs that share an anchor, the ``ANCHOR``-word run of least hash in them, lie
+side by side and make one stretch; equal runs have their anchors at equal places, so only stretches of equal anchors can share
+runs. Where all stretches of an anchor are equal, as nearly always, a stretch is one key like a run of sentences; only where
+they differ are their runs compared one by one.
+
+Keys are counted by hash, which each task pre-aggregates; only what occurs again is joined back, in joins that adaptive
+execution can split, so a passage held by a third of all rows costs one narrow row for each of its stretches.
+
+``n_removed`` counts the sentences that lost a word, ``n_words_removed`` the words. Null and empty texts have no sentences.
+Rows equal in doc_id and text count as one document; null ids come first. An empty table gives no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,59 +28,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .members import bitmap, only, rows_in
+from .members import bitmap, held_in, only, rows_in
 from .runtime import cut
 from .text import grams, lowered, mixed, prefix_sums, slice_hash, steps, words
 
 SENTENCES = 3
-#: No run is too short to be compared.
-LEAST_WORDS = 0
-LONG = 24
-CUT_MASK = np.uint64(7)
 #: Words of a passage that is found wherever it starts, and of the runs that name it.
 PASSAGE, ANCHOR = 51, 25
-#: Added to the number of a passage's first word, to tell it from the number of a sentence.
-_WORD = 1 << 30
 
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 
-def sentences(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, word hashes, number of the first word of each sentence, and n + 1 sentence offsets by text, of lower-cased bytes."""
-    starts, ends, by_text = words(low, offsets)
-    n = len(starts)
-    if not n:
-        return starts, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    hashed = slice_hash(prefix_sums(low), starts, ends)
-    lines = np.concatenate([[0], np.cumsum(low == 10)])
-    begins = np.ones(n, bool)
-    begins[1:] = _ENDS[low[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
-    begins[by_text[:-1][np.diff(by_text) > 0]] = True
-    first = np.flatnonzero(begins)
-    size = np.diff(np.append(first, n))
-    begins[1:] |= np.repeat(size > LONG, size)[1:] & (hashed[:-1] & CUT_MASK == 0)
-    first = np.flatnonzero(begins)
-    return starts, hashed, first, np.searchsorted(first, by_text)
-
-
-def runs(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first sentence, hash) of each run of ``size`` sentences."""
-    starts, word, first, by_text = sentences(lowered(data), offsets)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
-    # A sentence's hash is that of its word hashes in their order.
-    order = prefix_sums(word)
-    stop = np.concatenate([first[1:], [len(starts)]])
-    hashed, by_run = grams(slice_hash(order, first, stop), by_text, size)
+class Words:
+    """The words of texts end to end, lower-cased: places, hashes, and where sentences begin."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        low = lowered(data)
+        self.starts, ends, self.by_text = words(low, offsets)
+        n = len(self.starts)
+        self.hashed = slice_hash(prefix_sums(low), self.starts, ends) if n else np.zeros(0, np.uint64)
+        self.order = prefix_sums(self.hashed)  # the hash of a run of words is that of their hashes in order
+        begins = np.ones(n, bool)
+        if n:
+            lines = np.concatenate([[0], np.cumsum(low == 10)])
+            begins[1:] = _ENDS[low[ends[:-1] - 1]] | (lines[self.starts[1:]] > lines[ends[:-1]])
+            begins[self.by_text[:-1][np.diff(self.by_text) > 0]] = True
+        self.first = np.flatnonzero(begins)  # first word of each sentence
+        self.sentences = np.searchsorted(self.first, self.by_text)  # n + 1 offsets by text
+
+    def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return slice_hash(self.order, start, end)
+
+
+def sentence_runs(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first word, words, hash) of each run of ``size`` sentences."""
+    stop = np.append(w.first[1:], len(w.starts))[: len(w.first)]
+    hashed, by_run = grams(w.run(w.first, stop), w.sentences, size)
     many = np.diff(by_run)
     text = np.repeat(np.arange(len(many)), many)
-    at = np.arange(len(hashed)) - by_run[text]
-    return text, at, hashed
+    at = w.sentences[text] + np.arange(len(hashed)) - by_run[text]
+    last = np.minimum(at + size, w.sentences[text + 1]) - 1
+    return text, w.first[at], stop[last] - w.first[at], hashed
 
 
 def _least(x: np.ndarray, size: int) -> np.ndarray:
@@ -90,128 +86,139 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first word, hash, anchor) of each run of PASSAGE words."""
-    low = lowered(data)
-    starts, ends, by_text = words(low, offsets)
-    if len(starts) < PASSAGE:
+def stretches(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first word, words, hash of the anchor) of the runs of PASSAGE words that have one anchor, taken together."""
+    many = np.maximum(np.diff(w.by_text) - PASSAGE + 1, 0)
+    if not many.sum():
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    order = prefix_sums(slice_hash(prefix_sums(low), starts, ends))
-    at = np.arange(len(starts) - ANCHOR + 1)
-    anchor = _least(slice_hash(order, at, at + ANCHOR), PASSAGE - ANCHOR + 1)
-    many = np.maximum(np.diff(by_text) - PASSAGE + 1, 0)
+        return none, none, none, np.zeros(0, np.uint64)
+    at = np.arange(len(w.starts) - ANCHOR + 1)
+    hashed = w.run(at, at + ANCHOR)
+    least = _least(hashed & _HIGH | at.astype(np.uint64), PASSAGE - ANCHOR + 1)
     text = np.repeat(np.arange(len(many)), many)
-    own = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    at = by_text[text] + own
-    return text, own, slice_hash(order, at, at + PASSAGE), anchor[at]
+    start = w.by_text[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    anchor = (least[start] & ~_HIGH).astype(np.int64)
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))
+    first = np.flatnonzero(new)
+    runs = np.diff(np.append(first, len(text)))
+    return text[first], start[first], runs + PASSAGE - 1, hashed[anchor[first]]
 
 
-def _anchors(rows: DataFrame) -> DataFrame:
-    """anchor, row: once for each place of an anchor at least, and twice where passages that share one do not overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in steps(batches):
-            text, own, _, anchor = passages(data, offsets)
-            use = np.ones(len(text), bool)
-            use[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-            at = np.arange(len(text))
-            use = (at - np.maximum.accumulate(np.where(use, at, 0))) % PASSAGE == 0
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[use].view(np.int64)), batch.column("row").take(pa.array(text[use]))], names=["anchor", "row"])
+#: Tells the keys of sentences from those of anchors.
+_APART = np.uint64(0x5851F42D4C957F2D)
 
-    return rows.mapInArrow(run, "anchor bigint, row bigint")
 
+def _keyed(rows: DataFrame, size: int, bits=None) -> DataFrame:
+    """key, part: of each run of sentences (part 0) and of each stretch (its anchor, and the hash of all of it).
 
-def _passages_found(rows: DataFrame) -> DataFrame:
-    """run, doc_id, row, at: the passages whose anchor is among those of their row."""
+    bits: only keys in this bitmap, with doc_id, row, at (first word in the text) and n (words).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches):
-            text, own, hashed, anchor = passages(data, offsets)
-            wanted = batch.column("anchors")
-            lengths = np.array([len(x) for x in wanted], np.int64)
-            known = np.unique(_pair(np.repeat(np.arange(len(lengths)), lengths), wanted.flatten().to_numpy().view(np.uint64)))
-            use = np.isin(_pair(text, anchor), known)
-            take = lambda c: batch.column(c).take(pa.array(text[use]))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(hashed[use].view(np.int64)), take("doc_id"), take("row"), pa.array((own[use] + _WORD).astype(np.int32))], names=["run", "doc_id", "row", "at"])
-
-    return rows.mapInArrow(run, f"run bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, row bigint, at int")
-
-
-def _pair(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    return mixed(anchor ^ mixed(text.astype(np.uint64) + np.uint64(1)))
+            w = Words(data, offsets)
+            text, at, n, hashed = sentence_runs(w, size)
+            text_s, at_s, n_s, anchor = stretches(w)
+            key = np.concatenate([mixed(hashed ^ _APART), mixed(anchor)]).view(np.int64)
+            part = np.concatenate([np.zeros(len(text), np.uint64), w.run(at_s, at_s + n_s) | np.uint64(1)]).view(np.int64)
+            if bits is None:
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part)], names=["key", "part"])
+                continue
+            text, at, n = (np.concatenate(x) for x in ((text, text_s), (at, at_s), (n, n_s)))
+            use = np.flatnonzero(held_in(bits, key))
+            text, at = text[use], at[use] - w.by_text[text[use]]
+            own = lambda c: batch.column(c).take(pa.array(text))  # noqa: E731, B023
+            columns = [pa.array(key[use]), pa.array(part[use]), own("doc_id"), own("row"), pa.array(at.astype(np.int32)), pa.array(n[use].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "doc_id", "row", "at", "n"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, "key bigint, part bigint" + (f", doc_id {kind}, row bigint, at int, n int" if bits is not None else ""))
+
+
+def _single_runs(rows: DataFrame) -> DataFrame:
+    """key, doc_id, row, at, n: the runs of PASSAGE words of the stretches listed in ``spans`` (at, n)."""
 
-
-def _found(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches):
-            text, at, hashed = runs(data, offsets, size)
+            w = Words(data, offsets)
+            spans = batch.column("spans")
+            flat = spans.flatten()
+            begin, n = flat.field("at").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
+            text = np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy())
+            many = n - PASSAGE + 1
+            own = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            text, at = np.repeat(text, many), np.repeat(begin, many) + own
+            start = w.by_text[text] + at
             take = lambda c: batch.column(c).take(pa.array(text))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), take("doc_id"), take("row"), pa.array(at.astype(np.int32))], names=["run", "doc_id", "row", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.run(start, start + PASSAGE).view(np.int64)), take("doc_id"), take("row"), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), PASSAGE, np.int32))], names=["key", "doc_id", "row", "at", "n"])
+
+    return rows.mapInArrow(run, f"key bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, row bigint, at int, n int")
 
-    return rows.mapInArrow(run, f"run bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, row bigint, at int")
 
+def _later(found: DataFrame, sentence) -> DataFrame:
+    """row, at, n: all occurrences of a key but the first; of passages only those apart from it. sentence: whether a row is of a run of sentences."""
+    order = F.struct("doc_id", "row", "at")
+    first = found.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1")
+    apart = sentence | (F.col("row") != F.col("first.row")) | (F.col("at") - F.col("first.at") >= PASSAGE)
+    return found.join(first, "key").where((order != F.col("first")) & apart).select("row", "at", "n")
 
-def _cleaned(rows: DataFrame, size: int, bits=None) -> DataFrame:
+
+def _cleaned(rows: DataFrame, bits=None) -> DataFrame:
     """bits: rows in this bitmap are left out, and the others lose nothing."""
     changed = bits is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches if changed else only(batches, bits, "row", False)):
-            starts, _, first, by_text = sentences(lowered(data), offsets)
-            by_word = np.append(first, len(starts))[by_text]
-            gone = batch.column("gone").to_pylist() if changed else [None] * batch.num_rows
-            removed, texts = [], []
-            for k, at in enumerate(gone):
-                text = data[offsets[k] : offsets[k + 1]]
-                own = first[by_text[k] : by_text[k + 1]] - by_word[k]
-                n = int(by_word[k + 1] - by_word[k])
-                gone_words = np.zeros(n, bool)
-                if at:
-                    at = np.array(at)
-                    sentence, word = at[at < _WORD], at[at >= _WORD] - _WORD
-                    drop = np.zeros(n + 1, np.int64)
-                    np.add.at(drop, own[sentence], 1)
-                    np.add.at(drop, np.append(own, n)[np.minimum(sentence + size, len(own))], -1)
-                    np.add.at(drop, word, 1)
-                    np.add.at(drop, word + PASSAGE, -1)
-                    gone_words = np.cumsum(drop)[:n] > 0
-                if gone_words.any():
-                    # A word takes the bytes up to the next one; white space before the first word stays.
-                    begin = starts[by_word[k] : by_word[k + 1]] - offsets[k]
-                    keep = np.ones(len(text), bool)
-                    keep[begin[0] :] = np.repeat(~gone_words, np.diff(np.append(begin, len(text))))
-                    text = text[keep]
-                removed.append(int(np.logical_and.reduceat(gone_words, own).sum()) if n else 0)
-                texts.append(text.tobytes())
-            columns = [batch.column("doc_id"), pa.array(np.diff(by_text), pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_removed", "kept_sha256", "text"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_sentences bigint, n_removed bigint, kept_sha256 string, text string")
+            w = Words(data, offsets)
+            total = len(w.starts)
+            gone = np.zeros(total + 1, np.int64)
+            if changed:
+                spans = batch.column("gone")
+                flat, text = spans.flatten(), np.repeat(np.arange(batch.num_rows), spans.value_lengths().fill_null(0).to_numpy())
+                begin = w.by_text[text] + flat.field("at").to_numpy()
+                np.add.at(gone, begin, 1)
+                np.add.at(gone, begin + flat.field("n").to_numpy(), -1)
+            gone = np.cumsum(gone)[:total] > 0
+            # A word takes the bytes up to the next one, or to its text's end; white space before the first word stays.
+            stop = np.append(w.starts[1:], len(data))[:total]
+            ends = np.repeat(offsets[1:], np.diff(w.by_text))
+            cuts = np.zeros(len(data) + 1, np.int64)
+            np.add.at(cuts, w.starts[gone], 1)
+            np.add.at(cuts, np.minimum(stop, ends)[gone], -1)
+            keep = np.cumsum(cuts)[:-1] == 0
+            left = np.concatenate([[0], np.cumsum(keep)])[offsets]
+            kept = data[keep].tobytes()
+            texts = [kept[a:b] for a, b in zip(left.tolist(), left[1:].tolist(), strict=False)]
+            lost = np.concatenate([[0], np.cumsum(np.logical_or.reduceat(gone, w.first))]) if total else np.zeros(1, np.int64)
+            lost_words = np.concatenate([[0], np.cumsum(gone)])
+            columns = [
+                batch.column("doc_id"),
+                pa.array(np.diff(w.sentences), pa.int64()),
+                pa.array(np.diff(lost[w.sentences]), pa.int64()),
+                pa.array(np.diff(lost_words[w.by_text]), pa.int64()),
+                pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+                pa.array([t.decode() for t in texts], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_removed", "n_words_removed", "kept_sha256", "text"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_sentences bigint, n_removed bigint, n_words_removed bigint, kept_sha256 string, text string")
 
 
 def without_repeated_runs(docs: DataFrame, *, size: int = SENTENCES) -> DataFrame:
-    """doc_id, n_sentences, n_removed, kept_sha256, text (what is left).
+    """doc_id, n_sentences, n_removed, n_words_removed, kept_sha256, text (what is left).
 
-    Runs are counted by hash, which each task pre-aggregates; only runs that occur again are joined back, so a passage
-    held by a third of all rows costs one narrow row for each of its sentences, and one for each word of a repeated
-    passage. Texts are shuffled for documents that hold an anchor again or lose something, and not for others.
+    Texts are shuffled for documents that lose something or hold a stretch that is to be compared run by run, not for others.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    found = _found(rows, size)
-    again = cut(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"))
-    held = cut(found.join(again, "run"))
-    order = F.struct("doc_id", "row", "at")
-    first = held.groupBy("run").agg(F.min(order).alias("first"))
-    later = held.join(first, "run").where(order != F.col("first")).select("row", "at")
-    # Passages are many: one exchange each by window functions, and no files, instead of a count that is joined back.
-    places = _anchors(rows).withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
-    wanted = cut(places.groupBy("row").agg(F.collect_set("anchor").alias("anchors")))
-    among = _passages_found(rows_in(rows, bitmap(wanted, "row"), "row").join(wanted, "row").select("doc_id", "text", "row", "anchors"))
-    named = among.withColumn("first", F.min(order).over(Window.partitionBy("run")))
-    apart = (F.col("row") != F.col("first.row")) | (F.col("at") - F.col("first.at") >= PASSAGE)
-    later = later.unionByName(named.where((order != F.col("first")) & apart).select("row", "at"))
-    gone = cut(later.groupBy("row").agg(F.collect_set("at").alias("gone")))
+    seen = _keyed(rows, size).groupBy("key").agg(F.count("*").alias("times"), F.min("part").alias("a"), F.max("part").alias("b")).where("times > 1")
+    again = cut(seen.select("key", (F.col("a") != F.col("b")).alias("several")))
+    held = cut(_keyed(rows, size, bitmap(again, "key")).join(again, "key"))
+    whole = _later(held.where("NOT several").select("key", "part", "doc_id", "row", "at", "n"), F.col("part") == 0)
+    spans = cut(held.where("several").groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
+    singles = _single_runs(rows_in(rows, bitmap(spans, "row"), "row").join(spans, "row").select("doc_id", "text", "row", "spans"))
+    later = whole.unionByName(_later(cut(singles), F.lit(False)))
+    gone = cut(later.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("gone")))
     bits = bitmap(gone, "row")
     changed = rows_in(rows, bits, "row").join(gone, "row", "left").select("doc_id", "text", "gone")
-    return _cleaned(changed, size).unionByName(_cleaned(rows, size, bits))
+    return _cleaned(changed).unionByName(_cleaned(rows, bits))

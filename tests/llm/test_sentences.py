@@ -1,50 +1,47 @@
 import random
 import re
 
-import numpy as np
+import pytest
 from helpers import corpus, empty, words
 
 from quillstream.llm import sentences as S
-from quillstream.llm.text import lowered, prefix_sums, slice_hash
 
 
 def split(text):
-    """Sentences as lists of matches of a word and the white space after it."""
-    out, now = [], []
-    for m in re.finditer(r"([^ \t\n\r\x0b\x0c]+)([ \t\n\r\x0b\x0c]*)", text or ""):
-        now.append(m)
-        if m[1][-1] in ".!?" or "\n" in m[2]:
-            out.append(now)
-            now = []
-    return [part for s in (out + [now] if now else out) for part in (cut(s) if len(s) > S.LONG else [s])]
-
-
-def cut(sentence):
-    out, now = [], []
-    for m in sentence:
-        now.append(m)
-        data = np.frombuffer(lowered(np.frombuffer(m[1].encode(), np.uint8)).tobytes(), np.uint8)
-        if slice_hash(prefix_sums(data), np.array([0]), np.array([len(data)]))[0] & S.CUT_MASK == 0:
-            out.append(now)
-            now = []
-    return out + [now] if now else out
+    """(match of each word and the white space after it, number of the first word of each sentence)."""
+    found = list(re.finditer(r"([^ \t\n\r\x0b\x0c]+)([ \t\n\r\x0b\x0c]*)", text or ""))
+    begins = [k for k in range(len(found)) if not k or found[k - 1][1][-1] in ".!?" or "\n" in found[k - 1][2]]
+    return found, begins
 
 
 def brute(rows, size):
-    """doc_id -> (sentences, removed)."""
-    rows = sorted(rows)
-    found = {i: split(t) for i, t in rows}
-    plain = lambda s: tuple(re.sub("[A-Z]", lambda c: c[0].lower(), m[1]) for m in s)
-    first, gone = {}, {i: set() for i in found}
-    for i, ss in found.items():
-        for k in range(max(1, len(ss) - size + 1) if ss else 0):
-            span = tuple(map(plain, ss[k : k + size]))
-            if sum(map(len, span)) < S.LEAST_WORDS:
-                continue
+    """doc_id -> (sentences, sentences that lost a word, words lost, text left)."""
+    parts = {i: split(t) for i, t in sorted(rows)}
+    plain = {i: [re.sub("[A-Z]", lambda c: c[0].lower(), m[1]) for m in found] for i, (found, _) in parts.items()}
+    first, gone = {}, {i: set() for i in parts}
+    for i, (found, begins) in parts.items():
+        w, stops = plain[i], [*begins[1:], len(found)]
+        for k in range(max(1, len(begins) - size + 1) if begins else 0):
+            a, b = begins[k], stops[min(len(begins), k + size) - 1]
+            span = tuple(tuple(w[x:y]) for x, y in zip(begins[k : k + size], stops[k : k + size], strict=True))
             if span in first:
-                gone[i] |= set(range(k, min(len(ss), k + size)))
-            first.setdefault(span, (i, k))
-    return {i: (len(found[i]), len(gone[i])) for i in found}
+                gone[i] |= set(range(a, b))
+            first.setdefault(span, (i, a))
+        for a in range(len(w) - S.PASSAGE + 1):
+            where = first.setdefault(" ".join(w[a : a + S.PASSAGE]), (i, a))
+            if where[0] != i or a - where[1] >= S.PASSAGE:
+                gone[i] |= set(range(a, a + S.PASSAGE))
+    out = {}
+    for i, t in rows:
+        found, begins = parts[i]
+        lost = sum(any(x in gone[i] for x in range(a, b)) for a, b in zip(begins, [*begins[1:], len(found)], strict=False))
+        head = (t or "")[: found[0].start()] if found else t or ""
+        out[i] = (len(begins), lost, len(gone[i]), head + "".join(m[0] for k, m in enumerate(found) if k not in gone[i]))
+    return out
+
+
+def done(docs):
+    return {x.doc_id: (x.n_sentences, x.n_removed, x.n_words_removed, x.text) for x in S.without_repeated_runs(docs).collect()}
 
 
 def test_against_brute_force(spark):
@@ -54,8 +51,26 @@ def test_against_brute_force(spark):
     run = "".join(said[:5])
     rows += [(100 + k, " ".join(words(r, 8)) + ". " + run + " ".join(words(r, 3))) for k in range(5)] + [(200, run), (201, run + run)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {x.doc_id: (x.n_sentences, x.n_removed) for x in S.without_repeated_runs(docs).collect()}
-    assert got == brute(rows, S.SENTENCES)
+    assert done(docs) == brute(rows, S.SENTENCES)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_against_brute_force(spark, seed):
+    """Copies of stretches of one another, of any length and place, with and without marks, within and across documents."""
+    r = random.Random(seed)
+    pool = words(r, 900, 5000)
+    rows = []
+    for k in range(40):
+        w = words(r, r.randrange(0, 90), 5000)
+        for _ in range(r.randrange(4)):
+            a = r.randrange(700)
+            at = r.randrange(len(w) + 1)
+            w[at:at] = pool[a : a + r.randrange(20, 160)]
+        if k % 3 == 0:
+            w = [x + "." if r.random() < 0.05 else x for x in w]
+        rows.append((k, (" " * (k % 2)) + " ".join(w) + "\n" * (k % 2)))
+    rows += [(100, "na " * 300), (101, "la li " * 90), (102, " ".join(pool[:200] + pool[:200])), (103, "na " * 120)]
+    assert done(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows, S.SENTENCES)
 
 
 def test_what_is_left(spark):
@@ -67,8 +82,7 @@ def test_what_is_left(spark):
 
 def test_corpus_of_odd_texts(spark):
     docs = corpus(spark)
-    got = {x.doc_id: (x.n_sentences, x.n_removed) for x in S.without_repeated_runs(docs).collect()}
-    assert got == brute([(r.doc_id, r.text) for r in docs.collect()], S.SENTENCES)
+    assert done(docs) == brute([(r.doc_id, r.text) for r in docs.collect()], S.SENTENCES)
 
 
 def test_equal_rows_are_one_document_and_empty_table(spark):
@@ -83,8 +97,8 @@ def test_a_passage_without_marks_is_found(spark):
     r = random.Random(8)
     passage = " ".join(words(r, 60, 5000))
     rows = [(k, " ".join([*words(r, 30 + k, 5000), passage, *words(r, 25, 5000)])) for k in range(4)]
-    got = {x.doc_id: x.n_removed for x in S.without_repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got[0] == 0 and min(got[k] for k in (1, 2, 3)) >= 3
+    got = {x.doc_id: (x.n_removed, x.n_words_removed) for x in S.without_repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: (0, 0), 1: (1, 60), 2: (1, 60), 3: (1, 60)}
 
 
 def test_a_passage_of_very_short_sentences_is_found(spark):
