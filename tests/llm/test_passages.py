@@ -34,6 +34,34 @@ def test_periods_cuts_and_overlaps(spark, monkeypatch, crowd, together):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_order_of_the_parse_is_that_of_the_bytes(seed):
+    r = random.Random(seed)
+    pool = [bytes(r.choice(b"ab") for _ in range(r.randrange(40))) for _ in range(30)]
+    parts = [b"".join(r.choices(pool, k=r.randrange(5))) for _ in range(300)]
+    order = passages.parse_order(parts)
+    assert sorted(order) == list(range(300)) and [parts[k] for k in order] == sorted(parts)
+    assert [b"".join(x) for x in passages.parsed(parts)] == parts and max(map(len, passages.parsed(parts))) > 2
+
+
+def test_periodic_text_has_few_records(spark):
+    rows = spark.createDataFrame([(1, "a" * 300_000), (2, "ab" * 100_000), (3, "abcdefg" * 30_000)], "row bigint, text string")
+    assert passages._parsed(rows).count() < 200
+    docs = spark.createDataFrame([(1, "a" * 300_000), (2, "x" * 150 + "ab" * 100_000), (3, "a" * 199)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in passages.without_repeats(docs).collect()}
+    assert got == {1: (300_000, 1), 2: (200_000, 1), 3: (0, 0)}
+
+
+def test_a_long_text_is_taken_whole(spark):
+    """Over the size of a step, with copies far apart."""
+    r = random.Random(11)
+    text = "".join(r.choices("abcdefghij ", k=3_000_000))
+    copy = text[100_000:140_000]
+    docs = spark.createDataFrame([(1, text + copy), (2, text[2_999_000:] + "|")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in passages.without_repeats(docs).collect()}
+    assert got == {1: (3_040_000, 81_000, 2), 2: (1001, 1000, 1)}
+
+
 def test_equal_rows_count_as_repeats(spark):
     docs = spark.createDataFrame([(1, "q" + "xyzw" * 60), (1, "q" + "xyzw" * 60), (None, "short")], "doc_id bigint, text string")
     got = [(r.doc_id, r.n_removed) for r in passages.without_repeats(docs).collect()]
