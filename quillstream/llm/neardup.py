@@ -37,7 +37,7 @@ SYMBOLS = 64
 ERRORS = 1
 #: Classes under one key that a task compares by signature.
 GROUP = 4096
-BLOCK = 400
+BLOCK = 1024
 _COLUMNS = 4096
 
 
@@ -175,13 +175,10 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
     return grouped.mapInArrow(linked, f"a {kind}, b {kind}").unionByName(crowded).distinct()
 
 
-def forest(found: list[np.ndarray], left: int, percent: int) -> list[tuple[int, int]]:
-    """Spanning links among sets where 100 * intersection >= percent * union: of the first ``left`` with all others, or of all if ``left`` is 0."""
+def alike(found: list[np.ndarray], percent: int) -> np.ndarray:
+    """(n, n): which sets have 100 * intersection >= percent * union; none with itself."""
     n = len(found)
     size = np.array([len(x) for x in found], np.int64)
-    if n == 2:
-        both = len(np.intersect1d(found[0], found[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= percent * (size.sum() - both) else []
     flat = np.concatenate(found)
     owner = np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
@@ -197,50 +194,72 @@ def forest(found: list[np.ndarray], left: int, percent: int) -> list[tuple[int,
         x = np.zeros((n, min(_COLUMNS, int(column[-1]) + 1 - a)), np.float32)
         x[owner[lo:hi], column[lo:hi] - a] = 1
         both += x @ x.T
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    if left:
-        linked[:left, :left] = False
-        linked[left:, left:] = False
-    np.fill_diagonal(linked, False)
-    out, todo = [], np.ones(n, bool)
-    for root in range(n):
-        if not todo[root]:
+    out = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def forest(linked: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(spanning links, the root of each node) of a symmetric matrix of links."""
+    out, root = [], np.full(len(linked), -1)
+    for start in range(len(linked)):
+        if root[start] >= 0:
             continue
-        todo[root] = False
-        stack = [root]
+        root[start] = start
+        stack = [start]
         while stack:
             u = stack.pop()
-            for v in np.flatnonzero(linked[u] & todo).tolist():
-                todo[v] = False
+            for v in np.flatnonzero(linked[u] & (root < 0)).tolist():
+                root[v] = start
                 out.append((u, v))
                 stack.append(v)
-    return out
+    return out, root
 
 
-_TASK = "node bigint, label bigint, i int, j int, second boolean, shingles binary"
+_TASK = "node bigint, label bigint, i int, j int, many boolean, second boolean, shingles binary"
 
 
 def _true_links(tasks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): spanning links of the sets of each (label, i, j); where i and j differ, of the first side with the second only."""
+    """(a, b): spanning links of the sets of each (label, i, j); where i and j differ, only of the first side with the second.
+
+    Where they are equal and ``many`` is set, the second side holds the label's first block (in the first block's own task, the
+    first side does): then also (a, null) for every node of the first side that is not linked to the largest group of the first
+    block. That group is the same in every task, so the nodes not named so are all of one component.
+    """
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tasks.select(*(f.split()[0] for f in _TASK.split(", "))).repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "second", "node")
+    names = [f.split()[0] for f in _TASK.split(", ")]
+    dealt = tasks.select(*names).repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "second", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, links = None, [], ([], [])
 
         def done() -> None:
-            left = sum(not h[1] for h in held) if now[1] != now[2] else 0
-            if len(held) > 1 and (now[1] == now[2] or 0 < left < len(held)):
-                for u, v in forest([h[2] for h in held], left, percent):
-                    links[0].append(held[u][0])
-                    links[1].append(held[v][0])
+            left = sum(not h[1] for h in held)
+            cross = now[1] != now[2]
+            if len(held) < 2 or cross and not 0 < left < len(held):
+                return
+            linked = alike([h[2] for h in held], percent)
+            if cross:
+                linked[:left, :left] = False
+                linked[left:, left:] = False
+            pairs, root = forest(linked)
+            for u, v in pairs:
+                links[0].append(held[u][0])
+                links[1].append(held[v][0])
+            if now[3]:
+                lead = slice(left, None) if left < len(held) else slice(None)
+                _, apart = forest(linked[lead, lead])
+                most = int(np.argmax(np.bincount(apart))) + (lead.start or 0)
+                for k in np.flatnonzero(root[:left] != root[most]).tolist():
+                    links[0].append(held[k][0])
+                    links[1].append(None)
 
         for batch in batches:
-            for node, label, i, j, second, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "i", "j", "second", "shingles")), strict=True):
-                if (label, i, j) != now:
+            for node, label, i, j, many, second, raw in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (label, i, j, many) != now:
                     if now:
                         done()
-                    now, held = (label, i, j), []
+                    now, held = (label, i, j, many), []
                 held.append((node, second, np.frombuffer(raw, np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
             links = ([], [])
@@ -269,25 +288,20 @@ def _confirmed(docs: DataFrame, near: DataFrame, size: int, percent: int) -> Dat
             found = sets(data, offsets, size)
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("node", "label", "blocks", "block")), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "label", "blocks", "block", "shingles"])
 
-    hashed = cut(held.mapInArrow(to_sets, "node bigint, label bigint, blocks int, block int, shingles binary").where(F.length("shingles") > 0))
-    # Every block within itself, and with the first: a block's task holds the first block, too.
-    own = hashed.withColumn("i", F.col("block")).withColumn("j", F.col("block")).withColumn("second", F.lit(False))
-    guests = hashed.where("block = 0 AND blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1))).withColumn("j", F.col("i")).withColumn("second", F.lit(True))
-    first = cut(_true_links(own.unionByName(guests), percent))
-    large = nodes.where("blocks > 1").select("label").distinct()
-    settled = components(first)
-    # In components of several blocks: the classes outside the largest group, with all that are not of their own group.
-    groups = nodes.join(large, "label").join(settled.withColumnRenamed("label", "part"), "node", "left").select("node", "label", F.coalesce("part", "node").alias("part"))
-    sizes = groups.groupBy("label", "part").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("most"))
-    outside = groups.join(largest, "label").where("part <> most").select("node", "label")
-    outside = cut(_blocks(outside.join(outside.groupBy("label").agg(F.count("*").alias("m")), "label"), "m", "rows", "i").select("node", "label", "rows", "i"))
-    rest = outside.select("label", "rows").distinct()
-    some = hashed.join(outside.select("node", "i"), "node").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("second", F.lit(False))
-    others = hashed.join(rest, "label").withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("second", F.lit(True))
-    # The two sides are numbered apart, so that i and j always differ.
-    both = some.drop("rows").unionByName(others.drop("rows")).withColumn("j", -1 - F.col("j"))
-    return first.unionByName(_true_links(both, percent))
+    hashed = held.mapInArrow(to_sets, "node bigint, label bigint, blocks int, block int, shingles binary").where(F.length("shingles") > 0)
+    # Every block within itself, and with the first: the first block is a guest in every other block's task.
+    tasks = F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    own = hashed.withColumn("i", F.explode(tasks)).withColumn("j", F.col("i")).withColumn("many", F.col("blocks") > 1).withColumn("second", F.col("block") != F.col("i"))
+    first = cut(_true_links(own, percent))
+    outside = first.where("b IS NULL").select(F.col("a").alias("node")).distinct().join(nodes.select("node", "label"), "node")
+    outside = cut(_blocks(outside.join(outside.groupBy("label").agg(F.count("*").alias("m")), "label"), "m", "rows", "row_block").select("node", "label", "rows", "row_block"))
+    # Then those outside the largest group with all of their label. Only labels of several blocks have any, so few texts are hashed again.
+    rest = hashed.where("blocks > 1").join(outside.select("label", "rows").distinct(), "label").join(outside.select("node", "row_block"), "node", "left")
+    across = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda k: F.struct(k.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(True).alias("second")))
+    down = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("row_block").alias("i"), (-1 - k).alias("j"), F.lit(False).alias("second")))
+    both = F.when(F.col("row_block").isNull(), across).otherwise(F.concat(across, down))
+    crossed = rest.select("node", "label", "shingles", F.inline(both)).withColumn("many", F.lit(False))
+    return first.where("b IS NOT NULL").unionByName(_true_links(crossed, percent))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
