@@ -6,9 +6,9 @@ its least hash. An empty bin copies the bin that its own random order of the oth
 fingerprints is the share of equal bins, corrected for the chance 2**-BITS that unequal bins agree.
 
 Texts with fewer than five words have their whole word sequence as one shingle. A null or empty text, or one of white
-space only, has the empty fingerprint: likeness 1 to another empty one and 0 to any other. Repeated rows are neighbours
-of each other in document order (by id, then text); null ids come first. An empty table gives no rows; one document is
-its own next. Columns other than id and text are not looked at.
+space only, has the empty fingerprint: likeness 1 to another empty one and 0 to any other. Document order is by id, then by a
+hash of the text, then by text, so repeated rows are neighbours; null ids come first. Ids are whole numbers. An empty table
+gives no rows; one document is its own next. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import mixed, shingles, steps, text_bytes
@@ -27,9 +27,9 @@ from .text import mixed, shingles, steps, text_bytes
 WORDS = 5
 BINS = 256
 BITS = 8
-#: Most runs of documents that one job is cut into; each is sorted by itself.
-MOST_RUNS = 4096
-DOCS_IN_RUN = 1000
+#: The corpus is cut into runs of documents that are sorted by themselves: of DOCS_IN_RUN documents while that makes SOME_RUNS
+#: at most, and beyond of RUN_BYTES of text, however many these are.
+DOCS_IN_RUN, SOME_RUNS, RUN_BYTES = 1000, 256, 64 << 20
 
 _LEAST = -(1 << 63)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -108,34 +108,41 @@ def _compared(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _sortable(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Pairs of 64-bit numbers as byte strings of the same order."""
+    pair = np.stack([at, h], axis=1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(pair.astype(">u8")).view("S16").ravel()
+
+
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text -> the fingerprint of each text, of its edited text, and their likeness.
 
-    The ids are cut into runs at their own quantiles, so the texts are shuffled once and no window spans all rows; the
-    first document of each run (its bound) is also sent to the run before, as the last one's next.
+    The documents are cut into runs by their order, at bounds that Spark's range partitioning finds, so the texts are shuffled
+    once and no window spans all rows; rows that share an id, or have none, are cut by the hashes of their texts. The first
+    document of each run (its bound) is also sent to the run before, as the last one's next.
     """
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LEAST)).alias("at"))
-    n, least = ids.agg(F.count("*"), F.min("at")).first()
-    runs = int(min(MOST_RUNS, max(1, n // DOCS_IN_RUN)))
-    bounds = sorted({least, *ids.agg(F.percentile_approx("at", [k / runs for k in range(1, runs)], 4 * MOST_RUNS)).first()[0]}) if n and runs > 1 else [least] if n else [0]
-
-    def run_of(at: Column) -> Column:
-        cuts = np.array(bounds, np.int64)
-
-        @F.pandas_udf("int")
-        def number(at: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(cuts, at.to_numpy(), "right") - 1).astype("int32")
-
-        return number(at)
-
-    if len(bounds) > 1:
-        # Quantiles are computed in doubles, so they need not be ids: each bound becomes the least id of its run.
-        bounds = sorted(r[0] for r in ids.groupBy(run_of(F.col("at")).alias("run")).agg(F.min("at").alias("at")).select("at").collect())
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(_LEAST)).alias("at"))
-    own = rows.withColumn("run", run_of(F.col("at"))).withColumn("guest", F.lit(False))
-    guests = rows.where(F.col("at").isin(bounds)).withColumn("run", F.pmod(run_of(F.col("at")) - 1, F.lit(len(bounds)))).withColumn("guest", F.lit(True))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.unionByName(guests).repartition(parts, "run").sortWithinPartitions("run", "guest", "at", "text")
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias("at")).withColumn("h", F.xxhash64("text"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
+    runs = int(max(1, min(n // DOCS_IN_RUN, SOME_RUNS), size // RUN_BYTES))
+    places = rows.select("at", "h")
+    dealt = places.repartitionByRange(runs, "at", "h") if runs > 1 else places
+    first = dealt.select("at", "h", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min(F.struct("at", "h")).alias("x")).select("x.*").toArrow()
+    bounds = spark.sparkContext.broadcast(np.unique(_sortable(first.column("at").to_numpy(), first.column("h").to_numpy())))
+
+    @F.pandas_udf("int")
+    def run_of(at: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, _sortable(at.to_numpy(), h.to_numpy()), "right") - 1).astype("int32")
+
+    @F.pandas_udf("boolean")
+    def bound(at: pd.Series, h: pd.Series) -> pd.Series:
+        key = _sortable(at.to_numpy(), h.to_numpy())
+        return pd.Series(bounds.value[np.maximum(np.searchsorted(bounds.value, key, "right") - 1, 0)] == key)
+
+    own = rows.withColumn("run", run_of("at", "h")).withColumn("guest", F.lit(False))
+    guests = rows.where(bound("at", "h")).withColumn("run", F.pmod(run_of("at", "h") - 1, F.lit(max(1, len(bounds.value))))).withColumn("guest", F.lit(True))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.unionByName(guests).repartition(parts, "run").sortWithinPartitions("run", "guest", "at", "h", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # (id, text, run, guest) not yet given out; the last of them waits for its next

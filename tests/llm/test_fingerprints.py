@@ -1,9 +1,47 @@
 import hashlib
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from helpers import corpus, empty, shingles
+from helpers import corpus, empty, shingles, texts
 
 from quillstream.llm import fingerprints as P
+from quillstream.llm.text import mixed, text_bytes
+from quillstream.llm.text import shingles as hashed_shingles
+
+
+def by_hand(text):
+    """The bins of one text, one shingle and one bin at a time."""
+    hashes = [int(h) for h in hashed_shingles(*text_bytes(pa.array([text], pa.string())), P.WORDS)[0]]
+    scrambled = [int(x) for x in mixed(np.array(hashes, np.uint64))]
+    bins = {}
+    for h, x in zip(hashes, scrambled, strict=True):
+        k = h >> 56
+        bins[k] = min(x, bins.get(k, 1 << 64))
+    if not bins:
+        return None
+    rank = mixed(np.arange(1, P.BINS * P.BINS + 1, dtype=np.uint64)).reshape(P.BINS, P.BINS)
+    out = []
+    for k in range(P.BINS):
+        source = k if k in bins else min(bins, key=lambda j: int(rank[k, j]))
+        out.append(bins[source] & 255)
+    return bytes(out).hex()
+
+
+def test_fingerprints_against_one_shingle_at_a_time():
+    every = [*texts(3), "a b c d e f g", "one two three four five six " * 40]
+    bins, some = P.fingerprints(pa.array(every, pa.large_string()))
+    assert [b.tobytes().hex() if s else None for b, s in zip(bins, some, strict=True)] == [by_hand(t) for t in every]
+
+
+def test_likeness_is_corrected_for_chance():
+    r = np.random.default_rng(1)
+    a = r.integers(0, 256, (400, P.BINS)).astype(np.uint8)
+    yes = np.ones(400, bool)
+    for share in (0.0, 0.3, 0.8):  # equal bins by right, and by chance among the others
+        b = np.where(r.random(a.shape) < share, a, r.integers(0, 256, a.shape)).astype(np.uint8)
+        assert abs(P.likeness(a, yes, b, yes).mean() - share) < 0.01
 
 
 def expected(rows):
@@ -70,3 +108,23 @@ def test_ids_beyond_doubles_lose_no_row(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string")
     got = {r.doc_id: r.edited_sha256 for r in P.document_fingerprints(docs).collect()}
     assert got == {i: hashlib.sha256(P.edited(own, following).encode()).hexdigest() for i, own, following in expected(docs.collect())}
+
+
+def test_rows_that_share_an_id_are_cut_into_runs(spark, monkeypatch):
+    monkeypatch.setattr(P, "DOCS_IN_RUN", 5)
+    r = random.Random(2)
+    rows = [(i, " ".join(str(r.random()) for _ in range(9))) for i in [None] * 60 + [7] * 80 + [8, 9]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = P.document_fingerprints(docs).collect()
+    assert sorted((x.doc_id or -1 for x in got)) == sorted(i or -1 for i, _ in rows)
+    order = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").orderBy("doc_id", "h").collect()
+    want = {P.edited(a.text, b.text) for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    assert {x.edited_sha256 for x in got} == {hashlib.sha256(t.encode()).hexdigest() for t in want}
+
+
+def test_runs_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(P, "SOME_RUNS", 0)
+    monkeypatch.setattr(P, "RUN_BYTES", 2000)
+    docs = corpus(spark)
+    got = {x.doc_id: x.edited_sha256 for x in P.document_fingerprints(docs).collect()}
+    assert got == {i: hashlib.sha256(P.edited(own, following).encode()).hexdigest() for i, own, following in expected(docs.collect())}
