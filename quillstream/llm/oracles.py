@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sharding import TABLE_SIZE, lookup_table
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 NEAR_DUPLICATES = f"""
@@ -19,4 +21,16 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b F
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN sized s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
 
-SQL = {"op7_near_duplicates": NEAR_DUPLICATES}
+
+
+def placement(shards: list[str]) -> str:
+    """Slots by MD5; the table that the slots look up is made by the rule, as it is too long a recursion for SQL."""
+    table = ",".join(map(str, lookup_table(shards).tolist()))
+    names = ",".join(f"'{s}'" for s in shards)
+    return f"""WITH t AS (SELECT [{table}] AS owner, [{names}] AS name)
+SELECT doc_id, slot, CAST(owner[slot + 1] AS BIGINT) AS shard_no, name[owner[slot + 1] + 1] AS shard
+FROM (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '\\N')), 1, 15)) AS BIGINT) % {TABLE_SIZE} AS slot FROM documents), t"""
+
+
+def sql(shards: list[str]) -> dict[str, str]:
+    return {"op5_sharding": placement(shards), "op7_near_duplicates": NEAR_DUPLICATES}

@@ -14,10 +14,14 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """The package goes to the workers, and texts to Python a thousand at a time: with long documents, ten thousand would be too much at once."""
     ship(spark)
-    # Batches of texts go to Python a thousand documents at a time: with long documents, ten thousand would be too much at once.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,7 +46,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    """Every length that occurs, context limits from 128 to a million tokens, and quantiles."""
+    return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), [1 << k for k in range(7, 21)], [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0])
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.sql(SHARDS)

@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .members import fresh
+
 #: A prime, over 100 slots for each of up to 600 shards.
 TABLE_SIZE = 65_537
 
@@ -60,8 +62,9 @@ def table_frame(spark: SparkSession, shards: list[str], size: int = TABLE_SIZE)
 
 
 def placed(df: DataFrame, shards: list[str], *, key_col: str = "doc_id", size: int = TABLE_SIZE) -> DataFrame:
-    """``df`` with slot, shard_no and shard."""
-    keys = df.drop("slot", "shard_no", "shard").withColumn("slot", slot_of(F.col(key_col), size))
+    """``df`` with slot, shard_no and shard. A key column of one of these names is hashed before it gives way."""
+    held = fresh("slot_held", df)
+    keys = df.withColumn(held, slot_of(F.col(key_col), size)).drop("slot", "shard_no", "shard").withColumnRenamed(held, "slot")
     return keys.join(F.broadcast(table_frame(df.sparkSession, shards, size)), "slot")
 
 

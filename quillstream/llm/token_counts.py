@@ -5,7 +5,8 @@ documents fit, what the corpus totals, what it totals when each document is trun
 Each task counts before the shuffle, so a hot source or a group of copies costs one row a length. The suffix sums run
 within blocks of lengths; only block totals (one row for every ``BLOCK`` lengths) meet in a single task.
 
-A null or empty text has length 0 and counts as a document. An empty table gives no rows.
+A null or empty text has length 0 and counts as a document. An empty table gives no rows; asked for limits or quantiles, it
+gives none either.
 """
 
 from __future__ import annotations
@@ -70,10 +71,37 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
         longer = F.coalesce(best["docs_longer"], F.max(every))
         truncated = F.coalesce(best["tokens_fitting"], F.lit(0)) + longer * F.lit(int(limit))
         answers.append(F.struct(F.lit(int(limit)).cast("bigint").alias("context_limit"), longer.alias("docs_longer"), truncated.alias("truncated_tokens"), F.max("total_tokens").alias("total_tokens")))
-    return sums.agg(F.array(*answers).alias("a")).select(F.inline("a"))
+    return sums.agg(F.array(*answers).alias("a")).select(F.inline("a")).where("total_tokens IS NOT NULL")
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """share, n_tokens: the least length that at least this share of the documents does not exceed."""
     answers = [F.struct(F.lit(float(x)).alias("share"), F.min(F.when(F.col("share_fitting") >= float(x), F.col("n_tokens"))).alias("n_tokens")) for x in shares]
-    return sums.agg(F.array(*answers).alias("a")).select(F.inline("a"))
+    return sums.agg(F.array(*answers).alias("a")).select(F.inline("a")).where("n_tokens IS NOT NULL")
+
+
+def report(docs: DataFrame, path: str, limits: list[int], shares: list[float]) -> DataFrame:
+    """``token_counts`` (what = 'length'), and the same of the given context limits ('limit') and quantiles ('quantile').
+
+    A limit's n_docs counts the documents of just that length; a quantile has its share, and no sums but those of its length.
+    """
+    sums = cut(token_counts(docs, path))
+    columns = [c for c in sums.columns if c not in ("n_tokens", "n_docs")]
+    at = at_limits(sums, limits).withColumnRenamed("context_limit", "n_tokens")
+    own = sums.select("n_tokens", F.col("n_docs").alias("own_docs"), F.col("docs_fitting").alias("fitting"))
+    every = F.max(F.col("docs_fitting") + F.col("docs_longer"))
+    at = at.withColumn("every", F.lit(sums.agg(every).first()[0]))
+    fitting = F.col("every") - F.col("docs_longer")
+    limit_rows = at.join(own, "n_tokens", "left").select(
+        F.lit("limit").alias("what"),
+        "n_tokens",
+        F.coalesce("own_docs", F.lit(0)).alias("n_docs"),
+        "docs_longer",
+        fitting.alias("docs_fitting"),
+        "total_tokens",
+        (F.col("truncated_tokens") - F.col("docs_longer") * F.col("n_tokens")).alias("tokens_fitting"),
+        "truncated_tokens",
+        (fitting / F.col("every")).alias("share_fitting"),
+    )
+    quantile_rows = quantiles(sums, shares).join(sums.drop("share_fitting"), "n_tokens").select(F.lit("quantile").alias("what"), "n_tokens", "n_docs", *columns[:-1], F.col("share").alias("share_fitting"))
+    return sums.select(F.lit("length").alias("what"), "n_tokens", "n_docs", *columns).unionByName(limit_rows).unionByName(quantile_rows)

@@ -91,21 +91,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def risk(w: np.ndarray, positive: Rows, unlabelled: Rows, prior: float) -> tuple[float, np.ndarray, bool]:
+    """(value, gradient, whether the part on negatives is below zero) of the non-negative PU risk under the sigmoid loss; w: weights and, last, the bias.
+
+    loss(z, +1) = sigmoid(-z), loss(z, -1) = sigmoid(z). Where the part on negatives falls below zero, the gradient is that of
+    its negative, which leads back, and not that of the value.
+    """
+    zp, zu = positive.dot(w[:-1]) + w[-1], unlabelled.dot(w[:-1]) + w[-1]
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    dp, du = sp * (1 - sp) / positive.n, su * (1 - su) / unlabelled.n
+    negative = su.mean() - prior * sp.mean()
+    below = bool(negative < 0)
+    gp, gu = (prior * dp, -du) if below else (-2 * prior * dp, du)
+    size = len(w) - 1
+    g = np.append(positive.gradient(gp, size) + unlabelled.gradient(gu, size), gp.sum() + gu.sum())
+    return prior * (1 - sp).mean() + max(0.0, negative), g, below
+
+
 def nonnegative_pu(positive: Rows, unlabelled: Rows, prior: float, size: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk under the sigmoid loss, by Adam over all rows.
+    """Weights and bias that minimise the non-negative PU risk, by Adam over all rows.
 
     All features were chosen as signs of toxic text, so no weight may fall below zero.
     """
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = -1.0
     for step in range(1, EPOCHS + 1):
-        zp, zu = positive.dot(w[:-1]) + w[-1], unlabelled.dot(w[:-1]) + w[-1]
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        dp, du = sp * (1 - sp) / positive.n, su * (1 - su) / unlabelled.n
-        negative = su.mean() - prior * sp.mean()
-        # loss(z, +1) = sigmoid(-z), loss(z, -1) = sigmoid(z)
-        gp, gu = (-2 * prior * dp, du) if negative >= 0 else (prior * dp, -du)
-        g = np.append(positive.gradient(gp, size) + unlabelled.gradient(gu, size), gp.sum() + gu.sum())
+        _, g, _ = risk(w, positive, unlabelled, prior)
         g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

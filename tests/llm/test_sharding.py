@@ -58,3 +58,11 @@ def test_placement(spark):
     assert {len(s) for s in by_id.values()} == {1}
     assert S.placed(empty(spark), shards).count() == 0
     assert S.loads(S.placed(docs, shards)).count() <= 5
+
+
+def test_a_key_with_a_name_of_the_result(spark):
+    shards = ["a", "b", "c"]
+    for name in ("slot", "shard", "shard_no", "Slot"):
+        df = spark.createDataFrame([("x", 1), ("y", 2), (None, 3)], f"`{name}` string, n int")
+        want = {r.n: (r.slot, r.shard_no, r.shard) for r in S.placed(df.withColumnRenamed(name, "id"), shards, key_col="id").collect()}
+        assert {r.n: (r.slot, r.shard_no, r.shard) for r in S.placed(df, shards, key_col=name).collect()} == want

@@ -107,6 +107,25 @@ def test_token_counts(spark, theirs):
         assert r.n_tokens == min(n for n in lengths if sum(x <= n for x in lengths) / len(lengths) >= r.share)
 
 
+def test_report_of_lengths_limits_and_quantiles(spark, theirs):
+    docs = corpus(spark)
+    lengths = [len(theirs.encode_ordinary(r.text or "")) for r in docs.collect()]
+    limits, shares = [0, 2, 7, 100, 10**6], [0.1, 0.5, 1.0]
+    rows = token_counts.report(docs, PATH, limits, shares).collect()
+    assert sorted(r.n_tokens for r in rows if r.what == "length") == sorted(set(lengths))
+    assert sorted(r.n_tokens for r in rows if r.what == "limit") == limits
+    assert sorted(r.share_fitting for r in rows if r.what == "quantile") == shares
+    for r in rows:
+        n = r.n_tokens
+        want = (lengths.count(n), sum(x > n for x in lengths), sum(x <= n for x in lengths), sum(lengths), sum(x for x in lengths if x <= n), sum(min(x, n) for x in lengths))
+        assert (r.n_docs, r.docs_longer, r.docs_fitting, r.total_tokens, r.tokens_fitting, r.truncated_tokens) == want
+        if r.what == "quantile":
+            assert n == min(x for x in lengths if sum(y <= x for y in lengths) / len(lengths) >= r.share_fitting)
+        else:
+            assert r.share_fitting == pytest.approx(want[2] / len(lengths))
+    assert token_counts.report(empty(spark), PATH, limits, shares).count() == 0
+
+
 def test_suffix_sums_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK", 8)
     h = spark.createDataFrame([(n, n % 3 + 1) for n in range(0, 60, 2)], "n_tokens bigint, n_docs bigint")

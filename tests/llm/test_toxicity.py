@@ -56,6 +56,24 @@ def test_risk_on_negatives_stays_non_negative():
     assert w[0] > w[1:].max()
 
 
+@pytest.mark.parametrize("prior,below", [(0.1, False), (0.9, True)])
+def test_gradient_against_finite_differences(prior, below):
+    r = np.random.default_rng(3)
+    rows = lambda m: T.Rows(np.flatnonzero(m.ravel()) % m.shape[1], np.concatenate([[0], np.cumsum(m.sum(1))]))
+    p, u = rows(r.random((30, 7)) < 0.6), rows(r.random((80, 7)) < 0.3)
+    w = np.append(np.abs(r.normal(size=7)), -0.5)
+    _, g, under = T.risk(w, p, u, prior)
+    assert under == below
+
+    def value(x):  # what the gradient is of
+        sp, su = T._sigmoid(p.dot(x[:-1]) + x[-1]), T._sigmoid(u.dot(x[:-1]) + x[-1])
+        negative = su.mean() - prior * sp.mean()
+        return -negative if below else prior * (1 - sp).mean() + negative
+
+    numeric = [(value(w + 1e-6 * e) - value(w - 1e-6 * e)) / 2e-6 for e in np.eye(8)]
+    assert np.allclose(g, numeric, atol=1e-8)
+
+
 def test_odd_texts_and_no_labels(spark):
     docs = corpus(spark)
     for labels in (spark.createDataFrame([], LABELS), spark.createDataFrame([(0, 1, 0), (1, 1, None), (None, 1, 1), (99999, 0, 1)], LABELS)):
