@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +48,55 @@ def test_all_but_the_last_return_the_columns_of_documents(spark):
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
 
 
+LABELS, ITEMS = "doc_id bigint, quality int, toxic int", "item_id bigint, text string"
+
+
+def tables(spark, folder, rows, labels=(), items=(), more=""):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint" + more
+    for name, frame in (("documents", spark.createDataFrame(rows, schema)), ("labels", spark.createDataFrame(list(labels), LABELS)), ("benchmark", spark.createDataFrame(list(items), ITEMS))):
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(40))
+    texts = [(1, None), (2, ""), (3, " \n"), (4, long), (5, long), (6, "say a@b.cc"), (6, "say a@b.cc"), (None, long), (7, "one two three four five six seven eight"), (8, "x" * 300_000), (9, "held the item of the test in full"), (10, None)]
+    rows = [(i, t, None if i == 9 else "en", "s", None if t is None else len(t)) for i, t in texts]
+    items = [(1, "the item of the test"), (2, None), (None, "")]
+    sf = tables(spark, tmp_path / "a", rows, [(4, None, None), (None, 1, 1), (4711, 0, 1)], items)
+    got = sorted(((r.doc_id or 0, r.n_chars, r.n_tokens) for r in corpus_pipeline.run(spark, sf).collect()), key=str)
+    with open(public_tokenizers.path(queries.VOCABULARY), "rb") as f:
+        bpe = tokenizer.encoder(f.read())
+    kept = [(1, None), (2, ""), (3, " \n"), (4, long), (6, "say <EMAIL>"), (6, "say <EMAIL>"), (0, long), (7, texts[8][1]), (8, "x" * 300_000), (10, None)]
+    assert got == sorted(((i, None if t is None else len(t), len(bpe.encode(t))) for i, t in kept), key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    sf = tables(spark, tmp_path / "a", [])
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() == 0 and out.columns == ["doc_id", "lang", "source", "n_chars", "ids", "token_ends", "n_tokens"]
+    sf = tables(spark, tmp_path / "b", [(1, "some text", "en", "s", 9)])
+    assert [(r.doc_id, r.n_tokens > 0) for r in corpus_pipeline.run(spark, sf).collect()] == [(1, True)]
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    names = ["ids", "token_ends", "n_tokens", "gone_id", "row", "may", "gone", "score", "predicted", "toxic", "spans", "item_id", "component_id", "slots", "key", "n"]
+    rows = [(k, f"text of document {k} and no other like it at all", "en", "s", 46, *range(len(names))) for k in range(4)]
+    sf = tables(spark, tmp_path / "a", rows, [(0, 1, 0)], [(1, "never seen anywhere here")], "".join(f", `{n}` int" for n in names))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and sorted(out.collect()) == sorted(docs.collect())
+    assert corpus_pipeline.run(spark, sf).count() == 4
+
+
+def test_one_stage_s_files_are_left(spark, tmp_path):
+    sf = tables(spark, tmp_path / "a", [(1, "some text", "en", "s", 9)])
+    files = corpus_pipeline.run(spark, sf).inputFiles()
+    folder = Path(files[0].removeprefix("file://").removeprefix("file:")).parent
+    assert [p.name for p in folder.parent.iterdir()] == ["encoding"]
+
+
 def test_queries_run_whole_tables(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name, q in queries.queries().items():
