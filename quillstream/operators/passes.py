@@ -50,37 +50,38 @@ def used(rows: DataFrame) -> DataFrame:
 
 
 def candidate_lengths(rows: DataFrame, syms: DataFrame) -> DataFrame:
-    """stream_id, n, support: codeword lengths that the passes speak for."""
+    """stream_id, n, support, seen: codeword lengths that the passes speak for; seen tells which was spoken for first."""
     lengths = codeword_lengths(rows.sparkSession)
     first = syms.where("i = 0").select("stream_id", "pass_no", F.col("sym").alias("first_sym"), F.col("rel").alias("first_rel"))
     held = rows.join(first, ["stream_id", "pass_no"])
     offer = lambda n, w: F.struct(n.cast("bigint").alias("n"), w.cast("double").alias("weight"))
-    near = [offer(F.col("length") + d, F.lit(2.0 if d == 0 else 0.5 / abs(d))) for d in (-2, -1, 0, 1, 2)]
+    near = [offer(F.col("length") + d, F.lit(2.0 if d == 0 else 0.5 / abs(d))) for d in (0, -2, -1, 1, 2)]
     closed = [offer(F.col("length") - 1, F.when(F.col("first_sym").isNull(), 1.5).otherwise(1.0)), offer(F.col("length"), F.lit(1.0))]
     offers = F.when(F.col("has_start") & F.col("has_end"), F.array(*near)).when(F.col("after_end") & F.col("has_end"), F.array(*closed)).otherwise(F.array().cast("array<struct<n:bigint,weight:double>>"))
-    by_shape = held.select("stream_id", F.explode(offers).alias("o")).select("stream_id", "o.n", "o.weight").join(F.broadcast(lengths.select("n")), "n", "left_semi")
-    named = held.where("has_start").join(F.broadcast(lengths), F.col("first_sym") == F.col("len")).select("stream_id", "n", (1 + F.col("first_rel")).alias("weight"))
-    return by_shape.unionByName(named).groupBy("stream_id", "n").agg(F.round(F.sum("weight"), 6).alias("support"))
+    seen = lambda k: (F.col("pass_no") * 10 + k).cast("bigint").alias("seen")
+    by_shape = held.select("stream_id", "pass_no", F.posexplode(offers).alias("k", "o")).select("stream_id", "o.n", "o.weight", seen(F.col("k"))).join(F.broadcast(lengths.select("n")), "n", "left_semi")
+    named = held.where("has_start").join(F.broadcast(lengths), F.col("first_sym") == F.col("len")).select("stream_id", "n", (1 + F.col("first_rel")).alias("weight"), seen(F.lit(5)))
+    return by_shape.unionByName(named).groupBy("stream_id", "n").agg(F.round(F.sum("weight"), 6).alias("support"), F.min("seen").alias("seen"))
 
 
 def expected_length(support: DataFrame) -> DataFrame:
-    """The best supported length of each stream; the shorter on ties."""
-    return support.groupBy("stream_id").agg(F.max(F.struct("support", (-F.col("n")).alias("m"))).alias("x")).select("stream_id", (-F.col("x.m")).alias("n"))
+    """The best supported length of each stream; that which was spoken for first on ties."""
+    return support.groupBy("stream_id").agg(F.max(F.struct("support", (-F.col("seen")).alias("o"), "n")).alias("x")).select("stream_id", F.col("x.n").alias("n"))
 
 
 def position_votes(rows: DataFrame, syms: DataFrame, expected: DataFrame) -> DataFrame:
-    """stream_id, n, pos, sym, weight: head-aligned, or tail-aligned where only END was seen."""
+    """stream_id, n, pos, sym, weight, first_pass: head-aligned, or tail-aligned where only END was seen."""
     n, length = F.col("n"), F.col("length")
     fits = F.when(F.col("has_start") & F.col("has_end"), length == n).otherwise(length <= n + OPEN_PASS_SLACK)
     pos = F.when(F.col("has_start"), F.col("i")).otherwise(n - length + F.col("i"))
     held = rows.join(expected, "stream_id").where(fits).join(syms.select("stream_id", "pass_no", "i", "sym", "rel"), ["stream_id", "pass_no"])
     cast = held.where(F.col("sym").isNotNull()).withColumn("pos", pos).where((F.col("pos") >= 0) & (F.col("pos") < n))
-    return cast.groupBy("stream_id", "n", "pos", "sym").agg(F.round(F.sum("rel"), 6).alias("weight"))
+    return cast.groupBy("stream_id", "n", "pos", "sym").agg(F.round(F.sum("rel"), 6).alias("weight"), F.min("pass_no").alias("first_pass"))
 
 
 def margins(cast: DataFrame) -> DataFrame:
-    """stream_id, n, pos, sym, margin: the winner of each position and its lead over the next."""
-    order = Window.partitionBy("stream_id", "n", "pos").orderBy(F.col("weight").desc(), "sym")
+    """stream_id, n, pos, sym, margin: the winner of each position, the first cast on ties, and its lead over the next."""
+    order = Window.partitionBy("stream_id", "n", "pos").orderBy(F.col("weight").desc(), "first_pass")
     ranked = cast.withColumn("r", F.row_number().over(order)).withColumn("next", F.lead("weight", 1, 0.0).over(order))
     return ranked.where("r = 1").select("stream_id", "n", "pos", "sym", F.round(F.col("weight") - F.col("next"), 6).alias("margin"))
 

@@ -14,14 +14,17 @@ from pyspark.sql.types import StructType
 from ..constants import END, NONE, START
 from ..functions import protocol as P
 from ..functions.reed_solomon import first_messages
+from ..operators import slots as S
+from ..operators.calibration import Calibration
 from ..operators.ordered import array_of, in_event_time, in_order, mark_of_the_end, to_the_end
 from ..operators.reception import LOST, Reception, alignment, erasing_weakest, one_mended
 from ..operators.segmentation import SLOT_COLUMNS, Segmentation
 from ..registry import query, table
 from ..shipping import ship
-from ..sources.views import epoch_ms, payloads, sql
+from ..sources.views import epoch_ms, observations, payloads, sql
 from ..streaming.files import shared_folder, stream_table
 from .protocol import KEYS, codeword_oracle, word_column
+from .quality import CAL_EXPECTED
 
 
 class Segmenting:
@@ -263,3 +266,13 @@ def stream_receive(spark: SparkSession, d: str) -> DataFrame:
     feed, folder, parts = _fed(_corrupted_slots(spark, d).withColumn("time", F.timestamp_millis(F.col("at") * 1000 + BEGINNING)), "time")
     found = in_event_time(to_the_end(feed, "time", f"{folder}/ends"), KEYS, "time", ["at"], Receiving, _MESSAGE, idle_ms=3_600_000)
     return landed(found, feed, "time", folder, parts).select(*KEYS, "text")
+
+
+@query(CAL_EXPECTED)
+def stream_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """What each slot of a feed should show, as soon as the slots before it tell."""
+    slots = S.indexed(S.slots(S.islands(observations(spark, d))))
+    rows = slots.select("stream_id", "slot_no", F.col("index").cast("bigint").alias("i"), "cls", F.timestamp_millis("t_start").alias("at"))
+    feed, folder, parts = _fed(rows, "at")
+    found = in_event_time(to_the_end(feed, "at", f"{folder}/ends"), ["stream_id"], "at", ["i"], Calibration, "stream_id bigint, slot_no bigint, i bigint, got int, expected int", idle_ms=365 * 24 * 3_600_000)
+    return landed(found, feed, "at", folder, parts)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..constants import HISTORY_CAP
 from ..operators import slots as S
 from ..registry import query, table
-from ..sources.views import observations, payloads, sql
-from .quality import _CLASSIFIER, _TOP, predicted
+from ..sources.views import epoch_ms, observations, payloads, sql
+from .dimensions import history
+from .quality import CLASSIFIER_SQL, TOP_SQL, predicted
 
 
 @query(sql("SELECT stream_id, count(*) AS frames, count(*) FILTER (NOT gap AND cls IS NOT NULL) AS accepted, count(*) FILTER (NOT gap) AS symbol_frames, CAST(sum(w) FILTER (NOT gap) AS BIGINT) / count(*) FILTER (NOT gap) AS mean_w FROM v_obs GROUP BY stream_id", "v_obs"))
@@ -31,7 +33,7 @@ def status_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_TOP}, {_CLASSIFIER} SELECT count(*) AS n, count(*) FILTER (label <> 9) AS symbols, count(*) FILTER (ok AND pred <> 9 AND pred = label) AS accepted_correct, count(*) FILTER (ok AND pred <> 9 AND label <> 9 AND pred <> label) AS symbol_to_other, "
+    f"WITH {TOP_SQL}, {CLASSIFIER_SQL} SELECT count(*) AS n, count(*) FILTER (label <> 9) AS symbols, count(*) FILTER (ok AND pred <> 9 AND pred = label) AS accepted_correct, count(*) FILTER (ok AND pred <> 9 AND label <> 9 AND pred <> label) AS symbol_to_other, "
     "count(*) FILTER (ok AND pred <> 9 AND label = 9) AS none_to_symbol, avg((pred = label)::INT) FILTER (label = 0) AS start_acc, avg((pred = label)::INT) FILTER (label = 1) AS end_acc FROM v_pred"
 )
 def error_breakdown(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +52,7 @@ def error_breakdown(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_TOP}, {_CLASSIFIER} SELECT label, count(*) AS wrong FROM v_pred WHERE label <> 9 AND pred <> label GROUP BY label ORDER BY wrong DESC, label LIMIT 10")
+@query(f"WITH {TOP_SQL}, {CLASSIFIER_SQL} SELECT label, count(*) AS wrong FROM v_pred WHERE label <> 9 AND pred <> label GROUP BY label ORDER BY wrong DESC, label LIMIT 10")
 def worst_classes(spark: SparkSession, d: str) -> DataFrame:
     return predicted(spark, d).where("label <> 9 AND pred <> label").groupBy("label").agg(F.count("*").alias("wrong")).orderBy(F.col("wrong").desc(), "label").limit(10)
 
@@ -101,3 +103,78 @@ def votes_top2(spark: SparkSession, d: str) -> DataFrame:
     user = Window.partitionBy("user_id")
     ranked = n.withColumn("total", F.sum("n").over(user)).withColumn("r", F.row_number().over(user.orderBy(F.col("n").desc(), "event_type")))
     return ranked.where("r <= 2").drop("r")
+
+
+# --- text and arrays
+
+
+_LINK = "https?://[^\\s<>\"']+"
+
+
+@query(
+    "WITH cut AS (SELECT page_id, regexp_split_to_array(html, 'https?://[^\\s<>\"'']+') AS plain, regexp_extract_all(html, 'https?://[^\\s<>\"'']+') AS links FROM pages) "
+    "SELECT page_id, CAST(2 * k AS INT) AS i, 'text' AS kind, plain[k + 1] AS part FROM (SELECT *, unnest(range(len(plain))) AS k FROM cut) WHERE plain[k + 1] <> '' "
+    "UNION ALL SELECT page_id, CAST(2 * k + 1 AS INT), 'link', links[k + 1] FROM (SELECT *, unnest(range(len(links))) AS k FROM cut)"
+)
+def link_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as alternating stretches of plain text (even places, if there is any) and links (odd ones)."""
+    plain, links = F.split("html", _LINK, -1), F.regexp_extract_all("html", F.lit(f"({_LINK})"), F.lit(1))
+    pages = table(spark, d, "pages")
+    parts = lambda words, kind, odd: pages.select("page_id", F.posexplode(words).alias("k", "part")).select("page_id", (2 * F.col("k") + odd).alias("i"), F.lit(kind).alias("kind"), "part")
+    return parts(plain, "text", 0).where("part <> ''").unionByName(parts(links, "link", 1))
+
+
+@query("SELECT event_id, lower(to_base(epoch_us(ts) // 1000, 36)) || '-' || sha1(event_id::VARCHAR)[:5] AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events")
+def timed_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of a time in base 36 and five digits of a hash, which stands for chance; and the time in ISO 8601."""
+    ms = epoch_ms(F.col("ts")).cast("bigint")
+    day = F.concat(F.lower(F.conv(ms.cast("string"), 10, 36)), F.lit("-"), F.substring(F.sha1(F.encode(F.col("event_id").cast("string"), "UTF-8")), 1, 5))
+    return table(spark, d, "events").select("event_id", day.alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"))
+
+
+@query(
+    "SELECT event_id, list_reverse(w) AS turned, w[2:3] AS middle, list_concat(w, [0]) AS longer, w[1] <= w[2] AND w[2] <= w[3] AS rising, len(list_filter(w, lambda x: x % 2 = 0)) > 0 AS any_even FROM (SELECT event_id, [event_id % 7, event_id % 11, event_id % 13] AS w FROM events)"
+)
+def array_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays turned round, cut, joined and asked about all or any of their items."""
+    w = F.array(*[F.col("event_id") % k for k in (7, 11, 13)])
+    rows = table(spark, d, "events").select("event_id", w.alias("w"))
+    rising = F.forall(F.sequence(F.lit(0), F.lit(1)), lambda k: F.get("w", k) <= F.get("w", k + 1))
+    return rows.select("event_id", F.reverse("w").alias("turned"), F.slice("w", 2, 2).alias("middle"), F.concat("w", F.array(F.lit(0).cast("bigint"))).alias("longer"), rising.alias("rising"), F.exists("w", lambda x: x % 2 == 0).alias("any_even"))
+
+
+@query(
+    "SELECT user_id, event_id, done, round(1000.0 * done / elapsed, 6) AS rate, round((n - done) * elapsed / 1000.0 / done, 3) AS eta_s FROM (SELECT user_id, event_id, row_number() OVER o AS done, count(*) OVER (PARTITION BY user_id) AS n, "
+    "(epoch_us(ts) // 1000 - first_value(epoch_us(ts) // 1000) OVER o)::DOUBLE AS elapsed FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) WHERE elapsed > 0"
+)
+def progress_eta(spark: SparkSession, d: str) -> DataFrame:
+    """Rows a second so far, and the seconds that the rest will take at that rate."""
+    user = Window.partitionBy("user_id")
+    order = user.orderBy("event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", epoch_ms(F.col("ts")).cast("bigint").alias("ms"))
+    rows = rows.select("user_id", "event_id", F.row_number().over(order).cast("bigint").alias("done"), F.count("*").over(user).alias("n"), (F.col("ms") - F.first("ms").over(order)).cast("double").alias("elapsed")).where("elapsed > 0")
+    left = (F.col("n") - F.col("done")) * F.col("elapsed") / 1000 / F.col("done")
+    return rows.select("user_id", "event_id", "done", F.round(1000 * F.col("done") / F.col("elapsed"), 6).alias("rate"), F.round(left, 3).alias("eta_s"))
+
+
+@query(
+    "SELECT conv_id, last_turn, text, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY last_turn DESC) AS rank FROM (SELECT conv_id, max(turn) AS last_turn, any_value(text) AS text FROM "
+    "(SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn) <> text, true) AS fresh FROM conversations)) GROUP BY conv_id, run)) WHERE rank <= 50"
+)
+def history_log(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation's log as it is kept: a text that repeats the one before only moves its time, and the newest fifty stay."""
+    kept = history(table(spark, d, "conversations"), "conv_id", "turn", "text")
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("last_turn").desc())).cast("bigint")
+    return kept.select("conv_id", "last_turn", "text", rank.alias("rank")).where(F.col("rank") <= HISTORY_CAP)
+
+
+_JITTER = "CAST(greatest(0, least(255, floor((v - 128) * (0.8::DOUBLE + img % 5 * 0.1::DOUBLE) + 128 + (img % 7 - 3) * 10 + 0.5))) AS BIGINT)"
+
+
+@query(f"SELECT img, v, {_JITTER} AS jittered FROM (SELECT CAST(unnest(range(35)) AS BIGINT) AS img), (SELECT CAST(unnest(range(256)) AS BIGINT) AS v)")
+def colour_jitter(spark: SparkSession, d: str) -> DataFrame:
+    """Every brightness under every contrast and shift that a training sample may get, held to a byte."""
+    rows = spark.range(35).withColumnRenamed("id", "img").withColumn("v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint"))))
+    img, v = F.col("img"), F.col("v")
+    value = (v - 128) * (0.8 + img % 5 * 0.1) + 128 + (img % 7 - 3) * 10
+    return rows.select("img", "v", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(value + 0.5))).cast("bigint").alias("jittered"))

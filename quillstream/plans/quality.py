@@ -58,7 +58,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-@query(_cal("SELECT stream_id, slot_no, i, got, expected FROM v_expect"))
+CAL_EXPECTED = _cal("SELECT stream_id, slot_no, i, got, expected FROM v_expect")
+
+
+@query(CAL_EXPECTED)
 def cal_expected(spark: SparkSession, d: str) -> DataFrame:
     return expected(spark, d)
 
@@ -199,7 +202,7 @@ def val_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 # --- embeddings read as logits, their label as truth
 
-_TOP = """v_logit AS (SELECT vec_id, label, CAST(i AS INT) AS k, CAST(embedding[i + 1] AS DOUBLE) * 40 AS z FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)),
+TOP_SQL = """v_logit AS (SELECT vec_id, label, CAST(i AS INT) AS k, CAST(embedding[i + 1] AS DOUBLE) * 40 AS z FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)),
 v_soft AS (SELECT vec_id, label, k, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM v_logit),
 v_prob AS (SELECT vec_id, label, k, e / sum(e) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS p FROM v_soft),
 v_top AS (SELECT vec_id, label, arg_max(k, p) AS top1, round(max(p), 6) AS p1, round(list(p ORDER BY p DESC)[2], 6) AS p2 FROM v_prob GROUP BY ALL)"""
@@ -215,18 +218,18 @@ def top2(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", "label", (F.array_position("e", F.col("best")) - 1).cast("int").alias("top1"), F.round(F.col("best") / F.col("total"), 6).alias("p1"), F.round(second / F.col("total"), 6).alias("p2"))
 
 
-@query(f"WITH {_TOP} SELECT vec_id, label, top1, p1, p2 FROM v_top")
+@query(f"WITH {TOP_SQL} SELECT vec_id, label, top1, p1, p2 FROM v_top")
 def softmax_top2(spark: SparkSession, d: str) -> DataFrame:
     return top2(spark, d)
 
 
-@query(f"WITH {_TOP} SELECT vec_id, top1, p1 >= {ACCEPT_P} AND round(p1 - p2, 6) >= {ACCEPT_MARGIN} AS accepted, CASE WHEN p1 >= {ACCEPT_P} AND round(p1 - p2, 6) >= {ACCEPT_MARGIN} THEN top1 END AS cls FROM v_top")
+@query(f"WITH {TOP_SQL} SELECT vec_id, top1, p1 >= {ACCEPT_P} AND round(p1 - p2, 6) >= {ACCEPT_MARGIN} AS accepted, CASE WHEN p1 >= {ACCEPT_P} AND round(p1 - p2, 6) >= {ACCEPT_MARGIN} THEN top1 END AS cls FROM v_top")
 def accept_filter(spark: SparkSession, d: str) -> DataFrame:
     ok = (F.col("p1") >= ACCEPT_P) & (F.round(F.col("p1") - F.col("p2"), 6) >= ACCEPT_MARGIN)
     return top2(spark, d).select("vec_id", "top1", ok.alias("accepted"), F.when(ok, F.col("top1")).alias("cls"))
 
 
-@query(f"""WITH {_TOP} SELECT vec_id, residual, CASE WHEN residual < 2 THEN true ELSE top1 % 10 = 0 AND p1 >= 0.5 AND residual < 10 END AS gap
+@query(f"""WITH {TOP_SQL} SELECT vec_id, residual, CASE WHEN residual < 2 THEN true ELSE top1 % 10 = 0 AND p1 >= 0.5 AND residual < 10 END AS gap
     FROM v_top JOIN (SELECT vec_id, CAST(vec_id % 23 AS DOUBLE) AS residual FROM embeddings) USING (vec_id)""")
 def gap_rules(spark: SparkSession, d: str) -> DataFrame:
     """Flat frames are gaps without scoring; the scorer's branch runs on the rest only."""
@@ -237,7 +240,7 @@ def gap_rules(spark: SparkSession, d: str) -> DataFrame:
     return flat.unionByName(rest.select("vec_id", "residual", soft.alias("gap")))
 
 
-_CLASSIFIER = f"""v_pred AS (SELECT *, top1 % 10 AS pred, p1 >= {ACCEPT_P} AND round(p1 - p2, 6) >= {ACCEPT_MARGIN} AS ok FROM v_top)"""
+CLASSIFIER_SQL = f"""v_pred AS (SELECT *, top1 % 10 AS pred, p1 >= {ACCEPT_P} AND round(p1 - p2, 6) >= {ACCEPT_MARGIN} AS ok FROM v_top)"""
 
 
 def predicted(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +248,7 @@ def predicted(spark: SparkSession, d: str) -> DataFrame:
     return top2(spark, d).withColumn("pred", F.col("top1") % 10).withColumn("ok", ok)
 
 
-@query(f"""WITH {_TOP}, {_CLASSIFIER} SELECT count(*) AS n, avg((pred = label)::INT) AS acc, avg((pred = label)::INT) FILTER (label <> 9) AS acc_symbol, avg((pred = label)::INT) FILTER (label = 9) AS acc_none,
+@query(f"""WITH {TOP_SQL}, {CLASSIFIER_SQL} SELECT count(*) AS n, avg((pred = label)::INT) AS acc, avg((pred = label)::INT) FILTER (label <> 9) AS acc_symbol, avg((pred = label)::INT) FILTER (label = 9) AS acc_none,
     avg((pred = label)::INT) FILTER (ok AND pred <> 9) AS precision_accepted, avg((ok AND pred <> 9 AND pred <> label)::INT) AS far, avg((ok AND pred = label)::INT) FILTER (label <> 9) AS accept_rate FROM v_pred""")
 def classifier_eval(spark: SparkSession, d: str) -> DataFrame:
     """Class 9 plays the class of nothing. The false-accept rate is over all rows."""
@@ -262,7 +265,7 @@ def classifier_eval(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_TOP}, {_CLASSIFIER} SELECT label, pred, count(*) AS n FROM v_pred WHERE label <> pred GROUP BY ALL ORDER BY n DESC, label, pred LIMIT 10")
+@query(f"WITH {TOP_SQL}, {CLASSIFIER_SQL} SELECT label, pred, count(*) AS n FROM v_pred WHERE label <> pred GROUP BY ALL ORDER BY n DESC, label, pred LIMIT 10")
 def confusion_top10(spark: SparkSession, d: str) -> DataFrame:
     wrong = predicted(spark, d).where("label <> pred").withColumn("pred", F.col("pred").cast("int"))
     return wrong.groupBy("label", "pred").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label", "pred").limit(10)

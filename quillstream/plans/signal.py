@@ -176,15 +176,15 @@ def _decoding(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     return rows, syms, P.candidate_lengths(rows, syms)
 
 
-@query(sql("SELECT stream_id, n, support FROM v_support", "v_support"))
+@query(sql("SELECT stream_id, n, support, seen FROM v_support", "v_support"))
 def candidate_lengths(spark: SparkSession, d: str) -> DataFrame:
     return _decoding(spark, d)[2]
 
 
-@query(sql("SELECT * FROM (SELECT stream_id, n, support, row_number() OVER (PARTITION BY stream_id ORDER BY support DESC, n) AS rank FROM v_support) WHERE rank <= 4", "v_support"))
+@query(sql("SELECT * FROM (SELECT stream_id, n, support, row_number() OVER (PARTITION BY stream_id ORDER BY support DESC, seen) AS rank FROM v_support) WHERE rank <= 4", "v_support"))
 def candidate_top4(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.col("support").desc(), "n"))
-    return _decoding(spark, d)[2].withColumn("rank", rank.cast("bigint")).where("rank <= 4")
+    rank = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.col("support").desc(), "seen"))
+    return _decoding(spark, d)[2].withColumn("rank", rank.cast("bigint")).where("rank <= 4").drop("seen")
 
 
 @query(sql("SELECT stream_id, n FROM v_expected", "v_expected"))
@@ -197,12 +197,12 @@ def _cast(spark: SparkSession, d: str) -> DataFrame:
     return P.position_votes(rows, syms, P.expected_length(support))
 
 
-@query(sql("SELECT stream_id, n, pos, sym, weight FROM v_cast", "v_cast"))
+@query(sql("SELECT stream_id, n, pos, sym, weight, first_pass FROM v_cast", "v_cast"))
 def position_votes(spark: SparkSession, d: str) -> DataFrame:
     return _cast(spark, d)
 
 
-_MARGIN = "SELECT stream_id, n, pos, sym, round(weight - next, 6) AS margin FROM (SELECT *, row_number() OVER o AS r, lead(weight, 1, 0) OVER o AS next FROM v_cast WINDOW o AS (PARTITION BY stream_id, n, pos ORDER BY weight DESC, sym)) WHERE r = 1"
+_MARGIN = "SELECT stream_id, n, pos, sym, round(weight - next, 6) AS margin FROM (SELECT *, row_number() OVER o AS r, lead(weight, 1, 0) OVER o AS next FROM v_cast WINDOW o AS (PARTITION BY stream_id, n, pos ORDER BY weight DESC, first_pass)) WHERE r = 1"
 
 
 @query(sql(_MARGIN, "v_cast"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, table
 from ..shipping import ship
+from .quality import CLASSIFIER_SQL, TOP_SQL, predicted
 
 #: Vectors that one task compares at a time, on either side.
 BLOCK = 2048
@@ -67,10 +68,23 @@ def nn_remaining(spark: SparkSession, d: str) -> DataFrame:
     return nearest(e.where("vec_id % 20 = 0"), e, "label")
 
 
-# --- risk of each class, from metrics that stand for its captures
+# --- the classes of a classifier, ranked: how they are read, how like others they are, and what is wrong with them
 
-_METRIC = """v_metric AS (SELECT vec_id AS cls, (900 + (vec_id * 37) % 101) / 1000.0 AS accepted_ok, CASE WHEN vec_id % 9 = 0 THEN (vec_id % 7) / 1000.0 ELSE 0.0 END AS dangerous,
-    CAST(((vec_id * 13) % 120) / 10.0 AS DOUBLE) AS texture, (600 + (vec_id * 53) % 390) / 1000.0 AS like_model, (700 + (vec_id * 29) % 290) / 1000.0 AS like_thumb, (vec_id * 7 + 1) % 500 AS near_model, (vec_id * 3 + 2) % 500 AS near_thumb FROM embeddings)"""
+#: Leading dimensions of a mean that stand for a thumbnail.
+THUMB = 16
+
+_CLASS = f"""{TOP_SQL}, {CLASSIFIER_SQL},
+v_read AS (SELECT label AS cls, count(*) AS n, round(avg((pred = label)::INT), 6) AS hit, round(avg((ok AND pred <> 9 AND pred = label)::INT), 6) AS accepted_ok, round(avg((ok AND pred <> 9 AND pred <> label)::INT), 6) AS dangerous,
+    round(coalesce(avg(p1 - p2) FILTER (pred = label), 0), 6) AS margin FROM v_pred WHERE label <> 9 GROUP BY label),
+v_confused AS (SELECT label AS cls, list(pred || ':' || n ORDER BY r) AS confusions FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, seen) AS r FROM (SELECT label, pred, count(*) AS n, min(vec_id) AS seen FROM v_pred WHERE pred <> label AND label <> 9 GROUP BY ALL)) WHERE r <= 3 GROUP BY label),
+v_mean AS (SELECT label AS cls, i, avg(embedding[i + 1]::DOUBLE) AS m FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings WHERE label <> 9) GROUP BY ALL),
+v_size AS (SELECT cls, sqrt(sum(m * m)) + 1e-6 AS size, sqrt(sum(m * m) FILTER (i < {THUMB})) + 1e-6 AS thumb, round(100 * stddev_pop(m), 6) AS texture FROM v_mean GROUP BY cls),
+v_like AS (SELECT a.cls, b.cls AS other, round(sum(a.m * b.m) / (x.size * y.size), 6) AS s, round(sum(a.m * b.m) FILTER (a.i < {THUMB}) / (x.thumb * y.thumb), 6) AS t
+    FROM v_mean a JOIN v_mean b ON a.i = b.i AND a.cls <> b.cls JOIN v_size x ON x.cls = a.cls JOIN v_size y ON y.cls = b.cls GROUP BY a.cls, b.cls, x.size, y.size, x.thumb, y.thumb),
+v_near AS (SELECT cls, max(s) AS like_model, min(other) FILTER (r = 1) AS near_model, max(t) AS like_thumb, min(other) FILTER (q = 1) AS near_thumb
+    FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY s DESC, other) AS r, row_number() OVER (PARTITION BY cls ORDER BY t DESC, other) AS q FROM v_like) GROUP BY cls),
+v_metric AS (SELECT cls, n, hit, accepted_ok, dangerous, margin, coalesce(confusions, []) AS confusions, texture, like_model, near_model, like_thumb, near_thumb FROM v_read JOIN v_size USING (cls) JOIN v_near USING (cls) LEFT JOIN v_confused USING (cls))"""
 _RISK = """v_risk AS (SELECT *, round((1 - accepted_ok) + 5 * dangerous + greatest(0, (6 - texture) / 20) + greatest(0, like_model - 0.75) + greatest(0, like_thumb - 0.9), 6) AS risk,
     accepted_ok < 0.92 OR dangerous > 0 AS bad_read, like_model > 0.85 OR like_thumb > 0.9 AS duplicate FROM v_metric),
 v_level AS (SELECT *, CASE WHEN bad_read OR duplicate THEN 'replace' WHEN accepted_ok < 0.95 THEN 'optional' ELSE 'fine' END AS level,
@@ -79,17 +93,45 @@ v_level AS (SELECT *, CASE WHEN bad_read OR duplicate THEN 'replace' WHEN accept
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("vec_id")
-    return table(spark, d, "embeddings").select(
-        c.alias("cls"),
-        ((900 + (c * 37) % 101) / 1000.0).alias("accepted_ok"),
-        F.when(c % 9 == 0, (c % 7) / 1000.0).otherwise(0.0).alias("dangerous"),
-        (((c * 13) % 120) / 10.0).alias("texture"),
-        ((600 + (c * 53) % 390) / 1000.0).alias("like_model"),
-        ((700 + (c * 29) % 290) / 1000.0).alias("like_thumb"),
-        ((c * 7 + 1) % 500).alias("near_model"),
-        ((c * 3 + 2) % 500).alias("near_thumb"),
+    """How each class is read, what it is taken for, and its nearest other class by all of its mean vector and by a part of it.
+
+    Class 9 plays the class of nothing: it is not ranked, and taking something for it is no danger.
+    Means are one row for each class and dimension, so what is joined with itself is bounded by the number of classes.
+    """
+    c = F.col
+    rows = predicted(spark, d).where("label <> 9")
+    hit, ok = c("pred") == c("label"), c("ok") & (c("pred") != 9)
+    mean = lambda x: F.avg(x.cast("int"))
+    read = rows.groupBy(c("label").alias("cls")).agg(
+        F.count("*").alias("n"),
+        F.round(mean(hit), 6).alias("hit"),
+        F.round(mean(ok & hit), 6).alias("accepted_ok"),
+        F.round(mean(ok & ~hit), 6).alias("dangerous"),
+        F.round(F.coalesce(F.avg(F.when(hit, c("p1") - c("p2"))), F.lit(0.0)), 6).alias("margin"),
     )
+    wrong = rows.where(~hit).groupBy("label", "pred").agg(F.count("*").alias("n"), F.min("vec_id").alias("seen"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(c("n").desc(), "seen"))
+    top = wrong.withColumn("r", rank).where("r <= 3").groupBy(c("label").alias("cls")).agg(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(":", c("pred").cast("string"), c("n").cast("string")).alias("x")))).alias("l"))
+    top = top.select("cls", F.transform("l", lambda x: x["x"]).alias("confusions"))
+    means = table(spark, d, "embeddings").where("label <> 9").select(c("label").alias("cls"), F.posexplode("embedding").alias("i", "x")).groupBy("cls", "i").agg(F.avg(c("x").cast("double")).alias("m"))
+    square = c("m") * c("m")
+    size = means.groupBy("cls").agg((F.sqrt(F.sum(square)) + 1e-6).alias("size"), (F.sqrt(F.sum(F.when(c("i") < THUMB, square))) + 1e-6).alias("thumb"), F.round(100 * F.stddev_pop("m"), 6).alias("texture"))
+    sized = means.join(size.drop("texture"), "cls")
+    other = sized.toDF("other", "i", "m2", "size2", "thumb2")
+    product = c("m") * c("m2")
+    like = sized.join(other, "i").where("cls <> other").groupBy("cls", "other").agg(
+        F.round(F.sum(product) / (F.first("size") * F.first("size2")), 6).alias("s"),
+        F.round(F.sum(F.when(c("i") < THUMB, product)) / (F.first("thumb") * F.first("thumb2")), 6).alias("t"),
+    )
+    best = lambda x: F.max(F.struct(x, (-c("other")).alias("o")))
+    near = like.groupBy("cls").agg(best("s").alias("a"), best("t").alias("b")).select("cls", c("a.s").alias("like_model"), (-c("a.o")).alias("near_model"), c("b.t").alias("like_thumb"), (-c("b.o")).alias("near_thumb"))
+    out = read.join(size.select("cls", "texture"), "cls").join(near, "cls").join(top, "cls", "left")
+    return out.withColumn("confusions", F.coalesce("confusions", F.array().cast("array<string>")))
+
+
+@query(f"WITH {_CLASS} SELECT * FROM v_metric")
+def class_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics(spark, d)
 
 
 def levels(rows: DataFrame) -> DataFrame:
@@ -105,12 +147,12 @@ def levels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("risk", F.round(risk, 6)).withColumn("bad_read", bad_read).withColumn("duplicate", duplicate).withColumn("level", level).withColumn("reasons", reasons)
 
 
-@query(f"WITH {_METRIC}, {_RISK} SELECT cls, risk, level, reasons FROM v_level")
+@query(f"WITH {_CLASS}, {_RISK} SELECT cls, risk, level, reasons FROM v_level")
 def risk_levels(spark: SparkSession, d: str) -> DataFrame:
     return levels(metrics(spark, d)).select("cls", "risk", "level", "reasons")
 
 
-@query(f"WITH {_METRIC}, {_RISK} SELECT cls, risk, level FROM v_level ORDER BY risk DESC, cls LIMIT 25")
+@query(f"WITH {_CLASS}, {_RISK} SELECT cls, risk, level FROM v_level ORDER BY risk DESC, cls LIMIT 25")
 def risk_rank(spark: SparkSession, d: str) -> DataFrame:
     return levels(metrics(spark, d)).select("cls", "risk", "level").orderBy(F.col("risk").desc(), "cls").limit(25)
 
@@ -119,7 +161,7 @@ _TWIN = """v_only AS (SELECT *, level = 'replace' AND duplicate AND NOT bad_read
 SELECT a.cls, CASE WHEN a.only_duplicate AND b.level = 'replace' AND (b.risk > a.risk OR (b.risk = a.risk AND b.cls < a.cls)) THEN 'optional' ELSE a.level END AS level, b.cls AS twin FROM v_only a LEFT JOIN v_only b ON b.cls = a.twin"""
 
 
-@query(f"WITH {_METRIC}, {_RISK}, {_TWIN}")
+@query(f"WITH {_CLASS}, {_RISK}, {_TWIN}")
 def duplicate_twin(spark: SparkSession, d: str) -> DataFrame:
     """Of two that are only each other's duplicates, the one of less risk may stay."""
     c = F.col
@@ -131,25 +173,14 @@ def duplicate_twin(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, c("twin") == c("twin_cls"), "left").select("cls", F.when(F.coalesce(stays, F.lit(False)), "optional").otherwise(c("level")).alias("level"), c("twin_cls").alias("twin"))
 
 
-@query(f"WITH {_METRIC}, {_RISK} SELECT level, count(*) AS classes, count(*) FILTER (accepted_ok >= 0.95 AND dangerous = 0) AS sound, round(avg(accepted_ok), 6) AS mean_ok FROM v_level GROUP BY level")
+@query(f"WITH {_CLASS}, {_RISK} SELECT level, count(*) AS classes, count(*) FILTER (accepted_ok >= 0.95 AND dangerous = 0) AS sound, round(avg(accepted_ok), 6) AS mean_ok FROM v_level GROUP BY level")
 def risk_summary(spark: SparkSession, d: str) -> DataFrame:
     return levels(metrics(spark, d)).groupBy("level").agg(F.count("*").alias("classes"), F.count_if((F.col("accepted_ok") >= 0.95) & (F.col("dangerous") == 0)).alias("sound"), F.round(F.avg("accepted_ok"), 6).alias("mean_ok"))
 
 
-@query(f"WITH {_METRIC}, {_RISK} SELECT level, '| ' || cls || ' | ' || CAST(CAST(round(accepted_ok * 1000) AS BIGINT) AS VARCHAR) || ' | ' || array_to_string(reasons, '; ') || ' |' AS line FROM v_level WHERE level <> 'fine'")
+@query(f"WITH {_CLASS}, {_RISK} SELECT level, '| ' || cls || ' | ' || CAST(CAST(round(accepted_ok * 1000) AS BIGINT) AS VARCHAR) || ' | ' || array_to_string(reasons, '; ') || ' |' AS line FROM v_level WHERE level <> 'fine'")
 def risk_report(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a Markdown table, by level; accuracy in tenths of a percent."""
     cells = [F.lit(""), F.col("cls").cast("string"), F.round(F.col("accepted_ok") * 1000).cast("bigint").cast("string"), F.array_join("reasons", "; ")]
     line = F.concat(F.ltrim(F.concat_ws(" | ", *cells)), F.lit(" |"))
     return levels(metrics(spark, d)).where("level <> 'fine'").select("level", line.alias("line"))
-
-
-_LOG = "SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS r FROM embeddings"
-
-
-@query(f"SELECT label, count(*) AS n, avg((vec_id % 10 = label)::INT) AS hit, list(vec_id ORDER BY vec_id) FILTER (r <= 3) AS first3 FROM ({_LOG}) GROUP BY label")
-def class_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Per class: rows, share of hits, and its first three rows."""
-    r = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    rows = table(spark, d, "embeddings").select("label", "vec_id", r.alias("r"))
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("vec_id") % 10 == F.col("label")).cast("int")).alias("hit"), F.sort_array(F.collect_list(F.when(F.col("r") <= 3, F.col("vec_id")))).alias("first3"))

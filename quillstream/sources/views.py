@@ -89,20 +89,20 @@ SQL_VIEWS = {
             WHERE (NOT is_current AND (has_start OR has_end)) OR (is_current AND has_start)) WHERE age <= 12""",
     "v_lengths": "SELECT len, CAST(len + 3 + greatest(4, ceil((len + 3) / 3.0)) AS BIGINT) AS n FROM (SELECT CAST(unnest(range(189)) AS BIGINT) AS len)",
     "v_support": """
-        SELECT stream_id, n, round(sum(weight), 6) AS support FROM (
-            SELECT stream_id, length + d AS n, CASE WHEN d = 0 THEN 2.0 ELSE 0.5 / abs(d) END AS weight
+        SELECT stream_id, n, round(sum(weight), 6) AS support, CAST(min(seen) AS BIGINT) AS seen FROM (
+            SELECT stream_id, length + d AS n, CASE WHEN d = 0 THEN 2.0 ELSE 0.5 / abs(d) END AS weight, pass_no * 10 + CASE d WHEN 0 THEN 0 WHEN -2 THEN 1 WHEN -1 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS seen
             FROM v_used, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) WHERE has_start AND has_end
-            UNION ALL SELECT u.stream_id, u.length - 1, CASE WHEN s.sym IS NULL THEN 1.5 ELSE 1.0 END FROM v_used u JOIN v_symbols s USING (stream_id, pass_no) WHERE after_end AND has_end AND s.i = 0
-            UNION ALL SELECT stream_id, length, 1.0 FROM v_used WHERE after_end AND has_end
-            UNION ALL SELECT u.stream_id, l.n, 1 + s.rel FROM v_used u JOIN v_symbols s USING (stream_id, pass_no) JOIN v_lengths l ON l.len = s.sym WHERE has_start AND s.i = 0)
-        WHERE n IN (SELECT n FROM v_lengths) GROUP BY ALL""",
-    "v_expected": "SELECT stream_id, arg_max(n, support * 1000000 - n) AS n FROM v_support GROUP BY ALL",
+            UNION ALL SELECT u.stream_id, u.length - 1, CASE WHEN s.sym IS NULL THEN 1.5 ELSE 1.0 END, u.pass_no * 10 FROM v_used u JOIN v_symbols s USING (stream_id, pass_no) WHERE after_end AND has_end AND s.i = 0
+            UNION ALL SELECT stream_id, length, 1.0, pass_no * 10 + 1 FROM v_used WHERE after_end AND has_end
+            UNION ALL SELECT u.stream_id, l.n, 1 + s.rel, u.pass_no * 10 + 5 FROM v_used u JOIN v_symbols s USING (stream_id, pass_no) JOIN v_lengths l ON l.len = s.sym WHERE has_start AND s.i = 0)
+        WHERE n IN (SELECT n FROM v_lengths) GROUP BY stream_id, n""",
+    "v_expected": "SELECT stream_id, n FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY support DESC, seen) AS r FROM v_support) WHERE r = 1",
     "v_cast": """
-        SELECT e.stream_id, e.n, pos, sym, round(sum(rel), 6) AS weight FROM (
-            SELECT s.stream_id, e.n, s.sym, s.rel, CASE WHEN u.has_start THEN s.i ELSE e.n - u.length + s.i END AS pos
+        SELECT stream_id, n, pos, sym, round(sum(rel), 6) AS weight, min(pass_no) AS first_pass FROM (
+            SELECT s.stream_id, s.pass_no, e.n, s.sym, s.rel, CASE WHEN u.has_start THEN s.i ELSE e.n - u.length + s.i END AS pos
             FROM v_used u JOIN v_expected e USING (stream_id) JOIN v_symbols s USING (stream_id, pass_no)
-            WHERE s.sym IS NOT NULL AND CASE WHEN u.has_start AND u.has_end THEN u.length = e.n ELSE u.length <= e.n + 2 END) e
-        WHERE pos >= 0 AND pos < n GROUP BY ALL""",
+            WHERE s.sym IS NOT NULL AND CASE WHEN u.has_start AND u.has_end THEN u.length = e.n ELSE u.length <= e.n + 2 END)
+        WHERE pos >= 0 AND pos < n GROUP BY stream_id, n, pos, sym""",
     "v_payload": """
         SELECT 'turn' AS src, conv_id AS id, turn, text FROM conversations WHERE strlen(text) BETWEEN 1 AND 188
         UNION ALL SELECT 'url', page_id, 0::BIGINT, url FROM pages WHERE strlen(url) BETWEEN 1 AND 188""",
