@@ -57,8 +57,8 @@ def packed_fixtures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path).withColumn("rgb", F.unbase64("rgb"))
 
 
-def every_nth(rows: DataFrame, order: str, video_fps: float, fps: float, key: str | None = None) -> DataFrame:
-    """Rows at every max(1, round(video_fps / fps))-th place of their stream."""
+def every_nth(rows: DataFrame, order: str, video_fps: float, fps: float, key: str) -> DataFrame:
+    """Rows at every max(1, round(video_fps / fps))-th place of their stream, which ``key`` names: one task sorts one stream."""
     step = max(1, round(video_fps / fps))
-    window = Window.partitionBy(key or F.lit(0)).orderBy(order)
+    window = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("_place", F.row_number().over(window) - 1).where(F.col("_place") % step == 0).drop("_place")

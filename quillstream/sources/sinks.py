@@ -10,6 +10,8 @@ from pyspark.sql.utils import AnalysisException
 
 from ..constants import NONE
 
+WRITERS = 16
+
 
 def write_log(frames: DataFrame, slots: DataFrame, path: str, **about: str) -> None:
     """Frames and slots as JSON lines under one folder, beside a line that says what they are."""
@@ -33,9 +35,13 @@ def write_history(items: DataFrame, path: str) -> bool:
 
 
 def export_by_class(rows: DataFrame, path: str, label: str = "label") -> None:
-    """Labelled rows in folders by class; gaps go to the class of nothing and rows without a label stay out."""
+    """Labelled rows in folders by class; gaps go to the class of nothing and rows without a label stay out.
+
+    A class is dealt to WRITERS tasks, so that a common one is not written by one task alone.
+    """
     cls = F.when(F.col(label) == "gap", NONE).otherwise(F.col(label).try_cast("int"))
-    rows.where(F.col(label).isNotNull()).withColumn("cls", cls).where("cls IS NOT NULL").repartition("cls").write.mode("overwrite").partitionBy("cls").parquet(path)
+    held = rows.where(F.col(label).isNotNull()).withColumn("cls", cls).where("cls IS NOT NULL")
+    held.repartition(F.col("cls"), F.pmod(F.xxhash64(*rows.columns), F.lit(WRITERS))).write.mode("overwrite").partitionBy("cls").parquet(path)
 
 
 def append_metrics(rows: DataFrame, path: str) -> None:
