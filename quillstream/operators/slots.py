@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import BREAK_PERIODS, DT_DEFAULT_MS, DT_WINDOW, END, MIN_CONTROL_FRAMES, MIN_FRAMES_ERASURE, MIN_STATS, NONE, START, STATS_WINDOW
+from ..constants import BREAK_PERIODS, COPY_RELIABILITY, DT_DEFAULT_MS, DT_WINDOW, END, MIN_CONTROL_FRAMES, MIN_FRAMES_ERASURE, MIN_STATS, NONE, START, STATS_WINDOW
 
 SLOT = ["stream_id", "slot_no"]
 
@@ -78,10 +78,16 @@ def breaks(rows: DataFrame, period_ms: int) -> DataFrame:
     return before.where(F.col("t_start") - F.col("prev_start") > BREAK_PERIODS * period_ms).select(*SLOT, F.col("prev_end").alias("break_start"), F.col("t_start").alias("break_end"))
 
 
-def fillers(rows: DataFrame, period_ms: int) -> DataFrame:
-    """Erasures for slots that the clock says are missing, up to a break."""
+def fillers(rows: DataFrame, period_ms: int, usual_ms: int) -> DataFrame:
+    """Slots that the clock says are missing, up to a break: copies of an overlong slot before them, at less reliability, then erasures."""
     order = Window.partitionBy("stream_id").orderBy("slot_no")
-    delta = F.col("t_start") - F.col("prev_start")
+    before = {c: F.lag(c).over(order) for c in ("t_start", "t_end", "cls", "reliability")}
+    known = rows.select(*SLOT, "t_start", *[v.alias(f"prev_{c}") for c, v in before.items()])
+    delta = F.col("t_start") - F.col("prev_t_start")
     missing = F.round(delta / period_ms).cast("bigint") - 1
-    known = rows.withColumn("prev_start", F.lag("t_start").over(order)).where((delta <= BREAK_PERIODS * period_ms) & (missing >= 1))
-    return known.select(*SLOT, "prev_start", F.explode(F.sequence(F.lit(1).cast("bigint"), missing)).alias("i")).select(*SLOT, "i", (F.col("prev_start") + F.col("i") * period_ms).alias("t_start"))
+    copies = F.when(F.col("prev_cls").isNotNull(), F.round((F.col("prev_t_end") - F.col("prev_t_start") - usual_ms) / period_ms)).otherwise(0)
+    known = known.withColumn("copies", copies).where((delta <= BREAK_PERIODS * period_ms) & (missing >= 1))
+    filled = known.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), missing)))
+    copy = F.col("i") <= F.col("copies")
+    reliability = F.when(copy, F.round(COPY_RELIABILITY * F.col("prev_reliability"), 9)).otherwise(0.0)
+    return filled.select(*SLOT, "i", (F.col("prev_t_start") + F.col("i") * period_ms).alias("t_start"), F.when(copy, F.col("prev_cls")).alias("cls"), reliability.alias("reliability"))

@@ -289,3 +289,44 @@ def frame_observations(spark: SparkSession, d: str) -> DataFrame:
     drawn = frame_square(w, h)
     off = F.greatest(F.abs(F.col("x") - drawn["x"] * WORK_WIDTH / w), F.abs(F.col("y") - drawn["y"] * WORK_WIDTH / w))
     return observe(packed(scenes(spark)), load, 16).select("img", "status", "gap", "cls", F.coalesce(off <= 3, F.lit(False)).alias("found"))
+
+
+@query(
+    f"""WITH {_GRID}, v_point AS (SELECT img, k, least(greatest(k * 9.25 - 1.5, 0), {WIDTH - 1})::DOUBLE AS cx, least(greatest(k * 7.5 - 0.25, 0), {HEIGHT - 1})::DOUBLE AS cy FROM (SELECT CAST(unnest(range({IMAGES})) AS BIGINT) AS img), (SELECT CAST(unnest(range(8)) AS BIGINT) AS k)),
+v_near AS (SELECT *, floor(cx) AS x0, least(floor(cx) + 1, {WIDTH - 1}) AS x1, cx - floor(cx) AS fx, floor(cy) AS y0, least(floor(cy) + 1, {HEIGHT - 1}) AS y1, cy - floor(cy) AS fy FROM v_point)
+SELECT p.img, p.k, round((1 - fy) * ((1 - fx) * a.r + fx * b.r) + fy * ((1 - fx) * c.r + fx * d.r), 6) AS r FROM v_near p
+JOIN v_rgb a ON a.img = p.img AND a.x = x0 AND a.y = y0 JOIN v_rgb b ON b.img = p.img AND b.x = x1 AND b.y = y0 JOIN v_rgb c ON c.img = p.img AND c.x = x0 AND c.y = y1 JOIN v_rgb d ON d.img = p.img AND d.x = x1 AND d.y = y1"""
+)
+def bilinear_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Values between pixels, and beyond the edge, where they are those of the edge."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = np.arange(8)
+        at = np.stack([k * 9.25 - 1, k * 7.5 + 0.25], axis=1)
+        for batch in batches:
+            for img, rgb in zip(batch.column("img"), batch.column("rgb").to_pylist(), strict=True):
+                value = vision.sampled(np.frombuffer(rgb, np.uint8).reshape(HEIGHT, WIDTH, 3).astype(np.float64), at)
+                yield pa.RecordBatch.from_arrays([pa.repeat(img, 8), pa.array(k), pa.array(np.round(value[:, 0], 6))], names=["img", "k", "r"])
+
+    return packed(grid(spark)).select("img", "rgb").mapInArrow(run, "img bigint, k bigint, r double")
+
+
+@query(
+    "WITH square AS (SELECT * FROM " + _SQUARE.format(canvas=f"(SELECT img, 160 + img % 3 * 16 AS w, 120 + img % 2 * 20 AS h FROM (SELECT CAST(unnest(range({SCENES})) AS BIGINT) AS img) WHERE img % 6 <> 5)") + ") "
+    "SELECT img, k, (x + CASE WHEN k IN (1, 2) THEN side ELSE 0 END)::DOUBLE AS px, (y + CASE WHEN k >= 2 THEN side ELSE 0 END)::DOUBLE AS py FROM square, (SELECT CAST(unnest(range(4)) AS BIGINT) AS k)"
+)
+def frame_quads(spark: SparkSession, d: str) -> DataFrame:
+    """Corners of the sender's square by mask, components, outline and largest quadrilateral, clockwise from the one nearest the origin."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for img, w, h, rgb in zip(*(batch.column(c).to_pylist() for c in ("img", "width", "height", "rgb")), strict=True):
+                mask = vision.magenta(np.frombuffer(rgb, np.uint8).reshape(h, w, 3))
+                label = vision.components(mask)
+                for kind, _ in vision.largest(label, 1, 1):
+                    quad = vision.largest_quad(vision.outline(vision.rim_points(label == kind)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(4, img)), pa.array(np.arange(4)), pa.array(quad[:, 0]), pa.array(quad[:, 1])], names=["img", "k", "px", "py"])
+
+    return packed(scenes(spark)).mapInArrow(run, "img bigint, k bigint, px double, py double")

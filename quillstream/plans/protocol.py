@@ -228,3 +228,10 @@ def linkify(spark: SparkSession, d: str) -> DataFrame:
 def base64_round_trip(spark: SparkSession, d: str) -> DataFrame:
     coded = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")  # without the line breaks of MIME
     return table(spark, d, "documents").select("doc_id", coded.alias("b64"), P.lenient_text(F.unbase64(coded)).alias("back"))
+
+
+@query(sql("SELECT src, id, turn, text || '\ufffd' || 'x' AS back FROM v_payload", "v_payload"))
+def lenient_utf8(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that arrive with a byte-order mark before them and a byte in them that is no UTF-8."""
+    data = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"), F.unhex(F.lit("FF78")))
+    return payloads(spark, d).select(*KEYS, P.lenient_text(data).alias("back"))

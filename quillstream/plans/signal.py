@@ -15,6 +15,7 @@ from ..sources.views import epoch_ms, observations, sql
 TICK_MS = 3_600_000
 PERIOD_MS = 26_474_000
 LONGEST_MS = 200_000_000
+USUAL_MS = 4_000_000
 
 
 @query(f"SELECT CAST(floor(epoch_us(ts) // 1000 / {TICK_MS}) AS BIGINT) AS tick, max(event_id) AS last_event, min(event_id) AS first_event, count(*) - 1 AS dropped FROM events GROUP BY ALL")
@@ -125,13 +126,15 @@ def slot_break(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     sql(
-        f"SELECT stream_id, slot_no, i, prev_start + i * {PERIOD_MS} AS t_start FROM (SELECT stream_id, slot_no, prev_start, unnest(range(1, missing + 1)) AS i FROM (SELECT *, CAST(round((t_start - prev_start) / {PERIOD_MS}) AS BIGINT) - 1 AS missing FROM "
-        f"(SELECT *, lag(t_start) OVER (PARTITION BY stream_id ORDER BY slot_no) AS prev_start FROM v_slots)) WHERE missing >= 1 AND t_start - prev_start <= 6 * {PERIOD_MS})",
+        f"SELECT stream_id, slot_no, i, prev_start + i * {PERIOD_MS} AS t_start, CASE WHEN i <= copies THEN prev_cls END AS cls, CASE WHEN i <= copies THEN round(0.6 * prev_reliability, 9) ELSE 0.0 END AS reliability FROM "
+        f"(SELECT *, unnest(range(1, missing + 1)) AS i FROM (SELECT *, CAST(round((t_start - prev_start) / {PERIOD_MS}) AS BIGINT) - 1 AS missing, CASE WHEN prev_cls IS NULL THEN 0 ELSE round((prev_end - prev_start - {USUAL_MS}) / {PERIOD_MS}) END AS copies FROM "
+        "(SELECT *, lag(t_start) OVER o AS prev_start, lag(t_end) OVER o AS prev_end, lag(cls) OVER o AS prev_cls, lag(reliability) OVER o AS prev_reliability FROM v_slots WINDOW o AS (PARTITION BY stream_id ORDER BY slot_no))) "
+        f"WHERE missing >= 1 AND t_start - prev_start <= 6 * {PERIOD_MS})",
         "v_slots",
     )
 )
 def slot_gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    return S.fillers(_slots(spark, d), PERIOD_MS)
+    return S.fillers(_slots(spark, d), PERIOD_MS, USUAL_MS)
 
 
 def _passes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
