@@ -18,6 +18,11 @@ Scorer = Callable[[np.ndarray], np.ndarray]
 OBSERVATION = "status string, x double, y double, residual double, gap boolean, cls int, p double, margin double"
 
 
+def tensor(crops: np.ndarray) -> np.ndarray:
+    """Crops (n, height, width, 3) of bytes as (n, 3, height, width) of 0 to 1, as image networks take them."""
+    return np.ascontiguousarray(crops.transpose(0, 3, 1, 2), dtype=np.float32) / 255
+
+
 def decided(logits: np.ndarray, residual: float) -> tuple[bool, int | None, float, float]:
     """(gap, class, probability, margin) of a scored crop."""
     e = np.exp(logits - logits.max())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import HISTORY_CAP
+from ..constants import CAL_CLASSES, HISTORY_CAP
 from ..operators import slots as S
 from ..registry import query, table
 from ..sources.views import epoch_ms, observations, payloads, sql
@@ -178,3 +178,9 @@ def colour_jitter(spark: SparkSession, d: str) -> DataFrame:
     img, v = F.col("img"), F.col("v")
     value = (v - 128) * (0.8 + img % 5 * 0.1) + 128 + (img % 7 - 3) * 10
     return rows.select("img", "v", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(value + 0.5))).cast("bigint").alias("jittered"))
+
+
+@query("SELECT CAST(unnest(range(258)) AS INT) AS cls")
+def calibration_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """The classes in the order in which calibration shows them."""
+    return spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(CAL_CLASSES - 1))).alias("cls"))

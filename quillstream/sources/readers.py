@@ -62,3 +62,18 @@ def every_nth(rows: DataFrame, order: str, video_fps: float, fps: float, key: st
     step = max(1, round(video_fps / fps))
     window = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("_place", F.row_number().over(window) - 1).where(F.col("_place") % step == 0).drop("_place")
+
+
+def ranking(spark: SparkSession, path: str) -> DataFrame:
+    """Classes with their figures as ``sinks.write_ranking`` left them."""
+    return spark.read.json(path)
+
+
+def class_images(spark: SparkSession, manifest: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """cls, file, content of the classes that are asked for, each once; only their files are read."""
+    wanted = manifest.join(classes.select("cls").distinct(), "cls", "left_semi").select("cls", "file")
+    names = [r.file for r in wanted.select("file").distinct().collect()]  # of a manifest of a few hundred classes
+    if not names:
+        return wanted.withColumn("content", F.lit(None).cast("binary"))
+    files = spark.read.format("binaryFile").load([f"{folder.rstrip('/')}/{n}" for n in names])
+    return wanted.join(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content"), "file").select("cls", "file", "content")

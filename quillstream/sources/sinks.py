@@ -56,3 +56,27 @@ def write_fixtures(rows: DataFrame, path: str) -> None:
 def write_report(lines: DataFrame, path: str) -> None:
     """Markdown lines (level, line), one text file for each level."""
     lines.select("level", F.col("line").alias("value")).repartition("level").write.mode("overwrite").partitionBy("level").text(path)
+
+
+def write_ranking(ranked: DataFrame, path: str) -> None:
+    """Classes with all their figures as JSON lines, the riskiest first; ``readers.ranking`` reads them again."""
+    ranked.orderBy(F.col("risk").desc(), "cls").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_truth(timeline: DataFrame, path: str, **about: object) -> None:
+    """What was shown at each frame as JSON lines, beside a line of what it was made with."""
+    timeline.write.mode("overwrite").json(f"{path}/frames")
+    spark = timeline.sparkSession
+    spark.createDataFrame([{k: str(v) for k, v in about.items()} or {"version": "1"}]).coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def rewrite_manifest(old: DataFrame, new: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
+    """cls, file, new_file of the classes that get another file; the manifest with them is written unless it is a dry run.
+
+    old, new: (cls, file). The manifest is a dimension of a few hundred rows.
+    """
+    wanted = F.broadcast(new.withColumnRenamed("file", "new_file"))
+    changed = old.join(wanted, "cls").where("file <> new_file")
+    if not dry_run:
+        old.join(wanted, "cls", "left").select("cls", F.coalesce("new_file", "file").alias("file")).coalesce(1).write.mode("overwrite").json(path)
+    return changed

@@ -91,3 +91,36 @@ def test_sinks(spark, tmp_path):
     lines = spark.createDataFrame([("replace", "| 1 |"), ("fine", "| 2 |")], "level string, line string")
     sinks.write_report(lines, str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).count() == 2
+
+
+def test_ranking_and_manifest_are_read_again(spark, tmp_path):
+    ranked = spark.createDataFrame([(1, 0.5, ["a"]), (2, 0.9, []), (3, 0.9, ["b", "c"])], "cls int, risk double, reasons array<string>")
+    sinks.write_ranking(ranked, str(tmp_path / "r"))
+    assert [(r.cls, r.risk, r.reasons) for r in readers.ranking(spark, str(tmp_path / "r")).collect()] == [(2, 0.9, []), (3, 0.9, ["b", "c"]), (1, 0.5, ["a"])]
+    old, new = (spark.createDataFrame(x, "cls int, file string") for x in ([(1, "a"), (2, "b"), (3, "c")], [(2, "n"), (3, "c")]))
+    changed = [(2, "b", "n")]
+    assert [tuple(r) for r in sinks.rewrite_manifest(old, new, str(tmp_path / "m"), dry_run=True).collect()] == changed and not (tmp_path / "m").exists()
+    assert [tuple(r) for r in sinks.rewrite_manifest(old, new, str(tmp_path / "m")).collect()] == changed
+    assert sorted((r.cls, r.file) for r in spark.read.json(str(tmp_path / "m")).collect()) == [(1, "a"), (2, "n"), (3, "c")]
+    sinks.write_truth(old, str(tmp_path / "t"), fps=30)
+    assert spark.read.json(str(tmp_path / "t/frames")).count() == 3 and spark.read.json(str(tmp_path / "t/about")).first().fps == "30"
+
+
+def test_images_of_the_classes_asked_for(spark, tmp_path):
+    for n in "abc":
+        (tmp_path / f"{n}.png").write_bytes(n.encode())
+    manifest = spark.createDataFrame([(1, "a.png"), (2, "b.png"), (3, "c.png")], "cls int, file string")
+    wanted = spark.createDataFrame([(2,), (2,), (3,), (9,)], "cls int")
+    got = readers.class_images(spark, manifest, wanted, str(tmp_path)).collect()
+    assert sorted((r.cls, r.file, bytes(r.content)) for r in got) == [(2, "b.png", b"b"), (3, "c.png", b"c")]
+    assert readers.class_images(spark, manifest, wanted.where("cls = 9"), str(tmp_path)).count() == 0
+
+
+def test_crops_as_tensors():
+    import numpy as np
+
+    from quillstream.operators.frames import tensor
+
+    x = np.arange(2 * 4 * 5 * 3).reshape(2, 4, 5, 3).astype(np.uint8)
+    t = tensor(x)
+    assert t.shape == (2, 3, 4, 5) and t.dtype == np.float32 and abs(float(t[1, 2, 3, 4]) - x[1, 3, 4, 2] / 255) < 1e-6
