@@ -10,8 +10,8 @@ A passage that starts or ends in mid-sentence, or has no such marks, may hold no
 is compared too, and the words that a later occurrence covers are removed, wherever sentences begin; in one document,
 occurrences that overlap the first stay. The runs that share an anchor, the ``ANCHOR``-word run of least hash in them, lie
 side by side and make one stretch; equal runs have their anchors at equal places, so only stretches of equal anchors can share
-runs. Where all stretches of an anchor are equal, as nearly always, a stretch is one key like a run of sentences; only where
-they differ are their runs compared one by one.
+runs. A stretch is one key like a run of sentences: all its runs recur wherever it does. Only where an anchor has stretches
+that differ are runs compared one by one, and then those of the first occurrence of each stretch, however many there are.
 
 Keys are counted by hash, which each task pre-aggregates; only what occurs again is joined back, in joins that adaptive
 execution can split, so a passage held by a third of all rows costs one narrow row for each of its stretches.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .members import bitmap, held_in, only, rows_in
@@ -155,12 +155,19 @@ def _single_runs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"key bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}, row bigint, at int, n int")
 
 
-def _later(found: DataFrame, sentence) -> DataFrame:
-    """row, at, n: all occurrences of a key but the first; of passages only those apart from it. sentence: whether a row is of a run of sentences."""
-    order = F.struct("doc_id", "row", "at")
-    first = found.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1")
-    apart = sentence | (F.col("row") != F.col("first.row")) | (F.col("at") - F.col("first.at") >= PASSAGE)
-    return found.join(first, "key").where((order != F.col("first")) & apart).select("row", "at", "n")
+_ORDER = ("doc_id", "row", "at")
+
+
+def _apart() -> Column:
+    """Whether an occurrence does not overlap the first one."""
+    return (F.col("row") != F.col("first.row")) | (F.col("at") - F.col("first.at") >= PASSAGE)
+
+
+def _later(singles: DataFrame) -> DataFrame:
+    """row, at, n: all occurrences of a run of PASSAGE words but the first, and those that overlap it."""
+    order = F.struct(*_ORDER)
+    first = singles.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1")
+    return singles.join(first, "key").where((order != F.col("first")) & _apart()).select("row", "at", "n")
 
 
 def _cleaned(rows: DataFrame, bits=None) -> DataFrame:
@@ -214,10 +221,15 @@ def without_repeated_runs(docs: DataFrame, *, size: int = SENTENCES) -> DataFram
     seen = _keyed(rows, size).groupBy("key").agg(F.count("*").alias("times"), F.min("part").alias("a"), F.max("part").alias("b")).where("times > 1")
     again = cut(seen.select("key", (F.col("a") != F.col("b")).alias("several")))
     held = cut(_keyed(rows, size, bitmap(again, "key")).join(again, "key"))
-    whole = _later(held.where("NOT several").select("key", "part", "doc_id", "row", "at", "n"), F.col("part") == 0)
-    spans = cut(held.where("several").groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
+    order = F.struct(*_ORDER)
+    named = held.groupBy("key", "part").agg(F.min(order).alias("first"))
+    sentence = F.col("part") == 0
+    later = (order != F.col("first")) & (sentence | _apart())
+    single = F.col("several") & ~sentence & ~later
+    marked = cut(held.join(named, ["key", "part"]).select("row", "at", "n", later.alias("later"), single.alias("single")).where("later OR single"))
+    spans = cut(marked.where("single").groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
     singles = _single_runs(rows_in(rows, bitmap(spans, "row"), "row").join(spans, "row").select("doc_id", "text", "row", "spans"))
-    later = whole.unionByName(_later(cut(singles), F.lit(False)))
+    later = marked.where("later").select("row", "at", "n").unionByName(_later(cut(singles)))
     gone = cut(later.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("gone")))
     bits = bitmap(gone, "row")
     changed = rows_in(rows, bits, "row").join(gone, "row", "left").select("doc_id", "text", "gone")
