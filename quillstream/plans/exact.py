@@ -22,7 +22,7 @@ from ..operators.segmentation import SLOT_COLUMNS, Segmentation
 from ..registry import query, table
 from ..shipping import ship
 from ..sources.views import epoch_ms, observations, payloads, sql
-from ..streaming.files import shared_folder, stream_table
+from ..streaming.files import remove, shared_folder, stream_table
 from .protocol import KEYS, codeword_oracle, word_column
 from .quality import CAL_EXPECTED
 
@@ -223,6 +223,8 @@ def landed(rows: DataFrame, fed: DataFrame, clock: str, folder: str, parts: list
         run()
     mark_of_the_end(fed, clock).write.mode("append").parquet(f"{folder}/ends")
     run()
+    for used in ("feed", "ends", "state"):
+        remove(rows.sparkSession, f"{folder}/{used}")
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
