@@ -111,7 +111,8 @@ _APART = np.uint64(0x5851F42D4C957F2D)
 def _keyed(rows: DataFrame, size: int, bits=None) -> DataFrame:
     """key, part: of each run of sentences (part 0) and of each stretch (its anchor, and the hash of all of it).
 
-    bits: only keys in this bitmap, with doc_id, row, at (first word in the text) and n (words).
+    bits: only keys in this bitmap, with doc_id, row, at (first word in the text), n (words) and sure: whether the same stands
+    earlier in the text, so that it is a later occurrence wherever the first one is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +127,18 @@ def _keyed(rows: DataFrame, size: int, bits=None) -> DataFrame:
                 continue
             text, at, n = (np.concatenate(x) for x in ((text, text_s), (at, at_s), (n, n_s)))
             use = np.flatnonzero(held_in(bits, key))
-            text, at = text[use], at[use] - w.by_text[text[use]]
+            use = use[np.lexsort((at[use], part[use], key[use], text[use]))]
+            text, at, n, key, part = text[use], at[use] - w.by_text[text[use]], n[use], key[use], part[use]
+            new = np.ones(len(use), bool)
+            new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(use)), 0)) if len(use) else use
+            sure = ~new & ((part == 0) | (at - at[lead] >= PASSAGE))
             own = lambda c: batch.column(c).take(pa.array(text))  # noqa: E731, B023
-            columns = [pa.array(key[use]), pa.array(part[use]), own("doc_id"), own("row"), pa.array(at.astype(np.int32)), pa.array(n[use].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "doc_id", "row", "at", "n"])
+            columns = [pa.array(key), pa.array(part), own("doc_id"), own("row"), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sure)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "doc_id", "row", "at", "n", "sure"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, "key bigint, part bigint" + (f", doc_id {kind}, row bigint, at int, n int" if bits is not None else ""))
+    return rows.mapInArrow(run, "key bigint, part bigint" + (f", doc_id {kind}, row bigint, at int, n int, sure boolean" if bits is not None else ""))
 
 
 def _single_runs(rows: DataFrame) -> DataFrame:
@@ -220,16 +226,17 @@ def without_repeated_runs(docs: DataFrame, *, size: int = SENTENCES) -> DataFram
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     seen = _keyed(rows, size).groupBy("key").agg(F.count("*").alias("times"), F.min("part").alias("a"), F.max("part").alias("b")).where("times > 1")
     again = cut(seen.select("key", (F.col("a") != F.col("b")).alias("several")))
-    held = cut(_keyed(rows, size, bitmap(again, "key")).join(again, "key"))
-    order = F.struct(*_ORDER)
-    named = held.groupBy("key", "part").agg(F.min(order).alias("first"))
+    found = cut(_keyed(rows, size, bitmap(again, "key")))
+    held, order = found.where("NOT sure"), F.struct(*_ORDER)
+    # The first occurrence of each key and part that occurs again; what one document holds many times is one row here.
+    named = held.groupBy("key", "part").agg(F.min(order).alias("first")).join(again, "key")
     sentence = F.col("part") == 0
     later = (order != F.col("first")) & (sentence | _apart())
     single = F.col("several") & ~sentence & ~later
     marked = cut(held.join(named, ["key", "part"]).select("row", "at", "n", later.alias("later"), single.alias("single")).where("later OR single"))
     spans = cut(marked.where("single").groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
     singles = _single_runs(rows_in(rows, bitmap(spans, "row"), "row").join(spans, "row").select("doc_id", "text", "row", "spans"))
-    later = marked.where("later").select("row", "at", "n").unionByName(_later(cut(singles)))
+    later = marked.where("later").select("row", "at", "n").unionByName(found.where("sure").select("row", "at", "n")).unionByName(_later(cut(singles)))
     gone = cut(later.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("gone")))
     bits = bitmap(gone, "row")
     changed = rows_in(rows, bits, "row").join(gone, "row", "left").select("doc_id", "text", "gone")
