@@ -144,7 +144,7 @@ def array_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT user_id, event_id, done, round(1000.0 * done / elapsed, 6) AS rate, round((n - done) * elapsed / 1000.0 / done, 3) AS eta_s FROM (SELECT user_id, event_id, row_number() OVER o AS done, count(*) OVER (PARTITION BY user_id) AS n, "
+    "SELECT user_id, event_id, done, 1000::DOUBLE * done / elapsed AS rate, (n - done)::DOUBLE * elapsed / 1000::DOUBLE / done AS eta_s FROM (SELECT user_id, event_id, row_number() OVER o AS done, count(*) OVER (PARTITION BY user_id) AS n, "
     "(epoch_us(ts) // 1000 - first_value(epoch_us(ts) // 1000) OVER o)::DOUBLE AS elapsed FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) WHERE elapsed > 0"
 )
 def progress_eta(spark: SparkSession, d: str) -> DataFrame:
@@ -153,8 +153,8 @@ def progress_eta(spark: SparkSession, d: str) -> DataFrame:
     order = user.orderBy("event_id")
     rows = table(spark, d, "events").select("user_id", "event_id", epoch_ms(F.col("ts")).cast("bigint").alias("ms"))
     rows = rows.select("user_id", "event_id", F.row_number().over(order).cast("bigint").alias("done"), F.count("*").over(user).alias("n"), (F.col("ms") - F.first("ms").over(order)).cast("double").alias("elapsed")).where("elapsed > 0")
-    left = (F.col("n") - F.col("done")) * F.col("elapsed") / 1000 / F.col("done")
-    return rows.select("user_id", "event_id", "done", F.round(1000 * F.col("done") / F.col("elapsed"), 6).alias("rate"), F.round(left, 3).alias("eta_s"))
+    left = (F.col("n") - F.col("done")).cast("double") * F.col("elapsed") / 1000 / F.col("done")
+    return rows.select("user_id", "event_id", "done", (F.lit(1000.0) * F.col("done") / F.col("elapsed")).alias("rate"), left.alias("eta_s"))
 
 
 @query(
