@@ -235,9 +235,13 @@ def graph(docs: DataFrame, patterns: dict[int, str]) -> DataFrame:
     """pattern, instance (a hash; null: not like an identifier), seed, base (a seed of a base kind), n."""
     held = docs.sparkSession.sparkContext.broadcast(patterns)
 
+    def given(pattern: np.ndarray, instance: pa.Array, seed: pa.Array, base: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pattern), instance, seed, base, pa.array(n)], names=["pattern", "instance", "seed", "base", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(held.value)
         names = matcher.look.values.view(np.int64)
+        none = np.zeros(len(names), np.int64)  # what follows a pattern and is no identifier is counted once for all of a task
         for _, places in _texts(batches):
             place, which = matcher.hits(places)
             some = (places.like_identifiers() | places.may_begin_seeds())[place] if len(place) else np.zeros(0, bool)
@@ -256,17 +260,13 @@ def graph(docs: DataFrame, patterns: dict[int, str]) -> DataFrame:
                 else:
                     s = _identifier(text, at)
                     rows.append((w, _hashed(s) if s else None, False, False))
-            none = np.bincount(which[~some], minlength=len(names))
-            other = np.flatnonzero(none)
+            none += np.bincount(which[~some], minlength=len(names))
             w, instance, seed, base = zip(*rows, strict=True) if rows else ((),) * 4
-            columns = [
-                pa.array(names[np.concatenate([np.array(w, np.int64), other])]),
-                pa.array([*instance, *[None] * len(other)], pa.int64()),
-                pa.array([*seed, *[False] * len(other)], pa.bool_()),
-                pa.array([*base, *[False] * len(other)], pa.bool_()),
-                pa.array(np.concatenate([np.ones(len(w), np.int64), none[other]])),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["pattern", "instance", "seed", "base", "n"])
+            yield given(names[np.array(w, np.int64)], pa.array(instance, pa.int64()), pa.array(seed, pa.bool_()), pa.array(base, pa.bool_()), np.ones(len(w), np.int64))
+        for a in range(0, len(names), 100_000):
+            other = a + np.flatnonzero(none[a : a + 100_000])
+            no = pa.array(np.zeros(len(other), bool))
+            yield given(names[other], pa.nulls(len(other), pa.int64()), no, no, none[other])
 
     schema = "pattern bigint, instance bigint, seed boolean, base boolean, n bigint"
     return docs.select("text").mapInArrow(run, schema).groupBy("pattern", "instance", "seed", "base").agg(F.sum("n").alias("n"))
