@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy step works on; a single longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -29,6 +29,16 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[t
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             lo = hi
+    _give_back()
+
+
+def _give_back() -> None:
+    """What a task has freed goes back to the system: workers are used again, and other stages need the memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,34 +59,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, doubled in length when a longer text comes."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
-        tables = []
-        for b in (_BASE, _INVERSE):
-            t = np.ones(size, np.uint64)
-            have = 1
-            while have < size:
-                t[have : 2 * have] = t[:have] * np.uint64(pow(b, have, 1 << 64))
-                have *= 2
-            tables.append(t)
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+#: Powers are products of one of the first 2**_LOW powers and one of the powers of base**(2**_LOW): two short tables, whatever a text's length.
+_LOW = 11
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, have = np.ones(max(1, n), np.uint64), 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, 1 << 64))
+        have += more
+    return out
+
+
+_low = {base: _powers(base, 1 << _LOW) for base in (_BASE, _INVERSE)}
+_high = {base: np.zeros(0, np.uint64) for base in (_BASE, _INVERSE)}
+
+
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high powers that make all powers below n."""
+    rows = (n >> _LOW) + 1
+    if len(_high[base]) < rows:
+        _high[base] = _powers(pow(base, 1 << _LOW, 1 << 64), max(1 << _LOW, 1 << (rows - 1).bit_length()))
+    return _low[base], _high[base]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """n + 1 sums from which ``slice_hash`` takes the hash of any slice."""
-    power, _ = _power_tables(len(data) + 1)
+    low, high = _tables(_BASE, len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    for a in range(0, len(data), STEP_BYTES):
+        part = data[a : a + STEP_BYTES].astype(np.uint64)
+        part += np.uint64(1)
+        row = a >> _LOW
+        power = high[row : row + (len(part) >> _LOW) + 1, None] * low[None, :]
+        np.multiply(part, power.reshape(-1)[: len(part)], out=sums[a + 1 : a + 1 + len(part)])
+    np.cumsum(sums[1:], out=sums[1:])
     return sums
 
 
 def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of data[start:end]: equal for equal bytes wherever they stand."""
-    _, inverse = _power_tables(len(sums))
-    return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD)
+    low, high = _tables(_INVERSE, len(sums))
+    inverse = high[start >> _LOW] * low[start & ((1 << _LOW) - 1)]
+    return mixed((sums[end] - sums[start]) * inverse + (end - start).astype(np.uint64) * _ODD)
 
 
 _BLANK = np.zeros(256, bool)
