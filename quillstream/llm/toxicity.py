@@ -158,24 +158,25 @@ def remainder(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, n: int) -> list:
-    """Features (and label) of at most n of the ids. The ids are few, so they are broadcast and the texts stay where they are."""
+def _sample(docs: DataFrame, ids: DataFrame, n: int, used: np.ndarray | None = None) -> tuple[Rows, np.ndarray]:
+    """Features (those of ``used``, if it is given) and labels of at most n of the ids. The ids are few, so they are broadcast and the texts stay where they are."""
     few = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    wanted = docs.sparkSession.sparkContext.broadcast(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in steps(batches):
-            text, slot = features(data, offsets)
+            text, slot = features(data, offsets, wanted.value)
             cuts = np.searchsorted(text, np.arange(rows.num_rows + 1))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(slot, pa.int32()))], names=["doc_id", "toxic", "slots"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     taken = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text")
-    rows = taken.mapInArrow(run, f"doc_id {kind}, toxic int, slots array<int>").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")  # whatever the order of the tasks
-    slots = rows.column("slots").take(pa.array(order)).combine_chunks()
+    rows = taken.mapInArrow(run, f"doc_id {kind}, toxic int, slots array<int>").toArrow().combine_chunks()
+    rows = rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")))  # whatever the order of the tasks
+    slots = rows.column("slots").combine_chunks()
     slots = slots.combine_chunks() if isinstance(slots, pa.ChunkedArray) else slots
-    lengths = np.array([len(x) for x in slots], np.int64)
-    return [Rows(slots.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)])), rows.column("toxic").to_numpy()[order]]
+    lengths = slots.value_lengths().to_numpy() if len(slots) else np.zeros(0, np.int64)
+    return Rows(slots.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])), rows.column("toxic").to_numpy()
 
 
 def _fitted(positive: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -203,14 +204,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not toxic:
         return None
     prior = min(max(toxic / n, 1e-3), 0.9)
-    positive, unlabelled, z, truth = [], [], [], []
-    for fold in (0, 2):
-        positive.append(_sample(docs, known.where(f"fold = {fold} AND toxic = 1").select("doc_id", "toxic"), POSITIVES)[0])
-        unlabelled.append(_sample(docs, docs.select("doc_id").where(remainder() == fold).distinct().withColumn("toxic", F.lit(0)), UNLABELLED)[0])
+    folds, z, truth = (0, 2), [], []
+    positive = [_sample(docs, known.where(f"fold = {fold} AND toxic = 1").select("doc_id", "toxic"), POSITIVES)[0] for fold in folds]
     if not sum(p.n for p in positive):
         return None
-    for k, fold in enumerate((0, 2)):
-        held, y = _sample(docs, known.where(f"fold = {fold}").select("doc_id", "toxic"), CALIBRATION)
+    # No other feature can be used by any of the models.
+    least = min([LEAST_POSITIVES, *(p.n for p in positive if p.n)])
+    used = np.bincount(np.concatenate([p.column for p in positive]), minlength=SLOTS) >= least
+    unlabelled = [_sample(docs, docs.select("doc_id").where(remainder() == fold).distinct().withColumn("toxic", F.lit(0)), UNLABELLED, used)[0] for fold in folds]
+    for k, fold in enumerate(folds):
+        held, y = _sample(docs, known.where(f"fold = {fold}").select("doc_id", "toxic"), CALIBRATION, used)
         if positive[1 - k].n and held.n:
             _, weight, bias = _fitted(positive[1 - k], unlabelled[1 - k], prior)
             z.append(held.only(np.where(weight != 0, np.arange(SLOTS), -1)).dot(weight) + bias)
