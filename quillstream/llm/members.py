@@ -28,7 +28,8 @@ def bitmap(keys: DataFrame, column: str):
     at = F.pmod(F.col(column), F.lit(BITS))
     pages = keys.select(F.floor(at / _PAGE).cast("int").alias("page"), F.pmod(at, F.lit(_PAGE)).cast("int").alias("bit")).distinct().repartition("page").mapInPandas(_pages, "page int, bits binary")
     whole = np.zeros(BITS // 8, np.uint8)
-    for page, bits in pages.toLocalIterator():
+    found = pages.toArrow()  # one row for each page, whatever the number of keys
+    for page, bits in zip(found.column("page").to_pylist(), found.column("bits").to_pylist(), strict=True):
         part = whole[page * _PAGE // 8 : (page + 1) * _PAGE // 8]
         np.bitwise_or(part, np.frombuffer(bits, np.uint8), out=part)
     return keys.sparkSession.sparkContext.broadcast(whole)
