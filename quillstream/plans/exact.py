@@ -134,16 +134,29 @@ def receive_exact(spark: SparkSession, d: str) -> DataFrame:
     return in_order(_corrupted_slots(spark, d), KEYS, ["at"], Receiving, _MESSAGE)
 
 
+#: Symbols of the tries that are made at a time, at most; a search makes at most n + 1 tries of a word of n symbols.
+TRIED = 1 << 21
+
+
+def steps_of_tries(lengths: np.ndarray) -> list[np.ndarray]:
+    """Words by length, in steps whose tries have TRIED symbols together, or one word."""
+    order = np.argsort(lengths, kind="stable")
+    upto = np.cumsum((lengths[order] + 2) ** 2)
+    return np.split(order, np.flatnonzero(np.diff(upto // TRIED)) + 1) if len(order) else []
+
+
 def _searched(words: DataFrame, tries: Callable[..., np.ndarray], *more: str) -> DataFrame:
     """KEYS, text of rows (KEYS, word, more): of the first word that decodes, of those that ``tries`` makes of a row; null if none does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word = [array_of(w.values) for w in batch.column("word")]
-            others = [[array_of(v.values) if isinstance(v, pa.ListScalar) else v.as_py() for v in batch.column(c)] for c in more]
-            found = first_messages([tries(*x) for x in zip(word, *others, strict=True)])
-            texts = pa.array([f[1].decode("utf-8", "replace") if f else None for f in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), texts], names=[*KEYS, "text"])
+            texts: list[str | None] = [None] * batch.num_rows
+            given = [batch.column(c) for c in ("word", *more)]
+            for step in steps_of_tries(batch.column("word").value_lengths().to_numpy(zero_copy_only=False)):
+                rows = [[array_of(v.values) if isinstance(v, pa.ListScalar) else v.as_py() for v in (c[k] for c in given)] for k in step.tolist()]
+                for k, f in zip(step.tolist(), first_messages([tries(*x) for x in rows]), strict=True):
+                    texts[k] = f[1].decode("utf-8", "replace") if f else None
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(texts, pa.string())], names=[*KEYS, "text"])
 
     ship(words.sparkSession)
     return words.select(*KEYS, "word", *more).mapInArrow(run, "src string, id bigint, turn bigint, text string")
