@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from quillstream.functions import reed_solomon as R
-from quillstream.operators.reception import one_mended
+from quillstream.operators.reception import erasing_weakest, one_mended
 from quillstream.plans import exact
 
 
@@ -31,7 +31,7 @@ WORD = np.array(R.encode(bytes(188)), np.int32)
 
 @pytest.mark.parametrize(
     "count, word, tries, more, of",
-    [(600, WORD[1:], one_mended, "n", len(WORD))],
+    [(600, WORD[1:], one_mended, "n", len(WORD)), (3000, WORD, erasing_weakest, "margin", [0.5] * len(WORD))],
 )
 def test_a_batch_of_words_does_not_hold_the_tries_of_all(monkeypatch, count, word, tries, more, of):
     monkeypatch.setattr(exact, "ship", lambda _: None)
