@@ -11,42 +11,76 @@ from ..registry import query, table
 from ..shipping import ship
 from .quality import CLASSIFIER_SQL, TOP_SQL, predicted
 
-#: Vectors that one task compares at a time, on either side.
-BLOCK = 2048
+#: Vectors of a block, at most, and at least where there are FEW blocks or less; queries that are multiplied at a time.
+BLOCK, SMALL, FEW, STRIP = 16_384, 2048, 16, 256
+
+
+def blocks_of(n: int, few: int) -> int:
+    """Into how many blocks n vectors are dealt: as few as BLOCK allows, as each is sent once for every block of the other side; but enough to keep all cores busy."""
+    return max(1, -(-n // BLOCK), min(few, -(-n // SMALL)))
+
+
+def _best_of(a: pd.DataFrame, c: pd.DataFrame, excluded: str | None, both: bool) -> pd.DataFrame:
+    """vec_id, near_id, likeness of the nearest in c of each row of a; both: and the nearest in a of each row of c."""
+    a, c = a.sort_values("vec_id"), c.sort_values("vec_id")
+    x, y = (np.stack(f.v.to_numpy()).astype(float) for f in (a, c))
+    x, y = (m / (np.sqrt((m * m).sum(1, keepdims=True)) + 1e-6) for m in (x, y))
+    ids, others = a.vec_id.to_numpy(), c.vec_id.to_numpy()
+    groups = (a[excluded].to_numpy(), c[excluded].to_numpy()) if excluded else None
+    none = -2e6
+    top, near = np.full((2, max(len(a), len(c))), none), np.zeros((2, max(len(a), len(c))), np.int64)
+    for k in range(0, len(a), STRIP):
+        own = slice(k, min(k + STRIP, len(a)))
+        s = x[own] @ y.T
+        np.rint(np.multiply(s, 1e6, out=s), out=s)
+        s[ids[own, None] == others[None, :]] = none
+        if groups:
+            s[groups[0][own, None] == groups[1][None, :]] = none
+        at = s.argmax(1)
+        top[0, own], near[0, own] = s[np.arange(len(at)), at], others[at]
+        if both:
+            at = s.argmax(0)
+            value = s[at, np.arange(len(at))]
+            better = np.flatnonzero(value > top[1, : len(c)])  # of equal ones the first, and so the least id, stays
+            top[1, better], near[1, better] = value[better], ids[own][at[better]]
+    sides = [(ids, top[0, : len(a)], near[0, : len(a)]), (others, top[1, : len(c)], near[1, : len(c)])]
+    found = [(i[t > none], n[t > none], t[t > none] / 1e6) for i, t, n in sides[: 1 + both]]
+    return pd.DataFrame({name: np.concatenate(v) for name, v in zip(("vec_id", "near_id", "likeness"), zip(*found, strict=True), strict=True)})
 
 
 def nearest(queries: DataFrame, base: DataFrame, excluded: str | None = None) -> DataFrame:
     """vec_id, near_id, likeness: for each query its nearest other vector by cosine, exactly; the least id on ties.
 
-    Both sides are dealt into blocks by a hash of the id; every pair of blocks is one matrix product, so nothing is
-    broadcast and no pair of rows is ever a row. Each task gives one candidate per query and the best of them is kept.
-    excluded: a column of both sides whose equal values are not compared.
+    Both sides are dealt into blocks by a hash of the id; every pair of blocks is one matrix product, taken strip by strip,
+    so nothing is broadcast and no pair of rows is ever a row. Where a table is compared with itself, two blocks meet once, for
+    both. Each task gives one candidate per query and the best of them is kept. What is sent is n * n / BLOCK vectors, as they are
+    stored; a block bounds what a task holds. excluded: a column of both sides whose equal values are not compared.
     """
     ship(queries.sparkSession)
     group = [excluded] if excluded else []
-    unit = F.expr("transform(embedding, x -> cast(x as double))")
-    blocks = max(1, -(-base.count() // BLOCK))
-    left_blocks = max(1, -(-queries.count() // BLOCK))
-    held = lambda df, side, n: df.select(F.lit(side).alias("side"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("b"), "vec_id", *group, unit.alias("v"))
-    q = held(queries, 0, left_blocks).withColumn("i", F.col("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = held(base, 1, blocks).withColumn("j", F.col("b")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))))
-
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        a, c = (frame[frame.side == s].sort_values("vec_id") for s in (0, 1))
+    itself = queries is base
+    n = base.count()
+    g = blocks_of(n, FEW if itself else 4 * FEW)
+    held = lambda df, m: df.select(F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("b"), "vec_id", *group, F.col("embedding").alias("v"))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    if itself:
+        pairs = g * (g + 1) // 2
+        met = held(base, g).withColumn("x", every(g)).withColumn("i", F.least("b", "x")).withColumn("j", F.greatest("b", "x"))
+        dealt = met.withColumn("side", (F.col("b") != F.col("i")).cast("int")).drop("b", "x")
+    else:
+        h = blocks_of(queries.count(), 1)
+        pairs = g * h
+        q = held(queries, h).withColumn("side", F.lit(0)).withColumn("i", F.col("b")).withColumn("j", every(g))
+        dealt = q.unionByName(held(base, g).withColumn("side", F.lit(1)).withColumn("j", F.col("b")).withColumn("i", every(h))).drop("b")
+
+    def best(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        one = itself and key[0] == key[1]
+        a, c = frame[frame.side == 0], frame[frame.side == (0 if one else 1)]
         if not len(a) or not len(c):
             return pd.DataFrame({"vec_id": [], "near_id": [], "likeness": []}).astype({"vec_id": "int64", "near_id": "int64"})
-        x, y = (np.stack(f.v.to_numpy()) for f in (a, c))
-        x, y = (m / (np.sqrt((m * m).sum(1, keepdims=True)) + 1e-6) for m in (x, y))
-        s = np.round(x @ y.T, 6)
-        bar = a.vec_id.to_numpy()[:, None] == c.vec_id.to_numpy()[None, :]
-        if excluded:
-            bar |= a[excluded].to_numpy()[:, None] == c[excluded].to_numpy()[None, :]
-        s[bar] = -2
-        k = s.argmax(1)
-        ok = s[np.arange(len(k)), k] > -2
-        return pd.DataFrame({"vec_id": a.vec_id.to_numpy()[ok], "near_id": c.vec_id.to_numpy()[k[ok]], "likeness": s[np.arange(len(k)), k][ok]})
-
-    found = q.unionByName(b).groupBy("i", "j").applyInPandas(best, "vec_id bigint, near_id bigint, likeness double")
+        return _best_of(a, c, excluded, itself and not one)
+
+    found = dealt.repartition(min(pairs, 400), "i", "j").groupBy("i", "j").applyInPandas(best, "vec_id bigint, near_id bigint, likeness double")
     order = F.struct("likeness", (-F.col("near_id")).alias("o"))
     return found.groupBy("vec_id").agg(F.max(order).alias("x")).select("vec_id", (-F.col("x.o")).alias("near_id"), F.col("x.likeness").alias("likeness"))
 
