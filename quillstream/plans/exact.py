@@ -17,7 +17,7 @@ from ..functions.reed_solomon import first_messages
 from ..operators import slots as S
 from ..operators.calibration import Calibration
 from ..operators.ordered import array_of, in_event_time, in_order, mark_of_the_end, to_the_end
-from ..operators.reception import LOST, Reception, alignment, erasing_weakest, one_mended
+from ..operators.reception import LOST, Asking, Reception, alignment, erasing_weakest, one_mended
 from ..operators.segmentation import SLOT_COLUMNS, Segmentation
 from ..registry import query, table
 from ..shipping import ship
@@ -46,11 +46,11 @@ class Receiving:
     def __init__(self):
         self.own = Reception()
 
-    def feed(self, c: dict[str, np.ndarray]) -> list[tuple]:
-        return self._told(self.own.feed(np.where(c["cls"] < 0, LOST, c["cls"]), c["reliability"]))
+    def feeding(self, c: dict[str, np.ndarray]) -> Asking:
+        return self._told((yield from self.own.feeding(np.where(c["cls"] < 0, LOST, c["cls"]), c["reliability"])))
 
-    def close(self) -> list[tuple]:
-        return self._told(self.own.close())
+    def closing(self) -> Asking:
+        return self._told((yield from self.own.closing()))
 
     @staticmethod
     def _told(m) -> list[tuple]:
