@@ -1,9 +1,46 @@
-"""Machines of many keys: keys of a stream held in groups."""
+"""Machines of many keys: searches made together, keys of a stream held in groups."""
 
 import numpy as np
 import pyarrow as pa
 
+from quillstream import constants as C
+from quillstream.functions import reed_solomon as R
+from quillstream.operators import reception
 from quillstream.operators.ordered import Waiting
+from quillstream.operators.reception import LOST, Reception, answered
+
+
+def shown(payload):
+    word = R.encode(payload)
+    passes = [[LOST if (i + 4 * no) % 9 == 5 else x ^ 33 if not no and i % 13 == 7 else x for i, x in enumerate(word)] for no in (0, 1)]
+    return np.array([x for p in passes for x in (C.START, *p, C.END)])
+
+
+def test_searches_of_many_streams_are_made_together(monkeypatch):
+    streams = [shown(bytes([k] * (10 + 3 * k))) for k in range(40)]
+    alone = [Reception().feed(s, np.full(len(s), 0.9)) for s in streams]
+    calls = []
+    whole = reception.first_messages
+    monkeypatch.setattr(reception, "first_messages", lambda x: calls.append(len(x)) or whole(x))
+    assert answered([Reception().feeding(s, np.full(len(s), 0.9)) for s in streams]) == alone
+    assert [m.payload for m in alone] == [bytes([k] * (10 + 3 * k)) for k in range(40)]
+    assert len(calls) < 20 and max(calls) == 40
+
+
+def test_what_failed_is_not_tried_again_before_more_is_heard(monkeypatch):
+    word = R.encode(b"seldom read")
+    bad = [LOST if i % 3 == 1 else x for i, x in enumerate(word)]
+    calls = []
+    whole = reception.first_messages
+    monkeypatch.setattr(reception, "first_messages", lambda x: calls.append(len(x)) or whole(x))
+    m = Reception()
+    stream = np.array([C.START, *bad, C.END])
+    assert m.feed(stream, np.full(len(stream), 0.9)) is None
+    once, tried = sum(calls), m.attempts
+    assert m.feed(np.array([C.START]), np.ones(1)) is None and m.close() is None
+    assert sum(calls) == once and m.attempts == 3 * tried
+    good = np.array([*word, C.END])
+    assert m.feed(good, np.full(len(good), 0.9)).payload == b"seldom read"
 
 
 class Listing:
