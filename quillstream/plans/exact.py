@@ -236,7 +236,7 @@ def landed(rows: DataFrame, fed: DataFrame, clock: str, folder: str, parts: list
         run()
     mark_of_the_end(fed, clock).write.mode("append").parquet(f"{folder}/ends")
     run()
-    for used in ("feed", "ends", "state"):
+    for used in ("made", "feed", "ends", "state"):
         remove(rows.sparkSession, f"{folder}/{used}")
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
 
@@ -249,11 +249,14 @@ def _own_folder(spark: SparkSession, schema: StructType) -> str:
 
 
 def _fed(rows: DataFrame, clock: str) -> tuple[DataFrame, str, list[DataFrame]]:
-    """A stream that reads what comes into a folder, and the rows in two parts, by time."""
-    folder = _own_folder(rows.sparkSession, rows.schema)
-    half = rows.agg(F.timestamp_millis(((F.unix_millis(F.min(clock)) + F.unix_millis(F.max(clock))) / 2).cast("bigint")).alias("t")).first()["t"]
+    """A stream that reads what comes into a folder, and the rows in two parts, by time. What makes the rows is run once."""
+    spark = rows.sparkSession
+    folder = _own_folder(spark, rows.schema)
+    rows.write.parquet(f"{folder}/made")
+    made = spark.read.schema(rows.schema).parquet(f"{folder}/made")
+    half = made.agg(F.timestamp_millis(((F.unix_millis(F.min(clock)) + F.unix_millis(F.max(clock))) / 2).cast("bigint")).alias("t")).first()["t"]
     early = F.col(clock) <= F.lit(half)
-    return rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/feed"), folder, [rows.where(early), rows.where(~early)]
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/feed"), folder, [made.where(early), made.where(~early)]
 
 
 @query(_SHOWN_SLOTS)
