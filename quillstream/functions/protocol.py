@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,18 @@ def utf8_bytes(text: Column) -> Column:
     return bound(F.hex(F.encode(text, "UTF-8")), listed)
 
 
+def _crc_of_bytes() -> list[int]:
+    """What each byte in the register's upper half leaves in it after eight steps."""
+    c = np.arange(256) << 8
+    for _ in range(8):
+        c = np.where(c & 0x8000, c << 1 ^ CRC_POLY, c << 1) & 0xFFFF
+    return c.tolist()
+
+
 def crc16(data: Column) -> Column:
     """CRC-16 with the CCITT polynomial, not reflected, of an array of bytes."""
-    bit = lambda c, _: F.when(c.bitwiseAND(0x8000) != 0, F.shiftleft(c, 1).bitwiseXOR(F.lit(CRC_POLY)).bitwiseAND(0xFFFF)).otherwise(F.shiftleft(c, 1).bitwiseAND(0xFFFF))
-    byte = lambda c, x: F.aggregate(F.sequence(F.lit(1), F.lit(8)), c.bitwiseXOR(F.shiftleft(x, 8)), bit)
+    table = F.array(*map(F.lit, _crc_of_bytes()))
+    byte = lambda c, x: F.get(table, F.shiftright(c, 8).bitwiseXOR(x)).bitwiseXOR(F.shiftleft(c, 8).bitwiseAND(0xFFFF))
     return F.aggregate(data, F.lit(CRC_INIT), byte)
 
 
@@ -56,19 +64,26 @@ def data_symbols(text: Column) -> Column:
     return bound(utf8_bytes(text), lambda d: bound(crc16(d), lambda c: framed(d, c)))
 
 
+#: Parity symbols to a long, and longs that hold the parity of any word.
+PACKED = 8
+LONGS = -(-(-(-(MAX_PAYLOAD + 3) // 3)) // PACKED)
+
+
 @cache
 def _parity_rows() -> pa.Table:
     parts = []
     for nsym in range(MIN_PARITY, -(-(MAX_PAYLOAD + 3) // 3) + 1):
         # k data symbols have nsym parity symbols for k in (3 (nsym - 1), 3 nsym]; degrees run from 0 to k - 1.
         r = gf256.remainders(nsym, min(3 * nsym, MAX_PAYLOAD + 3))
-        d, j = np.indices(r.shape)
-        parts.append(np.stack([np.full(d.size, nsym), d.ravel(), j.ravel(), r.ravel()]))
-    return pa.table(list(np.concatenate(parts, axis=1).astype(np.int32)), names=["nsym", "deg", "j", "coef"])
+        held = np.zeros((len(r), 8, LONGS * PACKED), np.uint8)
+        held[:, :, :nsym] = gf256.mul(1 << np.arange(8)[None, :, None], r[:, None, :])
+        longs = pa.array(held.view("<i8").ravel())
+        parts.append(pa.table([pa.array(np.full(len(r), nsym, np.int32)), pa.array(np.arange(len(r), dtype=np.int32)), pa.FixedSizeListArray.from_arrays(longs, 8 * LONGS).cast(pa.list_(pa.int64()))], names=["nsym", "deg", "bits"]))
+    return pa.concat_tables(parts)
 
 
 def parity_table(spark: SparkSession) -> DataFrame:
-    """nsym, deg, j, coef: parity symbol j of a one at degree deg. About 268,000 narrow rows, fixed by the protocol."""
+    """nsym, deg, bits: the parity of each of the eight bits of a symbol at degree deg, in LONGS longs. 6,303 rows, fixed by the protocol."""
     return spark.createDataFrame(_parity_rows())
 
 
@@ -86,18 +101,20 @@ def exploded(messages: DataFrame, keys: list[str]) -> DataFrame:
     """keys, k, nsym, pos, sym: data symbols of ``text`` one to a row."""
     # k is taken from the text and not from the symbols: the optimiser would compute these anew for every row made of them.
     k = (F.octet_length("text") + 3).cast("int")
-    return messages.select(*keys, k.alias("k"), parity_count(k).alias("nsym"), F.posexplode(data_symbols(F.col("text"))).alias("pos", "sym"))
+    # Dealt by message while it is a short text, so that what is made of the symbols of each needs no exchange of them.
+    dealt = messages.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt.select(*keys, k.alias("k"), parity_count(k).alias("nsym"), F.posexplode(data_symbols(F.col("text"))).alias("pos", "sym"))
 
 
 def parity(symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, k, nsym, pos, sym of the parity symbols: the encoder is linear, so each is an XOR of products."""
-    spark = symbols.sparkSession
-    table = parity_table(spark)
-    # Dealt by word before each symbol meets its row of coefficients: the sums then need no further exchange, and what
-    # is shuffled is a twentieth of what is summed.
-    dealt = symbols.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
-    held = dealt.withColumn("deg", F.col("k") - 1 - F.col("pos")).join(F.broadcast(table), ["nsym", "deg"])
-    out = held.groupBy(*keys, "k", "nsym", "j").agg(F.bit_xor(product(F.col("sym"), F.col("coef"))).alias("sym"))
+    """keys, k, nsym, pos, sym of the parity symbols: the encoder is linear, so all of them are an XOR of what the bits of each symbol add."""
+    held = symbols.withColumn("deg", F.col("k") - 1 - F.col("pos")).join(F.broadcast(parity_table(symbols.sparkSession)), ["nsym", "deg"])
+    # All bits of a long set where the symbol has the bit, else none.
+    mask = [-F.shiftright("sym", b).bitwiseAND(1).cast("bigint") for b in range(8)]
+    added = [reduce(Column.bitwiseXOR, (m.bitwiseAND(F.get("bits", F.lit(b * LONGS + j))) for b, m in enumerate(mask))) for j in range(LONGS)]
+    sums = held.groupBy(*keys, "k", "nsym").agg(*(F.bit_xor(x).alias(f"_{j}") for j, x in enumerate(added)))
+    each = F.array(*(F.shiftright(f"_{j}", 8 * i).bitwiseAND(255).cast("int") for j in range(LONGS) for i in range(PACKED)))
+    out = sums.select(*keys, "k", "nsym", F.posexplode(F.slice(each, F.lit(1), F.col("nsym"))).alias("j", "sym"))
     return out.select(*keys, "k", "nsym", (F.col("k") + F.col("j")).alias("pos"), "sym")
 
 
