@@ -55,3 +55,35 @@ def test_steps_take_every_word_once():
     assert sorted(np.concatenate(steps).tolist()) == list(range(5000))
     assert max(((lengths[s] + 2) ** 2).sum() for s in steps) < exact.TRIED + 258**2
     assert exact.steps_of_tries(np.zeros(0, np.int64)) == []
+
+
+class Stream(Words):
+    """A table of many batches, of which none is kept; what it gives is counted and goes."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, _):
+        return sum(x.column("text").null_count == 0 and x.num_rows for x in run(self.batches))
+
+
+def test_a_search_does_not_take_more_memory_for_more_batches(monkeypatch):
+    monkeypatch.setattr(exact, "ship", lambda _: None)
+    word, margin = WORD.tolist(), [0.5] * len(WORD)
+
+    def batch(k):
+        keys = {"src": ["x"] * 300, "id": list(range(300 * k, 300 * k + 300)), "turn": [0] * 300}
+        return pa.RecordBatch.from_pydict(keys | {"word": pa.array([word] * 300, pa.list_(pa.int32())), "margin": [margin] * 300})
+
+    def peak(count):
+        before = pa.total_allocated_bytes()
+        arrow = []
+        tracemalloc.start()
+        assert exact._searched(Stream(arrow.append(pa.total_allocated_bytes() - before) or batch(k) for k in range(count)), erasing_weakest, "margin") == 300 * count
+        own = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return own, max(arrow)
+
+    peak(1)
+    (once, _), (twice, held), (often, held_often) = peak(1), peak(2), peak(8)
+    assert often < 1.2 * max(once, twice) and held_often < 1.2 * held
